@@ -47,3 +47,19 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def posix_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one, for files that tasks open themselves.
+
+    Memory-mapped files need a mounted path, so a shared folder in an object store is an error here.
+    """
+    path = scratch_path(spark, name)
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"memory-mapped files need a mounted shared folder, not {path}")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 16 MB, so that a run of very long texts does not fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

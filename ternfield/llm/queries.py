@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import table
-from ternfield.llm import line_dedup
+from ternfield.llm import line_dedup, media, token_files
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.token_folder(docs)
+    return token_files.read_tokens(token_files.write_tokens(docs, folder), folder)
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = media.media_columns(media.stored_bytes(media.store_text(docs)))
+    t = F.col("tracks")[0]
+    spans = F.array_join(F.transform(t["keyframes"], lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")
+    return kept.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", t["codec"], t["seconds"].cast("string"), t["n_samples"].cast("string"), spans).alias("feature"),
+    )
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_token_files": op4_token_files, "op8_media_columns": op8_media_columns}
 ORACLE = {"op2_line_dedup": OP2_SQL}
