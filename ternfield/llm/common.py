@@ -61,5 +61,5 @@ def posix_dir(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB, so that a run of very long texts does not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches end at 4 MB, so that a run of very long texts does not fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import table
-from ternfield.llm import line_dedup, media, token_files
+from ternfield.llm import decontaminate, line_dedup, media, pii, token_files
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_token_files": op4_token_files, "op8_media_columns": op8_media_columns}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks_by_document(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_token_files": op4_token_files, "op7_decontaminate": op7_decontaminate, "op8_media_columns": op8_media_columns, "op9_pii": op9_pii}
 ORACLE = {"op2_line_dedup": OP2_SQL}

@@ -26,40 +26,87 @@ from pyspark.sql import functions as F
 from ternfield.llm.common import posix_dir, shuffle_partitions, small_batches, written
 
 #: Most words that a worker keeps with their ids.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: str.split() cuts at these four, the vocabulary's white space does not hold them.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
+#: Marks at the end of a word that are encoded apart from it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
-def word_encoder(path: str, width: str) -> Callable[[str], bytes]:
-    """text -> ids as bytes, for a vocabulary that never joins across white space: each word is encoded once a worker."""
+def word_encoder(path: str, width: str) -> Callable[[list[str]], list[bytes]]:
+    """texts -> ids as bytes, for a vocabulary that never joins across white space: a worker encodes each word once.
+
+    New words of letters only are encoded many at a time: each gives one token that ends a word, its last.
+    """
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    vocab = tok.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
     cache: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
+    def alone(texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, width).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(text: str) -> bytes:
-        if any(c in text for c in NOT_BLANK):
-            return ids([text])[0]
-        words = text.split()
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(words))
-        cache.update(zip(new, ids(new), strict=True))
-        return b"".join([cache[w] for w in words])
+    def letters(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.asarray(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, width)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for c in (cuts * ids.itemsize).tolist():
+                    out.append(raw[at:c])
+                    at = c
+            else:
+                out += alone(part)
+        return out
+
+    def learn(words: set[str]) -> None:
+        known = older.keys() & words
+        cache.update((w, older[w]) for w in known)
+        plain, mixed, other = [w for w in words - known if w.isalpha()], [], []
+        parts: set[str] = set()
+        for w in words - known:
+            if not w.isalpha():
+                core = w.rstrip(MARKS)
+                if core.isalpha():
+                    mixed.append((w, core, w[len(core) :]))
+                    parts.add(core)
+                    parts.add(w[len(core) :])
+                else:
+                    other.append(w)
+        parts -= cache.keys()
+        plain += [p for p in parts - words if p.isalpha()]
+        other += [p for p in parts - words if not p.isalpha()]
+        cache.update(zip(plain, letters(plain), strict=True))
+        cache.update(zip(other, alone(other), strict=True))
+        cache.update([(w, cache[a] + cache[b]) for w, a, b in mixed])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal cache, older
+        out = []
+        for i in range(0, len(texts), 500):
+            split = [None if any(c in t for c in NOT_BLANK) else t.split() for t in texts[i : i + 500]]
+            words = set().union(*(w for w in split if w)) - cache.keys()
+            if len(cache) + len(words) > CACHE_WORDS:
+                cache, older = {}, cache
+                words = set().union(*(w for w in split if w))
+            learn(words)
+            out += [alone([t])[0] if w is None else b"".join([cache[x] for x in w]) for t, w in zip(texts[i : i + 500], split, strict=True)]
+        return out
 
     return encode
 
 
-def _encoder(path: str, width: str) -> Callable[[str], bytes]:
+def _encoder(path: str, width: str) -> Callable[[list[str]], list[bytes]]:
     if (key := f"{path} {width}") not in _encoders:
         _encoders[key] = word_encoder(path, width)
     return _encoders[key]
@@ -94,9 +141,9 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None,
         mine = f"{folder}/.tokens-{k}-{uuid.uuid4().hex}"
         with open(mine, "wb") as f:
             for b in batches:
-                for text in b.column("text").to_pylist():
-                    f.write(ids := encode(text) + end)
-                    lengths.append(len(ids) // size)
+                for ids in encode(b.column("text").to_pylist()):
+                    f.write(ids + end)
+                    lengths.append(len(ids) // size + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, np.int32)), pa.array(np.arange(n, n + len(b))), b.column("doc_id")], ["shard", "ord", "doc_id"])
                 n += len(b)
         if n:
@@ -139,7 +186,7 @@ def read_tokens(index: DataFrame, folder: str, *, width: str = "<u2") -> DataFra
 
     n = shuffle_partitions(index.sparkSession)
     measured = bases.repartition(n, "shard").mapInArrow(measure, "shard int, ord bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return index.join(measured, ["shard", "ord"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return index.hint("merge").join(measured, ["shard", "ord"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_folder(docs: DataFrame) -> str:
