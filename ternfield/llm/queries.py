@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import table
-from ternfield.llm import decontaminate, line_dedup, media, pii, token_files
+from ternfield.llm.common import fold, table
+from ternfield.llm import decontaminate, line_dedup, media, pii, quality, token_files, toxicity
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,31 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_token_files": op4_token_files, "op7_decontaminate": op7_decontaminate, "op8_media_columns": op8_media_columns, "op9_pii": op9_pii}
+def _scored(docs: DataFrame, held_out) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), train_if=~held_out)
+    return _scored(quality.score(docs, model).drop("text"), held_out)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_if=~held_out)
+    return _scored(toxicity.score(docs, net).drop("text"), held_out)
+
+
+QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
+    "op4_token_files": op4_token_files,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_media_columns": op8_media_columns,
+    "op9_pii": op9_pii,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE = {"op2_line_dedup": OP2_SQL}
