@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import fold, table
-from ternfield.llm import decontaminate, line_dedup, media, pii, quality, token_files, toxicity
+from ternfield.llm import decontaminate, line_dedup, media, minhash, pii, quality, token_files, toxicity
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, net).drop("text"), held_out)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op5_minhash": op5_minhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_media_columns": op8_media_columns,
     "op9_pii": op9_pii,
