@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import fold, table
-from ternfield.llm import decontaminate, line_dedup, media, minhash, pii, quality, token_files, toxicity
+from ternfield.llm import byte_bpe, decontaminate, line_dedup, media, minhash, pii, quality, token_files, toxicity
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +87,23 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and hashes of the ids and of the decoded bytes."""
+    ids = F.col("ids")
+    coded = byte_bpe.encode(docs.select("doc_id", "text")).drop("text")
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(ids), 256).alias("decoded_sha256"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_minhash": op5_minhash,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_media_columns": op8_media_columns,
     "op9_pii": op9_pii,
