@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import fold, table
-from ternfield.llm import byte_bpe, decontaminate, line_dedup, media, minhash, pii, quality, token_files, toxicity
+from ternfield.llm import byte_bpe, decontaminate, licences, line_dedup, media, minhash, pii, quality, token_files, toxicity
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.licences(docs, licences.fit(docs))
+    families = F.transform("licences", lambda x: x["family"])
+    n_unknown = F.size(families) - F.size(F.array_remove(families, licences.UNKNOWN))
+    paragraphs = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",")
+    return found.select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_paragraphs"),
+        F.size(families).cast("long").alias("n_licences"),
+        n_unknown.cast("long").alias("n_unknown"),
+        F.array_join(F.array_sort(F.array_distinct(families)), ",").alias("families"),
+        paragraphs.alias("paragraphs"),
+    )
+
+
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
