@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import json
+import mmap
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from ternfield.llm.common import posix_dir, shuffle_partitions, small_batches, written
 
 FOLD_BYTES = 256
-BUCKETS = 1 << 14
-#: Words that a task gathers before it hands them on, and those that a worker keeps with their ids.
-GATHER_WORDS, CACHE_WORDS = 150_000, 400_000
+BUCKETS = 1 << 15
+#: Words and chunks that a task gathers before it hands them on, and chunks that a worker keeps with their ids.
+GATHER_WORDS, CACHE_WORDS = 300_000, 300_000
 #: Words in each file of the word table, about.
 SHARD_WORDS = 400_000
 
@@ -65,45 +67,79 @@ def let(value: Column, then) -> Column:
 
 
 def fold_merges(word: Column, buckets: Column) -> Column:
-    """The ids of a word."""
+    """The ids of a word. The fold carries the pieces and the ranks of adjacent pairs; a merge looks up two new ones."""
     digits = F.hex(F.encode(word, "utf-8"))
+    none = F.lit((1 << 31) - 1)
     pieces = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2)))
+    pair = lambda a, b: F.coalesce(rank_of(buckets, F.concat(a, b)), none)
+    pairs = lambda p: F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))  # noqa: E731  the last is of no pair
+    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
 
-    def merge(p: Column, _: Column) -> Column:
-        ranks = F.transform(p, lambda x, i: F.shiftleft(rank_of(buckets, F.concat(x, F.get(p, i + 1))).cast("long"), 32).bitwiseOR(i))
+    def merge(s: Column, _: Column) -> Column:
+        p, r = s["p"], s["r"]
 
-        def at(best: Column) -> Column:
-            i = best.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-            return F.concat(F.slice(p, F.lit(1), i), F.array(F.concat(F.get(p, i), F.get(p, i + 1))), F.slice(p, i + 3, F.size(p)))
+        def at(i: Column) -> Column:
+            new = F.concat(F.get(p, i), F.get(p, i + 1))
+            left = F.when(i > 0, F.array(pair(F.get(p, i - 1), new))).otherwise(F.array().cast("array<int>"))
+            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, F.array(pair(new, F.get(p, i + 2))), F.slice(r, i + 3, F.size(r)))
+            return state(F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))), ranks)
 
-        return let(F.array_min(ranks), lambda best: F.when(best.isNull(), p).otherwise(at(best)))
+        return let(F.array_min(r), lambda least: F.when(least == none, s).otherwise(let(F.array_position(r, least).cast("int") - 1, at)))
 
     steps = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-    folded = let(pieces, lambda p: F.aggregate(steps, p, merge))
+    folded = let(let(pieces, lambda p: F.aggregate(steps, state(p, pairs(p)), merge)), lambda s: s["p"])
     return let(rank_of(buckets, digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda x: rank_of(buckets, x))))
 
 
+#: White space other than single blanks and line breaks: such texts are matched as a whole.
+UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|\x00")
+
+
+def chunks(text: str) -> list[str] | None:
+    """Parts of a text that the pattern never joins: line breaks, and runs without blanks with the blank before; None if there may be none."""
+    if UNEVEN.search(text):
+        return None
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame:
     """(word): each match of the pattern in the texts, once."""
+    even = pattern == public_tokenizers.PATTERN
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, set()
+        find, seen, words = regex.compile(pattern).findall, set(), set()
+
+        def found() -> pa.RecordBatch:
+            for c in seen:
+                words.update(find(c))
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+            seen.clear()
+            words.clear()
+            return batch
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
-                    seen.update(find(text))
-                    if len(seen) > GATHER_WORDS:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
-                        seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+                    parts = chunks(text) if even else None
+                    if parts is None:
+                        words.update(find(text))
+                    else:
+                        seen.update(parts)
+                    if len(seen) + len(words) > GATHER_WORDS:
+                        yield found()
+        yield found()
 
     return docs.select(text_col).mapInArrow(each, "word string").distinct()
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
-    short = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", fold_merges(F.col("word"), rank_buckets(ranks)).alias("ids"))
+    short = F.when(F.octet_length("word") <= FOLD_BYTES, fold_merges(F.col("word"), rank_buckets(ranks)))
+    folded = written(words.select("word", short.alias("ids")), "words")
+    long = folded.where(F.col("ids").isNull()).select("word")
+    if long.isEmpty():
+        return folded
 
     def library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -113,7 +149,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) ->
             ids = [enc.encode_ordinary(w) for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return short.unionAll(words.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(library, "word string, ids array<int>"))
+    return folded.where(F.col("ids").isNotNull()).unionAll(long.mapInArrow(library, "word string, ids array<int>"))
 
 
 def write_word_files(encoded: DataFrame, folder: str, shards: int) -> None:
@@ -161,38 +197,58 @@ def write_word_files(encoded: DataFrame, folder: str, shards: int) -> None:
 
 
 class WordFiles:
-    """word -> ids from the mapped files."""
+    """word -> ids as bytes, from the mapped files."""
 
     def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.open, self.known = folder, shards, {}, {}
+        self.folder, self.shards, self.open = folder, shards, {}
 
     def shard(self, k: int):
         if k not in self.open:
-            self.open[k] = [np.memmap(f"{self.folder}/{n}-{k}", kind, "r") for n, kind in (("hash", "<i8"), ("end", "<i8"), ("word", np.uint8))]
+            with open(f"{self.folder}/word-{k}", "rb") as f:
+                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            self.open[k] = (np.memmap(f"{self.folder}/hash-{k}", "<i8", "r"), np.memmap(f"{self.folder}/end-{k}", "<i8", "r"), data)
         return self.open[k]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+    def ids(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in words]
         h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, len(raw)).astype(np.int64)
-        of = h % self.shards
+        of, out = h % self.shards, {}
         for k in np.unique(of).tolist():
             hashes, ends, data = self.shard(k)
             at = np.flatnonzero(of == k)
             found = np.searchsorted(hashes, h[at])
-            for i, j in zip(at.tolist(), found.tolist(), strict=True):
+            starts = np.where(found > 0, ends[found - 1], 0)
+            for i, j, start, end in zip(at.tolist(), found.tolist(), starts.tolist(), ends[found].tolist(), strict=True):
                 while True:
-                    start, end = int(ends[j - 1]) if j else 0, int(ends[j])
-                    cell = data[start:end].tobytes()
-                    n = int.from_bytes(cell[:4], "little")
-                    if cell[4 : 4 + n] == raw[i]:
+                    n = int.from_bytes(data[start : start + 4], "little") + start + 4
+                    if data[start + 4 : n] == raw[i]:
                         break
-                    j += 1  # another word of the same hash
-                self.known[words[i]] = cell[4 + n :]
-
-    def encode(self, words: list[str]) -> bytes:
-        return b"".join([self.known[w] for w in words])
+                    j, start, end = j + 1, end, int(ends[j + 1])  # another word of the same hash
+                out[words[i]] = data[n:end]
+        return out
+
+
+class Encoder:
+    """texts -> ids as bytes. Keeps the ids of the chunks it met of late: up to CACHE_WORDS new and as many older ones."""
+
+    def __init__(self, files: WordFiles, pattern: str):
+        self.files, self.find, self.even = files, regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
+        self.new, self.old = {}, {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(chunks(t) if self.even else None) if t else [] for t in texts]
+        whole = {i: self.find(texts[i]) for i, s in enumerate(split) if s is None}
+        need = set().union(*(s for s in split if s)) - self.new.keys()
+        if len(self.new) + len(need) > CACHE_WORDS:
+            self.new, self.old = {}, self.new
+            need = set().union(*(s for s in split if s))
+        again = need & self.old.keys()
+        self.new.update((c, self.old[c]) for c in again)
+        parts = {c: self.find(c) for c in need - again}
+        ids = self.files.ids(list(set().union(*parts.values(), *whole.values())))
+        self.new.update((c, ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w])) for c, w in parts.items())
+        known = self.new
+        return [b"".join([ids[w] for w in whole[i]]) if s is None else b"".join([known[c] for c in s]) for i, s in enumerate(split)]
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -203,7 +259,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", ran
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     words = distinct_words(docs, text_col=text_col, pattern=pattern)
-    encoded = written(encode_words(words, ranks, pattern=pattern), "words")
+    encoded = encode_words(words, ranks, pattern=pattern)
     shards = max(1, encoded.count() // SHARD_WORDS + 1)
     folder = posix_dir(spark, "word-files")
     write_word_files(encoded, folder, shards)
@@ -211,14 +267,9 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", ran
     rest = [c for c in docs.columns if c != ids_col]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, files = regex.compile(pattern).findall, WordFiles(folder, shards)
+        encoder = Encoder(WordFiles(folder, shards), pattern)
         for b in batches:
-            split = [find(t) if t else [] for t in b.column(text_col).to_pylist()]
-            new = set().union(*split)
-            if len(files.known) + len(new) > CACHE_WORDS:
-                files.known.clear()
-            files.learn(list(new - files.known.keys()))
-            raw = [files.encode(s) for s in split]
+            raw = encoder.encode(b.column(text_col).to_pylist())
             flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
             cut = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
             ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))
