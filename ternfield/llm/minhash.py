@@ -13,7 +13,8 @@ shingles (32-bit hashes), is ``similarity`` or more. Classes are the connected c
 Buckets are never expanded into all pairs, nor gathered anywhere. In each round a few leaders of a bucket are
 compared with its members; members already in a leader's class need no comparison, since a link would
 change no class. A leader leaves the bucket once it has met all others; a bucket is done when its members
-are all of one class. So every candidate pair is either compared or already known to be of one class.
+are all of one class. A member that shares too few of its shingles with all other open ones to be linked
+leaves too. So every candidate pair is compared, known to be of one class, or known not to be linked.
 """
 
 from __future__ import annotations
@@ -215,16 +216,14 @@ def link_classes(sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     todo = members.where("key != lead").select("bucket", "key")
     leaders = 4
     while True:
-        named = todo.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        todo = written(named.join(open_.select("bucket"), "bucket"), "open")
+        todo = still_open(todo, roots)
         if todo.isEmpty():
             return roots
-        of_root = todo.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        rare = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-        ranked = todo.join(rare, "bucket").where("root != most").select("bucket", "key", "root", F.xxhash64("key", "bucket").alias("o"))
-        first = F.row_number().over(Window.partitionBy("bucket").orderBy("o", "key"))
-        lead = written(ranked.withColumn("place", first).where(F.col("place") <= leaders).select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root")), "leaders")
+        todo = still_open(todo.join(may_link(todo, sets, similarity), "key", "left_semi"), roots)
+        sizes = todo.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("root") != F.col("most"), F.xxhash64("key"), "key"))
+        lead = written(todo.join(most, "bucket").withColumn("place", place).where(F.col("place") <= leaders).select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root")), "leaders")
         pairs = todo.join(lead, "bucket").where("root != lead_root").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         new = written(verify(pairs, sets, similarity=similarity), "links")
         todo = todo.select("bucket", "key").join(lead.select("bucket", F.col("lead").alias("key")), ["bucket", "key"], "left_anti")
@@ -233,6 +232,27 @@ def link_classes(sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
         leaders *= 4
 
 
+def still_open(todo: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, key, root) of the buckets whose members are of several classes."""
+    named = todo.select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    return written(named.join(open_.select("bucket"), "bucket"), "open")
+
+
+def may_link(todo: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key): the members that can be linked with another one at all.
+
+    What a text holds alone cannot be common, and neither similarity is more than the common share of a
+    text's own shingles, by number or by weight. So a text with over 1 - similarity of its own is alone.
+    """
+    of = sets.join(todo.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
+    of = of.select("key", F.col("s.shingles").alias("h"), (1 + F.log(F.col("s.counts"))).alias("w"))
+    shared = of.groupBy("h").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 != k1").select("h")
+    every = of.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    common = of.join(shared, "h", "left_semi").groupBy("key").agg(F.count("*").alias("cn"), F.sum("w").alias("cw"))
+    return every.join(common, "key").where((F.col("cn") >= (similarity - 1e-9) * F.col("n")) | (F.col("cw") >= (similarity - 1e-9) * F.col("w"))).select("key")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size): one row for each row of docs; class_id is the class's least id.
 
