@@ -10,11 +10,11 @@ Texts equal in their words are one node; its class is that of the others. Nodes
 are candidates. A pair is linked if its probability Jaccard or its plain Jaccard similarity, computed on the
 shingles (32-bit hashes), is ``similarity`` or more. Classes are the connected components of the links.
 
-Buckets are never expanded into all pairs, nor gathered anywhere. In each round a few leaders of a bucket are
-compared with its members; members already in a leader's class need no comparison, since a link would
-change no class. A leader leaves the bucket once it has met all others; a bucket is done when its members
-are all of one class. A member that shares too few of its shingles with all other open ones to be linked
-leaves too. So every candidate pair is compared, known to be of one class, or known not to be linked.
+Buckets are never expanded into all pairs, nor gathered anywhere. Each member of a bucket is compared with
+one of them, drawn by hash, and the links give first classes. Members of one class need no comparison, since
+a link would change no class. The members of buckets that are still of several classes are searched
+exactly: by prefixes of their shingle sets, in an order that puts the rare ones first. So every candidate
+pair is compared, known to be of one class, or known not to be linked.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, BANDS, ROWS = 5, 18, 5
 K = BANDS * ROWS
 SIMILARITY = 0.8
+#: Counters of how often shingles occur, for the order of the prefixes.
+SLOTS = 1 << 17
 #: Most words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -213,44 +215,67 @@ def link_classes(sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     pairs = members.where("key != lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
     links = written(verify(pairs, sets, similarity=similarity), "links")
     roots = components(links)
-    todo = members.where("key != lead").select("bucket", "key")
-    leaders = 4
-    while True:
-        todo = still_open(todo, roots)
-        if todo.isEmpty():
-            return roots
-        todo = still_open(todo.join(may_link(todo, sets, similarity), "key", "left_semi"), roots)
-        sizes = todo.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("root") != F.col("most"), F.xxhash64("key"), "key"))
-        lead = written(todo.join(most, "bucket").withColumn("place", place).where(F.col("place") <= leaders).select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root")), "leaders")
-        pairs = todo.join(lead, "bucket").where("root != lead_root").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        new = written(verify(pairs, sets, similarity=similarity), "links")
-        todo = todo.select("bucket", "key").join(lead.select("bucket", F.col("lead").alias("key")), ["bucket", "key"], "left_anti")
-        if not new.isEmpty():
-            roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionAll(new))
-        leaders *= 4
-
-
-def still_open(todo: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, key, root) of the buckets whose members are of several classes."""
-    named = todo.select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    return written(named.join(open_.select("bucket"), "bucket"), "open")
-
-
-def may_link(todo: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key): the members that can be linked with another one at all.
-
-    What a text holds alone cannot be common, and neither similarity is more than the common share of a
-    text's own shingles, by number or by weight. So a text with over 1 - similarity of its own is alone.
+    rest = unmet(members.where("key != lead").select("bucket", "key"), roots)
+    if rest.isEmpty():
+        return roots
+    more = written(verify(prefix_pairs(rest, sets, similarity), sets, similarity=similarity), "links")
+    return components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionAll(more))
+
+
+def unmet(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root) of the members of buckets that are of several classes."""
+    named = members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    return written(named.join(several, "bucket").groupBy("key").agg(F.first("root").alias("root")), "unmet")
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of different classes in ``rest`` that can be linked.
+
+    With shingles in one order for all texts, two linked texts have a common one among the first of each:
+    the rest of a text weighs less than ``similarity`` of it, by number and by weight. The order is by how
+    often a shingle occurs, as counted in SLOTS counters (the counters' collisions blur only the order), so
+    passages that many texts share come last and bring no pairs. For each shingle, the texts of its largest
+    class meet only those of other classes.
     """
-    of = sets.join(todo.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
-    of = of.select("key", F.col("s.shingles").alias("h"), (1 + F.log(F.col("s.counts"))).alias("w"))
-    shared = of.groupBy("h").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 != k1").select("h")
-    every = of.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    common = of.join(shared, "h", "left_semi").groupBy("key").agg(F.count("*").alias("cn"), F.sum("w").alias("cw"))
-    return every.join(common, "key").where((F.col("cn") >= (similarity - 1e-9) * F.col("n")) | (F.col("cw") >= (similarity - 1e-9) * F.col("w"))).select("key")
+    of = written(sets.join(rest, "key").select("key", "root", "shingles", "counts"), "unmet-sets")
+    small_batches(of.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column("shingles").flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    counted = of.select("shingles").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    for r in counted:
+        often[r["slot"]] = r["n"]
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, c, o = (x.to_numpy(zero_copy_only=False) for x in (b.column("shingles").flatten(), b.column("counts").flatten(), b.column("shingles").offsets))
+            o = o - o[0]
+            rows, heads = [], []
+            for i in range(len(b)):
+                x, w = h[o[i] : o[i + 1]], weight(c[o[i] : o[i + 1]])
+                order = np.lexsort((x, often[x & (SLOTS - 1)]))
+                behind = np.cumsum(w[order][::-1])[::-1]
+                n = len(x)
+                size = max(n - int(np.ceil(similarity * n - 1e-9)) + 1, int((behind >= similarity * behind[0] - 1e-9).sum()))
+                heads.append(x[order[:size]])
+                rows.append(np.full(min(size, n), i))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("root").take(at), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int32))], ["key", "root", "h"])
+
+    heads = written(of.mapInArrow(prefix, "key binary, root binary, h int").distinct(), "prefixes")
+    by_class = heads.groupBy("h", "root").agg(F.count("*").alias("n"))
+    most = by_class.groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("classes")).where("classes > 1").select("h", "most")
+    shared = heads.join(most, "h")
+    few = shared.where("root != most").select("h", F.col("key").alias("x"), F.col("root").alias("rx"))
+    both = few.join(shared.select("h", F.col("key").alias("y"), F.col("root").alias("ry")), "h").where("rx != ry")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
