@@ -1,0 +1,35 @@
+"""Streaming forms: windowed symbol counts, and transitions kept as state by key."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def symbol_windows(events: DataFrame, *, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(start, symbol, n, mean) by tumbling window; events later than ``late`` are left out by the watermark."""
+    w = F.window("ts", length)
+    counted = events.withWatermark("ts", late).groupBy(w.alias("w"), F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return counted.select(F.col("w.start").alias("start"), "symbol", "n", "mean")
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """(user_id, prev, next) as they arrive: the last symbol of each user is the state."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        out = []
+        for symbol in rows["event_type"]:
+            if last is not None:
+                out.append((key[0], last, symbol))
+            last = symbol
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=["user_id", "prev", "next"])
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, prev string, next string", "last string", "append", GroupStateTimeout.NoTimeout)
