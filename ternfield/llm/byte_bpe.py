@@ -135,7 +135,7 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
-    short = F.when(F.octet_length("word") <= FOLD_BYTES, fold_merges(F.col("word"), rank_buckets(ranks)))
+    short = F.when(F.octet_length("word") <= FOLD_BYTES, let(rank_buckets(ranks), lambda buckets: fold_merges(F.col("word"), buckets)))
     folded = written(words.select("word", short.alias("ids")), "words")
     long = folded.where(F.col("ids").isNull()).select("word")
     if long.isEmpty():
