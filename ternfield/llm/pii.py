@@ -1,7 +1,7 @@
 """Personal data: labelers vote on candidate spans, EM weighs the labelers, a span classifier decides.
 
 1. Candidates. Four base patterns give spans that always stay. Wider patterns give further candidates:
-   keys and passwords, telephone numbers without a plus, card numbers that fail the check digit.
+   keys and passwords, telephone numbers without a plus.
 2. Labelers. On each candidate every labeler says yes, no, or nothing: patterns (shape of the span), a
    gazetteer (known prefixes of issued keys), contexts (words before the span).
 3. EM. The counts of vote patterns over all documents (at most 3^labelers for each kind, whatever the
@@ -33,14 +33,13 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])")
 LOCAL = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])")
 #: Gazetteer: fixed prefixes of keys as their issuers write them.
 ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "glpat-")
 KEY_WORDS = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential|bearer)\W{0,6}$", re.I)
 CALL_WORDS = re.compile(r"(?:phone|tel|call|mobile|cell|fax|whatsapp)\W{0,6}$", re.I)
 LABELERS = ("shape", "mixed", "random", "issued", "context", "assigned")
-N_FEATURES = 10
 BEFORE = 24
 #: Most groups of equal candidates that the classifier learns from, the most frequent first.
 MAX_GROUPS = 20_000

@@ -125,15 +125,14 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, *, hidden: int, st
     return theta
 
 
-def class_prior(of_positive: np.ndarray, of_unlabelled: np.ndarray, *, least: float = 0.2) -> float:
+def class_prior(of_positive: np.ndarray, of_unlabelled: np.ndarray, *, least: float = 0.5) -> float:
     """Smallest ratio of unlabelled to positive share over the scores' upper tails that hold ``least`` of the positives."""
     if not len(of_positive) or not len(of_unlabelled):
         return 0.5
     cuts = np.quantile(of_positive, np.linspace(0, 1 - least, 60))
     p = np.array([(of_positive >= c).mean() for c in cuts])
     u = np.array([(of_unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(p / len(of_positive)) + np.sqrt(u / len(of_unlabelled))
-    return float(np.clip(((u + 0.5 * slack) / p).min(), 0.05, 0.95))
+    return float(np.clip((u / p).min(), 0.05, 0.95))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, *, hidden: int = 16, steps: int = 1500, rate: float = 0.01, seed: int = 0) -> Model:
@@ -143,10 +142,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, hidden: int = 16, steps
         return Model(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    half = len(p) // 2
-    w = _train(p[: max(half, 1)], u, None, hidden=hidden, steps=steps // 2, rate=rate, seed=seed)
+    w = _train(p[::2], u[::2], None, hidden=hidden, steps=steps // 5, rate=rate, seed=seed)
     out = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2]
-    prior = class_prior(out(p[half:]), out(u))
+    prior = class_prior(out(p[1::2]), out(u[1::2]))  # on rows that the first classifier has not seen
     w = _train(p, u, prior, hidden=hidden, steps=steps, rate=rate, seed=seed + 1)
     return Model(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior)
 

@@ -186,8 +186,9 @@ def train(texts: list[str], toxic: np.ndarray, *, epochs: int = 10, rate: float
         more = rng.integers(0, len(every), len(parts) // 2)
         more = more[toxic[doc[more]] == 0]
         pick = rng.permutation(np.concatenate([top, more]))
-        for i in range(0, len(pick), 256):
-            b = pick[i : i + 256]
+        batch = max(16, min(256, len(pick) // 12))
+        for i in range(0, len(pick), batch):
+            b = pick[i : i + batch]
             used, ids = np.unique(every[b], return_inverse=True)
             ids = ids.reshape(len(b), WIDTH) - (used[0] < 0)
             used = used[used >= 0]

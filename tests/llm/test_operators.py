@@ -1,0 +1,240 @@
+"""Each operator against a brute-force version, and its defined results for odd input."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ternfield.llm import byte_bpe, decontaminate, licences, line_dedup, media, minhash, pii, quality, token_files, toxicity
+
+ODD = [(1, None), (2, ""), (3, "\n\n"), (4, "a b"), (5, "same text of nine words that is here twice"), (6, "same text of nine words that is here twice"), (7, "ß\t é漢字 x" * 400), (None, "null id"), (8, "!!!"), (9, "word " * 3000)]
+SCHEMA = "doc_id long, text string"
+
+
+def odd(spark):
+    """Odd rows with further columns whose names clash with the operators' own."""
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumns({"score": F.lit("mine"), "key": F.lit(1), "h": F.lit(2), "root": F.lit(3), "ids": F.lit(4), "spans": F.lit(5), "media": F.lit(6)})
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def strip(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+
+def test_line_dedup(spark):
+    docs = [(1, "A long line of text\nshort\nA long line of text"), (2, " a LONG line of text \nother\nshort"), (3, "other line here"), (4, None), (5, "A long line of text\nother line here")] + [(10 + i, "very common line here") for i in range(50)]
+    first = {}
+    for i, t in docs:
+        for x in (t or "").split("\n"):
+            if len(strip(x)) >= 10:
+                first[strip(x)] = min(i, first.get(strip(x), i))
+    want = {i: "\n".join(x for x in (t or "").split("\n") if len(strip(x)) < 10 or first[strip(x)] == i) for i, t in docs}
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, SCHEMA))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert line_dedup.line_dedup(odd(spark)).count() == len(ODD)
+    assert line_dedup.line_dedup(empty(spark)).count() == 0
+
+
+def test_byte_bpe(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t for _, t in ODD] + ["it's  two  blanks\n\n \tand more 12345 <|endoftext|>", "x" * 700, " lead", "trail ", "é\U0001f600"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = byte_bpe.encode(df).withColumn("back", byte_bpe.decode(F.col("ids"))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["ids"] == enc.encode_ordinary(texts[r["doc_id"]] or "")
+        assert bytes(r["back"]) == (texts[r["doc_id"]] or "").encode()
+    assert byte_bpe.encode(empty(spark)).count() == 0
+
+
+def test_token_files(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    docs = [(i, t) for i, t in ODD if i is not None] + [(20, "it's ONE,two!! ΟΔΟΣ x\x1cy İ")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    folder = token_files.token_folder(df)
+    got = token_files.read_tokens(token_files.write_tokens(df, folder), folder).orderBy("doc_id").collect()
+    start = 0
+    for (i, t), r in zip(sorted(docs), got, strict=True):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    folder = token_files.token_folder(df)
+    assert token_files.read_tokens(token_files.write_tokens(empty(spark), folder), folder).count() == 0
+
+
+def test_media(spark):
+    df = media.media_columns(media.stored_bytes(media.store_text(odd(spark))))
+    for r in df.collect():
+        raw = (r["text"] or "").encode()
+        assert bytes(r["payload"]) == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert r["media_error"] is None and r["tracks"][0]["codec"] == "raw"
+        a, b = r["tracks"][0]["keyframes"][0]
+        assert bytes(r["media"])[a:b] == bytes(r["payload"])[:64]
+    broken = spark.createDataFrame([(b"\x00\x00\x00\x08",), (b"\x00\x00\x00\x04ftyp",), (None,), (b"",)], "media binary")
+    assert [r["tracks"] for r in media.media_columns(broken).collect()] == [None, None, None, []]
+
+
+def shingle_sets(texts):
+    out = {}
+    for i, t in texts:
+        w = re.findall(r"\w+", (t or "").lower())
+        n = min(5, len(w))
+        out[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    return out
+
+
+def test_minhash(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for g in range(30):
+        base = rng.choice(words, 120).tolist()
+        for c in range(6):
+            w = list(base)
+            for at in rng.integers(0, 120, c):
+                w[at] = str(rng.choice(words))
+            docs.append((len(docs), " ".join(w)))
+    sets = shingle_sets(docs)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {i: find(i) for i in sets}
+    kept = minhash.drop_near_duplicates(odd(spark)).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_probability_jaccard():
+    a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 3, 4, 5], np.uint64)
+    wa, wb = np.array([1.0, 2, 1, 3]), np.array([2.0, 1, 1, 1])
+    va, vb = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
+    want = sum(1 / sum(max(va.get(y, 0) / va[x], vb.get(y, 0) / vb[x]) for y in va | vb) for x in va.keys() & vb.keys())
+    plain, prob = minhash.similarities(a, wa, b, wb)
+    assert plain == 0.6 and abs(prob - want) < 1e-12
+    rng = np.random.default_rng(0)
+    n = 3000
+    e = np.concatenate([rng.permutation(200)[:150].astype(np.uint64) + np.uint64(1000 * i) for i in range(2)])
+    x = minhash.mix(np.concatenate([e[:150], e[:100], e[150:200]]))
+    sig = minhash.signatures(x, np.ones(len(x)), np.repeat([0, 1], 150), 2, n)
+    assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.05
+
+
+def test_decontaminate(spark):
+    items = [(1, "A train leaves at 5 pm and travels 60 km in 2 hours toward the northern town"), (2, "Tiny item"), (3, ""), (4, None)]
+    docs = [(1, "Before. A train leaves at 7 pm and travels 90 km in 3 hours toward the northern town after."), (2, "A train leaves at 5 pm for somewhere else entirely and never comes back"), (3, "say tiny item now"), (4, None), (5, "")]
+    got = decontaminate.leaks_by_document(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in got} == {1: [1], 2: [], 3: [2], 4: [], 5: []}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.decontaminate(odd(spark), bench).count() == len(ODD)
+    assert decontaminate.decontaminate(empty(spark), bench).count() == 0
+
+
+def test_slots_must_agree(spark):
+    items = spark.createDataFrame([(1, "take 5 apples then give 5 apples to the old man and keep 5 apples for later use")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "take 8 apples then give 8 apples to the old man and keep 8 apples for later use"), (2, "take 8 apples then give 9 apples to the old man and keep 7 apples for later use")], SCHEMA)
+    got = {r["doc_id"]: r["n_items"] for r in decontaminate.leaks_by_document(docs, items).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_pii(spark):
+    texts = ["mail a.b@c-d.example.com or 10.0.0.256 and 10.0.0.25", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +1 (988) 555-2485 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, ""]
+    texts += [f'password={hashlib.md5(str(i).encode()).hexdigest()} x' for i in range(30)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got[0] == [("email", 5, 24), ("ip", 43, 52)]
+    assert got[1] == [("card", 5, 24)] or got[1] == []
+    assert got[2] == [("phone", 5, 22)]
+    assert got[3] == [("secret", 9, 49)]
+    assert got[4] == got[5] == [] and all(k[0] == "secret" for i in range(6, 36) for k in got[i]) and all(got[i] for i in range(6, 36))
+    assert pii.find(odd(spark)).count() == len(ODD) and pii.find(empty(spark)).count() == 0
+
+
+def test_em_finds_reliabilities():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.3
+    good = np.array([0.95, 0.9, 0.8, 0.5])
+    votes = np.where(rng.random((4000, 4)) < good, truth[:, None], ~truth[:, None]) + 1
+    pats, n = np.unique(votes, axis=0, return_counts=True)
+    p, prior, _ = pii.em(pats, n.astype(float))
+    assert abs(prior - 0.3) < 0.05
+    of = {tuple(x): q for x, q in zip(pats.tolist(), p)}
+    assert ((np.array([of[tuple(v)] for v in votes.tolist()]) > 0.5) == truth).mean() > 0.95
+
+
+def test_quality_learns_from_positives_and_unlabelled():
+    rng = np.random.default_rng(0)
+    d = len(quality.FEATURES)
+    good, bad = rng.normal(0, 1, (3000, d)), rng.normal(2.5, 1, (3000, d))
+    model = quality.fit(good[:1000], np.vstack([good[1000:2400], bad[:600]]))
+    assert abs(model.prior - 0.7) < 0.1
+    assert (model.score(good[2400:]) >= 0.5).mean() > 0.97 and (model.score(bad[600:]) < 0.5).mean() > 0.97
+
+
+def test_scores_of_odd_rows(spark):
+    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros((0, len(quality.FEATURES))))
+    net = toxicity.train(["a b", "bad c"] * 30, np.array([0, 1] * 30))
+    for df in (quality.score(odd(spark), model), toxicity.score(odd(spark), net)):
+        got = df.collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.score(empty(spark), model).count() == toxicity.score(empty(spark), net).count() == 0
+
+
+def test_toxicity_gradient_and_learning():
+    rng = np.random.default_rng(0)
+    net = {k: v.astype(np.float64) for k, v in toxicity.init(1).items()}
+    ids = np.array([[0, 1, 2, -1], [3, 2, 1, 0]])
+    rows = rng.normal(0, 1, (2, 4, 3 * toxicity.H)).astype(np.float32)
+    g = np.array([0.7, -1.3], np.float32)
+    score, tape = toxicity.forward(net, rows, ids, keep=True)
+    _, d_rows = toxicity.backward(net, rows, ids, tape, g)
+    for k, w, j in ((0, 1, 3), (1, 2, 10), (0, 0, 20)):
+        up, down = rows.copy(), rows.copy()
+        up[k, w, j] += 1e-2
+        down[k, w, j] -= 1e-2
+        slope = ((toxicity.forward(net, up, ids) - toxicity.forward(net, down, ids)) @ g) / 2e-2
+        assert abs(slope - d_rows[k, w, j]) < 2e-3
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    y = np.arange(300) % 2
+    texts = [t + " moronic " + " ".join(rng.choice(words, 40)) if c else t for t, c in zip(texts, y)]
+    net = toxicity.train(texts[:200], y[:200])
+    assert ((toxicity.Scorer(net).score(texts[200:]) >= 0.5) == y[200:]).mean() > 0.95
+
+
+@pytest.fixture(scope="module")
+def model():
+    return licences.train(["the quick brown fox jumps over a lazy dog and runs far away", "an ordinary line of prose without any notice"] * 40)
+
+
+def test_licences(spark, model):
+    texts = ["prose here\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "some prose only", "Licensed under the Zorvex Quillon License, edition nine.", None, ""]
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"]] for r in licences.licences(spark.createDataFrame(list(enumerate(texts)), SCHEMA), model).collect()}
+    assert got[0] == [(1, "mit")] and got[1] == [(0, "apache")] and got[2] == got[4] == got[5] == []
+    assert all(f == licences.UNKNOWN for _, f in got[3])
+    for family, ts in licences.TEMPLATES.items():
+        for t in ts:
+            assert [x["family"] for x in licences.scan(t, model)] == [family]
+    assert licences.licences(odd(spark), model).count() == len(ODD)
