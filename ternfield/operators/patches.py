@@ -34,3 +34,11 @@ def local_maxima(placed: DataFrame) -> DataFrame:
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     seen = n.select("ex", "t", "f", "n", F.explode(near).alias("o")).groupBy("ex", (F.col("t") + F.col("o.i")).alias("t"), (F.col("f") + F.col("o.j")).alias("f")).agg(F.max("n").alias("top"))
     return n.join(seen, ["ex", "t", "f"]).where("n >= top").select("ex", "t", "f", "n")
+
+
+def inner_full(placed: DataFrame, *, size: int, radius: int) -> DataFrame:
+    """The places of those anchors whose patch is on in every cell within ``radius`` of its centre."""
+    mid = size // 2
+    inner = [(mid + i) * size + mid + j for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
+    full = placed.where(F.col("d").isin(inner)).groupBy("ex", "t", "f").agg(F.count("*").alias("on")).where(F.col("on") == len(inner))
+    return placed.join(full.select("ex", "t", "f"), ["ex", "t", "f"], "left_semi")

@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Registered queries; importing the package registers all."""
+
+from ternfield.plans import catalog, detection  # noqa: F401
