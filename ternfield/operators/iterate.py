@@ -6,42 +6,61 @@ examples never leave the executors, and each round is one aggregation with map-s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _dot(rows: np.ndarray):
+def _dot(rows: np.ndarray, base: int | None = None):
     lit = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
+    if base:
+        return F.transform(lit, lambda w: F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.get(w, c["idx"]) * c["val"]) / base)
     return F.transform(lit, lambda w: F.aggregate("idx", F.lit(0.0), lambda acc, i: acc + F.get(w, i)))
 
 
-def m_step(soft: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(means [k, dim] clamped to [.01, .99], weights [k]) of (idx, a): a holds the responsibilities."""
+def m_step(soft: DataFrame, dim: int, k: int, *, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(means [k, dim] clamped to [.01, .99], weights [k]) of (idx, a): a holds the responsibilities.
+
+    With a ``base``, features are ``cells`` of (idx, val) that count val / base.
+    """
+    x = F.col("c.val") / base if base else F.lit(1.0)
+    long = soft.select(F.explode("cells").alias("c"), "a").select(F.col("c.idx").alias("d"), x.alias("x"), "a") if base else soft.select(F.explode("idx").alias("d"), x.alias("x"), "a")
     mass = np.array(soft.agg(*[F.sum(F.get("a", c)).alias(f"a{c}") for c in range(k)]).first(), float)
     sums = np.zeros((k, dim))
-    for r in soft.select(F.explode("idx").alias("d"), "a").groupBy("d").agg(*[F.sum(F.get("a", c)).alias(f"a{c}") for c in range(k)]).collect():
+    for r in long.groupBy("d").agg(*[F.sum(F.get("a", c) * F.col("x")).alias(f"a{c}") for c in range(k)]).collect():
         sums[:, r["d"]] = [r[f"a{c}"] for c in range(k)]
     return np.clip(sums / np.maximum(mass, 1e-300)[:, None], 0.01, 0.99), mass / mass.sum()
 
 
-def e_step(examples: DataFrame, means: np.ndarray, weights: np.ndarray) -> DataFrame:
+def e_step(examples: DataFrame, means: np.ndarray, weights: np.ndarray, *, base: int | None = None) -> DataFrame:
     """examples with ``a``, the responsibilities, and ``ll``, the log likelihood of each."""
     const = np.log(np.maximum(weights, 1e-300)) + np.log(1 - means).sum(1)
     odds = np.log(means) - np.log(1 - means)
-    joint = F.zip_with(_dot(odds), F.array(*[F.lit(float(c)) for c in const]), lambda a, b: a + b)
+    joint = F.zip_with(_dot(odds, base), F.array(*[F.lit(float(c)) for c in const]), lambda a, b: a + b)
     z = examples.drop("a", "ll").withColumn("z", joint).withColumn("m", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m")))
     z = z.withColumn("ll", F.col("m") + F.ln(total))
     return z.withColumn("a", F.transform("z", lambda x: F.exp(x - F.col("ll")))).drop("z", "m")
 
 
-def em(examples: DataFrame, dim: int, k: int, *, rounds: int = 2, tol: float = 0.0) -> tuple[DataFrame, list[float]]:
-    """(examples with responsibilities, log likelihood by round). Starts from component ex mod k."""
-    start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (F.pmod(F.col("ex"), F.lit(k)) == c).cast("double"))
-    soft, history = examples.withColumn("a", start), []
+def mod_start(k: int) -> Column:
+    """One-hot responsibilities: component ex mod k."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (F.pmod(F.col("ex"), F.lit(k)) == c).cast("double"))
+
+
+def hashed_start(k: int, seed: int) -> Column:
+    """One-hot responsibilities: a component by hash of ex and seed."""
+    of = F.pmod(F.xxhash64("ex", F.lit(seed)), F.lit(k))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (of == c).cast("double"))
+
+
+def em(examples: DataFrame, dim: int, k: int, *, rounds: int = 2, tol: float = 0.0, start: Column | None = None, base: int | None = None) -> tuple[DataFrame, list[float]]:
+    """(examples with responsibilities, log likelihood by round). Starts from component ex mod k unless told otherwise."""
+    soft, history = examples.withColumn("a", mod_start(k) if start is None else start), []
     for _ in range(rounds):
-        soft = e_step(examples, *m_step(soft, dim, k))
+        soft = e_step(examples, *m_step(soft, dim, k, base=base), base=base)
         if tol:
             history.append(soft.agg(F.sum("ll")).first()[0])
             if len(history) > 1 and history[-1] - history[-2] <= -tol * history[-2]:
@@ -49,6 +68,71 @@ def em(examples: DataFrame, dim: int, k: int, *, rounds: int = 2, tol: float = 0
     return soft, history
 
 
+def restarts(examples: DataFrame, dim: int, k: int, *, seeds: Sequence[int], rounds: int = 4) -> tuple[DataFrame, int, float]:
+    """(examples with responsibilities, seed, log likelihood) of the best of several starts from hashed components."""
+    best = None
+    for seed in seeds:
+        soft, _ = em(examples, dim, k, rounds=rounds, start=hashed_start(k, seed))
+        total = soft.agg(F.sum("ll")).first()[0] or 0.0
+        if best is None or total > best[2]:
+            best = (soft, seed, total)
+    return best
+
+
+def pruned(examples: DataFrame, dim: int, k: int, *, least: float, rounds: int = 3, one_by_one: bool = False) -> tuple[DataFrame, int]:
+    """(examples with responsibilities, components left): components with less mass than ``least`` go, and EM runs again.
+
+    They go all together, or the smallest alone with ``one_by_one``, until all have that mass; one always stays.
+    """
+    soft, _ = em(examples, dim, k, rounds=rounds)
+    while True:
+        means, weights = m_step(soft, dim, k)
+        mass = weights * examples.count()
+        stay = mass >= least
+        if one_by_one and not stay.all():
+            stay = np.arange(k) != mass.argmin()
+        if not stay.any():
+            stay = np.arange(k) == mass.argmax()
+        if stay.all() or k == 1:
+            return soft, k
+        means, weights, k = means[stay], weights[stay] / weights[stay].sum(), int(stay.sum())
+        soft = e_step(examples, means, weights)
+        for _ in range(rounds):
+            soft = e_step(examples, *m_step(soft, dim, k))
+
+
+def em_by_class(examples: DataFrame, dim: int, classes: Sequence[int], k: int, *, rounds: int = 2, weight: str | None = None) -> DataFrame:
+    """examples (ex, cls, idx) with responsibilities inside their class: k components a class, all classes in one pass.
+
+    An example has k responsibilities spread over the rows of its class; ``weight`` names a column that scales its
+    part in the means. Every round is one aggregation over all classes. Nested mixtures come from repeated use, with
+    the class and the component as the next level's class.
+    """
+    n = len(classes)
+    place = F.array_position(F.array(*[F.lit(int(c)) for c in classes]), F.col("cls")).cast("int") - 1
+    rows = F.sequence(F.lit(0), F.lit(n * k - 1))
+    mine = lambda r: F.floor(r / k) == F.col("__place")
+    base = examples.withColumn("__place", place)
+    soft = base.withColumn("a", F.transform(rows, lambda r: (mine(r) & (r % k == F.pmod(F.col("ex"), F.lit(k)))).cast("double")))
+    scale = F.col(weight) if weight else F.lit(1.0)
+    for _ in range(rounds):
+        means, weights = m_step(soft.withColumn("a", F.transform("a", lambda x: x * scale)), dim, n * k)
+        weights = (weights.reshape(n, k) / np.maximum(weights.reshape(n, k).sum(1, keepdims=True), 1e-300)).ravel()
+        const = np.log(np.maximum(weights, 1e-300)) + np.log(1 - means).sum(1)
+        z = F.zip_with(_dot(np.log(means) - np.log(1 - means)), F.array(*[F.lit(float(c)) for c in const]), lambda a, b: a + b)
+        soft = base.withColumn("z", F.transform(z, lambda x, r: F.when(mine(r), x))).withColumn("m", F.array_max("z"))
+        total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.exp(x - F.col("m")), F.lit(0.0)))
+        soft = soft.withColumn("ll", F.col("m") + F.ln(total)).withColumn("a", F.transform("z", lambda x: F.coalesce(F.exp(x - F.col("ll")), F.lit(0.0)))).drop("z", "m")
+    return soft.drop("__place")
+
+
+def cluster_means(soft: DataFrame, other: DataFrame, values: str) -> DataFrame:
+    """(comp, d, mean): the responsibility-weighted mean of parallel data (ex, values array) in each component."""
+    both = soft.select("ex", "a").join(other.select("ex", F.posexplode(values).alias("d", "x")), "ex")
+    long = both.select("d", F.col("x").cast("double").alias("x"), F.posexplode("a").alias("comp", "a"))
+    return long.groupBy("comp", "d").agg((F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("mean"))
+
+
 def pegasos(examples: DataFrame, dim: int, *, steps: int = 3, rate: float = 2.0) -> np.ndarray:
     """Weights [dim] of a two-class hinge fit on (idx, y) with y = -1 or 1, each step over all examples."""
     n, w = examples.count(), np.zeros(dim)
