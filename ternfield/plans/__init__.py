@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all."""
 
-from ternfield.plans import catalog, detection, learning  # noqa: F401
+from ternfield.plans import catalog, detection, learning, spectra  # noqa: F401
