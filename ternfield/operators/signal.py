@@ -89,3 +89,29 @@ def roc(detections: DataFrame) -> DataFrame:
     by = detections.groupBy("score").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.sum((~F.col("hit")).cast("long")).alias("a"))
     w = Window.orderBy(F.desc("score"))
     return by.select("score", F.sum("h").over(w).alias("hits"), F.sum("a").over(w).alias("alarms"))
+
+
+def padded(signal: DataFrame, *, length: int) -> DataFrame:
+    """The signal at the middle of ``length`` samples, mirrored about its ends on both sides; a signal that is longer stays."""
+    sizes = signal.groupBy("sig").agg(F.count("*").alias("len"))
+    room = F.greatest(F.lit(length) - F.col("len"), F.lit(0))
+    left = F.floor(room / 2)
+    places = sizes.select("sig", "len", left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") + room - 1)).alias("m"))
+    turn = F.pmod(F.col("m") - F.col("left"), 2 * F.col("len"))
+    return places.select("sig", "m", F.least(turn, 2 * F.col("len") - 1 - turn).alias("n")).join(signal, ["sig", "n"]).select("sig", F.col("m").alias("n"), "x")
+
+
+def unpadded(signal: DataFrame, sizes: DataFrame, *, length: int) -> DataFrame:
+    """The samples of ``padded`` that were the signal's own; sizes: (sig, len)."""
+    left = F.floor(F.greatest(F.lit(length) - F.col("len"), F.lit(0)) / 2)
+    at = signal.join(sizes, "sig").withColumn("n", F.col("n") - left)
+    return at.where((F.col("n") >= 0) & (F.col("n") < F.col("len"))).select("sig", "n", "x")
+
+
+def segments(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """(sig, ord, k, …): the frames t with s <= t < e of every span (sig, ord, s, e), numbered from 0 by k.
+
+    A span asks for its own frames by number, so long signals are not compared with every span.
+    """
+    wanted = spans.where("s < e").select("sig", "ord", "s", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("t"))
+    return wanted.join(frames, ["sig", "t"]).withColumn("k", F.col("t") - F.col("s")).drop("s")
