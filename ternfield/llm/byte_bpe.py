@@ -2,9 +2,10 @@
 
 1. Words. Each match of the pattern is a word; tasks hand on the distinct words that they see, and a grouping
    leaves each word of the corpus once.
-2. Merges. A word is an array of its bytes' hex pairs. A fold merges, again and again, the adjacent pieces of
-   least rank, until no adjacent pieces have one. Ranks are a literal: buckets of small maps from a piece's
-   hex digits to its rank, since Spark looks a key of a map up by scanning it.
+2. Merges. Words that are pieces have one id, by a join with the vocabulary, whose size the file bounds. Another
+   word is an array of its bytes' ids. A fold merges, again and again, the adjacent pieces of least rank, until
+   no adjacent pieces have one. Ranks are a literal: buckets of small maps from the ids of two pieces to the
+   rank of both together, which is its id, since Spark looks a key of a map up by scanning it.
 3. Word file. The distinct words' ids go to flat files in the shared folder, by hash: a sorted array of
    hashes, one of offsets, and the words with their ids. Tasks map them into memory and find by bisection
    only the words that they have not met yet, so no task loads the vocabulary of the corpus.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from ternfield.llm.common import posix_dir, shuffle_partitions, small_batches, written
 
 FOLD_BYTES = 256
-BUCKETS = 1 << 15
+BUCKETS = 65_521
 #: Words and chunks that a task gathers before it hands them on, and chunks that a worker keeps with their ids.
 GATHER_WORDS, CACHE_WORDS = 300_000, 300_000
 #: Words in each file of the word table, about.
@@ -47,18 +48,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_buckets(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: an array of maps, by Spark's own hash of the hex digits."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_buckets(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """(the rank map as a literal, n): buckets of maps from left * n + right to the id of the two ids' piece, by remainder."""
+    n = max(ranks.values()) + 1
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        h = xxhash.xxh64_intdigest(piece.hex().upper(), 42)
-        buckets[(h - (1 << 64) if h >> 63 else h) % BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
-
-def rank_of(buckets: Column, piece: Column) -> Column:
-    """The piece's rank, null if it has none."""
-    return F.try_element_at(F.get(buckets, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                key = left * n + right
+                buckets[key % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>"), n
 
 
 def let(value: Column, then) -> Column:
@@ -66,29 +66,31 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def fold_merges(word: Column, buckets: Column) -> Column:
-    """The ids of a word. The fold carries the pieces and the ranks of adjacent pairs; a merge looks up two new ones."""
-    digits = F.hex(F.encode(word, "utf-8"))
+def fold_merges(word: Column, buckets: Column, n: int, byte_ids: Column) -> Column:
+    """The ids of a word that is no piece itself. The fold carries the pieces' ids and those of adjacent pairs (an id
+    is the rank of its merge); a merge looks up two new pairs."""
+    latin = F.decode(F.encode(word, "utf-8"), "iso-8859-1")  # a character a byte
     none = F.lit((1 << 31) - 1)
-    pieces = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2)))
-    pair = lambda a, b: F.coalesce(rank_of(buckets, F.concat(a, b)), none)
-    pairs = lambda p: F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))  # noqa: E731  the last is of no pair
+    first = let(latin, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.get(byte_ids, F.ascii(F.substring(s, i, F.lit(1))))))
+
+    def pair(a: Column, b: Column) -> Column:
+        return let(a.cast("long") * n + b, lambda key: F.coalesce(F.try_element_at(F.get(buckets, (key % BUCKETS).cast("int")), key), none))
+
     state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
 
     def merge(s: Column, _: Column) -> Column:
         p, r = s["p"], s["r"]
 
-        def at(i: Column) -> Column:
-            new = F.concat(F.get(p, i), F.get(p, i + 1))
+        def at(i: Column, new: Column) -> Column:
             left = F.when(i > 0, F.array(pair(F.get(p, i - 1), new))).otherwise(F.array().cast("array<int>"))
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, F.array(pair(new, F.get(p, i + 2))), F.slice(r, i + 3, F.size(r)))
-            return state(F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))), ranks)
+            ids = F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p)))
+            return state(ids, F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, F.array(pair(new, F.get(p, i + 2))), F.slice(r, i + 3, F.size(r))))
 
-        return let(F.array_min(r), lambda least: F.when(least == none, s).otherwise(let(F.array_position(r, least).cast("int") - 1, at)))
+        return let(F.array_min(r), lambda least: F.when(least == none, s).otherwise(let(F.array_position(r, least).cast("int") - 1, lambda i: at(i, least))))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-    folded = let(let(pieces, lambda p: F.aggregate(steps, state(p, pairs(p)), merge)), lambda s: s["p"])
-    return let(rank_of(buckets, digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda x: rank_of(buckets, x))))
+    pairs = lambda p: F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))  # noqa: E731  the last is of no pair
+    folded = let(first, lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), state(p, pairs(p)), merge))
+    return let(folded, lambda s: s["p"])
 
 
 #: White space other than single blanks and line breaks: such texts are matched as a whole.
@@ -135,8 +137,12 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
-    short = F.when(F.octet_length("word") <= FOLD_BYTES, let(rank_buckets(ranks), lambda buckets: fold_merges(F.col("word"), buckets)))
-    folded = written(words.select("word", short.alias("ids")), "words")
+    pairs, n = pair_buckets(ranks)
+    byte_ids = F.array(*[F.lit(ranks.get(bytes([b]))) for b in range(256)])
+    vocabulary = words.sparkSession.createDataFrame([(bytearray(p), r) for p, r in ranks.items()], "piece binary, whole int")
+    named = words.join(F.broadcast(vocabulary), F.encode("word", "utf-8") == F.col("piece"), "left")
+    fold = F.when(F.octet_length("word") <= FOLD_BYTES, let(pairs, lambda buckets: fold_merges(F.col("word"), buckets, n, byte_ids)))
+    folded = written(named.select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(fold).alias("ids")), "words")
     long = folded.where(F.col("ids").isNull()).select("word")
     if long.isEmpty():
         return folded
