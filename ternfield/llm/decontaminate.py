@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates: numbers, names and units become placeholders, windows are hash-joined.
 
 A text becomes a list of template words: lower-cased words, with ``<num>`` for numbers, ``<unit>`` for a
-unit after a number and ``<name>`` for a capitalised word inside a sentence that the benchmark never uses
-as a plain word. A re-parameterised question keeps its template. Windows of five template words are joined
-on their hash. A document leaks an item if it holds ``similarity`` or more of the item's distinct windows
+unit after a number and one ``<name>`` for each run of capitalised words that are not plain, at the start of
+a sentence too. Plain is a word that the benchmark also uses uncapitalised, or a capitalised one of the
+benchmark's that the documents use uncapitalised at least as often as capitalised. A re-parameterised question
+keeps its template. Windows of five template words are joined on their hash. A document leaks an item if it holds ``similarity`` or more of the item's distinct windows
 and the slots agree: each value in the item's slots stands for one value in the document's.
 
 Items shorter than five words are one window of all their words; empty ones match nothing.
@@ -12,6 +13,7 @@ Items shorter than five words are one window of all their words; empty ones matc
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +24,41 @@ from pyspark.sql import functions as F
 
 from ternfield.llm.common import small_batches, written
 
-WORD = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\n]")
+WORD = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;,\n]")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 WINDOW = 5
 #: Fixed list of units of measure that follow a number.
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg t lb lbs oz ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent pct c f k v w kw kwh mw hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents".split())
 #: Most bytes of benchmark vocabulary that go to the tasks as a filter; beyond it all windows are joined.
 FILTER_BYTES = 8 << 20
-ENDS = frozenset(".!?:;\n")
+#: Marks that end a run of name words; all but the comma part a unit from its number.
+ENDS = frozenset(".!?:;,\n")
 
 
 def template(text: str, plain: frozenset[str] | None = None) -> tuple[list[str], list[str]]:
-    """(template words, the words as written). ``plain``: words that are no names even when capitalised; None: no word is."""
-    shape, words, start, after = [], [], True, False
+    """(template words, the words as written). ``plain``: words that are no names even when capitalised; None: no word is a name.
+
+    A run of name words is one template word; its words as written are joined by blanks.
+    """
+    shape, words, after, run = [], [], False, False
     for w in WORD.findall(text):
         if w in ENDS:
-            start, after = True, False
+            after = after and w == ","
+            run = False
             continue
         low = w.lower()
         if w[0].isdigit():
             shape.append("<num>")
         elif after and low in UNITS:
             shape.append("<unit>")
-        elif not start and w[0].isupper() and not w.isupper() and plain is not None and low not in plain:
+        elif w[0].isupper() and not w.isupper() and plain is not None and low not in plain:
+            if run:
+                words[-1] += " " + low
+                continue
             shape.append("<name>")
         else:
             shape.append(low)
-        after, start = w[0].isdigit(), False
+        after, run = w[0].isdigit(), shape[-1] == "<name>"
         words.append(low)
     return shape, words
 
@@ -72,24 +83,45 @@ def slots(shape: list[str], words: list[str]) -> str:
 
 
 def benchmark_words(benchmark: DataFrame, text_col: str) -> DataFrame:
-    """The words that the benchmark uses uncapitalised or at the start of a sentence."""
+    """(word, lower): the benchmark's words in lower case, and whether it uses them uncapitalised."""
     small_batches(benchmark.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: set[str] = set()
+            found: dict[str, bool] = {}
+            for text in b.column(text_col).to_pylist():
+                for w in LETTERS.findall(text or ""):
+                    found[w.lower()] = found.get(w.lower(), False) or not w[0].isupper()
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.bool_())], ["word", "lower"])
+
+    return benchmark.select(text_col).mapInArrow(each, "word string, lower boolean").groupBy("word").agg(F.max("lower").alias("lower"))
+
+
+def usual_words(docs: DataFrame, asked: frozenset[str], text_col: str) -> DataFrame:
+    """(word): those of the asked words that the documents use, and uncapitalised at least as often as capitalised."""
+    small_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter[str] = Counter()
             for text in b.column(text_col).to_pylist():
-                start = True
-                for w in WORD.findall(text or ""):
-                    if w in ENDS:
-                        start = True
-                        continue
-                    if start or not w[0].isupper():
-                        found.add(w.lower())
-                    start = False
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+                counts.update(LETTERS.findall(text or ""))
+            found = [(low, n if not w[0].isupper() else -n) for w, n in counts.items() if (low := w.lower()) in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
+
+    return docs.select(text_col).mapInArrow(each, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 0").select("word")
+
 
-    return benchmark.select(text_col).mapInArrow(each, "word string").distinct()
+def plain_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_text_col: str) -> frozenset[str] | None:
+    """The benchmark's words that are no names; None if they are over FILTER_BYTES."""
+    found = benchmark_words(benchmark, item_text_col)
+    size = found.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size > FILTER_BYTES:
+        return None
+    rows = found.collect()
+    asked = frozenset(r["word"] for r in rows if not r["lower"])
+    usual = usual_words(docs, asked, text_col).collect() if asked else []
+    return frozenset(r["word"] for r in rows if r["lower"]) | {r["word"] for r in usual}
 
 
 def windows_of_items(benchmark: DataFrame, plain: frozenset[str], *, id_col: str, text_col: str) -> DataFrame:
@@ -148,9 +180,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     either side give no pair; empty tables give none.
     """
     small_batches(docs.sparkSession)
-    vocabulary = benchmark_words(benchmark, item_text_col)
-    size = vocabulary.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-    plain = frozenset(r["word"] for r in vocabulary.collect()) if size <= FILTER_BYTES else None
+    plain = plain_words(docs, benchmark, text_col=text_col, item_text_col=item_text_col)
     items = written(windows_of_items(benchmark, plain or frozenset(), id_col=item_col, text_col=item_text_col), "benchmark-windows")
     n, widths = items.count(), sorted(r[0] for r in items.select(F.size("shape")).distinct().collect())
     few = plain is not None and 64 * n <= FILTER_BYTES

@@ -160,6 +160,13 @@ def test_slots_must_agree(spark):
     assert got == {1: 1, 2: 0}
 
 
+def test_renamed_questions_leak(spark):
+    items = spark.createDataFrame([(1, "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have?"), (2, "Every spring Paris holds a fair where farmers sell goats, and Paris gives a prize to the oldest goat")], "item_id long, text string")
+    texts = ["Anna has 3 apples. Anna buys 4 more apples. How many apples does Anna have?", "Every spring New York holds a fair where farmers sell goats, and New York gives a prize to the oldest goat", "He knows how many apples fall. Every tree and every farmer does", None]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.leaks_by_document(spark.createDataFrame(list(enumerate(texts)), SCHEMA), items).collect()}
+    assert got == {0: [1], 1: [2], 2: [], 3: []}
+
+
 def test_pii(spark):
     texts = ["mail a.b@c-d.example.com or 10.0.0.256 and 10.0.0.25", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +1 (988) 555-2485 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, ""]
     texts += [f'password={hashlib.md5(str(i).encode()).hexdigest()} x' for i in range(30)]
