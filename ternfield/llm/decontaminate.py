@@ -5,13 +5,16 @@ unit after a number and one ``<name>`` for each run of capitalised words that ar
 a sentence too. Plain is a word that the benchmark also uses uncapitalised, or a capitalised one of the
 benchmark's that the documents use uncapitalised at least as often as capitalised. A re-parameterised question
 keeps its template. Windows of five template words are joined on their hash. A document leaks an item if it holds ``similarity`` or more of the item's distinct windows
-and the slots agree: each value in the item's slots stands for one value in the document's.
+with slots that agree: at one place of the document, each value in the item's slots stands for one value in the
+document's. Windows that agree with no place's values are not counted; those held word for word are. All places
+count: a document leaks if any of them agrees.
 
 Items shorter than five words are one window of all their words; empty ones match nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -75,6 +78,8 @@ def item_windows(text: str, plain: frozenset[str]) -> list[tuple[int, list[str],
 
 
 SLOTS = ("<num>", "<unit>", "<name>")
+#: Words that a document may have more or fewer than the item between two windows of one place.
+SHIFT = 4
 
 
 def slots(shape: list[str], words: list[str]) -> str:
@@ -125,23 +130,28 @@ def plain_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_te
 
 
 def windows_of_items(benchmark: DataFrame, plain: frozenset[str], *, id_col: str, text_col: str) -> DataFrame:
-    """(item, h, size, item_slots, shape): distinct windows of each item; size: how many; shape: the template words."""
+    """(item, h, size, item_at, item_slots, shape): distinct windows of each item, with all their places and the slots there; size: how many; shape: the template words."""
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, sizes, vals, shapes = [], [], [], [], []
+            ids, hs, sizes, ats, vals, shapes = [], [], [], [], [], []
             for item, text in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), strict=True):
-                got = {h: (slots(s, w), s) for h, s, w in reversed(item_windows(text or "", plain))}
-                for h, (v, s) in got.items():
-                    ids.append(item), hs.append(h), sizes.append(len(got)), vals.append(v), shapes.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(id_col).type), pa.array(hs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vals, pa.string()), pa.array(shapes, pa.list_(pa.string()))], ["item", "h", "size", "item_slots", "shape"])
+                got: dict[int, tuple[list[int], list[str], list[str]]] = {}
+                for i, (h, s, w) in enumerate(item_windows(text or "", plain)):
+                    at, v, _ = got.setdefault(h, ([], [], s))
+                    at.append(i), v.append(slots(s, w))
+                for h, (at, v, s) in got.items():
+                    ids.append(item), hs.append(h), sizes.append(len(got)), ats.append(at), vals.append(v), shapes.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(id_col).type), pa.array(hs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ats, pa.list_(pa.int64())), pa.array(vals, pa.list_(pa.string())), pa.array(shapes, pa.list_(pa.string()))], ["item", "h", "size", "item_at", "item_slots", "shape"])
 
-    return benchmark.select(id_col, text_col).mapInArrow(each, f"item {kind}, h bigint, size bigint, item_slots string, shape array<string>")
+    return benchmark.select(id_col, text_col).mapInArrow(each, f"item {kind}, h bigint, size bigint, item_at array<bigint>, item_slots array<string>, shape array<string>")
 
 
 def windows_of_docs(docs: DataFrame, plain: frozenset[str], widths: list[int], known: frozenset[int] | None, pairs: frozenset[tuple[str, str]], *, id_col: str, text_col: str) -> DataFrame:
-    """(doc, h, doc_slots): distinct windows of each document, of each width that items have.
+    """(doc, h, doc_at, doc_slots): distinct windows of each row, of each width that items have, with all their places and the slots there.
+
+    A window without slots has its first place alone. Places of rows with different texts are far apart.
 
     ``known``: the hashes of the benchmark's windows, if few enough, and ``pairs`` the pairs of words next to
     each other in them; without these every window is returned.
@@ -151,12 +161,13 @@ def windows_of_docs(docs: DataFrame, plain: frozenset[str], widths: list[int], k
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, vals = [], [], []
+            ids, hs, ats, vals = [], [], [], []
             for doc, text in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), strict=True):
                 if not text:
                     continue
                 shape, words = template(text, plain)
-                got: set[tuple[int, str]] = set()
+                got: dict[int, tuple[list[int], list[str]]] = {}
+                base = (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 34) << 32
                 run = None
                 if known is not None and len(shape) > 1:
                     run = np.concatenate([[0], np.cumsum(np.fromiter((p in pairs for p in zip(shape, shape[1:], strict=False)), np.int64, len(shape) - 1))])
@@ -165,12 +176,73 @@ def windows_of_docs(docs: DataFrame, plain: frozenset[str], widths: list[int], k
                         for i in range(len(shape) - n + 1) if run is None else np.flatnonzero(run[n - 1 :] - run[: len(run) - n + 1] == n - 1).tolist():
                             h = _hash(shape[i : i + n])
                             if known is None or h in known:
-                                got.add((h, slots(shape[i : i + n], words[i : i + n])))
-                for h, v in got:
-                    ids.append(doc), hs.append(h), vals.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(id_col).type), pa.array(hs, pa.int64()), pa.array(vals, pa.string())], ["doc", "h", "doc_slots"])
-
-    return docs.select(id_col, text_col).mapInArrow(each, f"doc {kind}, h bigint, doc_slots string")
+                                at, v = got.setdefault(h, ([], []))
+                                if not at or v[0]:
+                                    at.append(base + i), v.append(slots(shape[i : i + n], words[i : i + n]))
+                for h, (at, v) in got.items():
+                    ids.append(doc), hs.append(h), ats.append(at), vals.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(id_col).type), pa.array(hs, pa.int64()), pa.array(ats, pa.list_(pa.int64())), pa.array(vals, pa.list_(pa.string()))], ["doc", "h", "doc_at", "doc_slots"])
+
+    return docs.select(id_col, text_col).mapInArrow(each, f"doc {kind}, h bigint, doc_at array<bigint>, doc_slots array<string>")
+
+
+class Held:
+    """A window of an item that a document holds: (place, slots) in the item, slots by place in the document."""
+
+    def __init__(self, mine: list[tuple[int, str]], theirs: dict[int, str]):
+        self.mine, self.theirs = mine, theirs
+        self.known = set(theirs.values())
+        self.listed = sorted(self.known)
+
+    def agrees(self, stands: dict[str, str]) -> bool:
+        """Whether the document holds it with these values anywhere; values without one get that of the first slots that fit."""
+        parts = [v.split("\x1f") for _, v in self.mine]
+        if any(all(a in stands for a in p) and "\x1f".join(stands[a] for a in p) in self.known for p in parts):
+            return True
+        for p in parts:
+            if all(a in stands for a in p):
+                continue
+            for w in self.listed:
+                new: dict[str, str] = {}
+                if all(stands.get(a, new.setdefault(a, b)) == b for a, b in zip(p, w.split("\x1f"), strict=True)):
+                    stands.update((a, b) for a, b in new.items() if a not in stands)
+                    return True
+        return False
+
+
+def agreeing_at(moved: list[Held], offset: int) -> int:
+    """How many windows agree with the values of the place whose words stand ``offset`` words after the item's."""
+    votes: Counter[tuple[str, str]] = Counter()
+    for m in moved:
+        for at, v in m.mine:
+            for s in range(-SHIFT, SHIFT + 1):
+                if (w := m.theirs.get(at + offset + s)) is not None:
+                    votes.update(dict.fromkeys(zip(v.split("\x1f"), w.split("\x1f"), strict=True), 1 if s else 3))
+    stands: dict[str, str] = {}
+    for (a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+        stands.setdefault(a, b)
+    return sum(m.agrees(stands) for m in moved)
+
+
+def agreeing(hits: list[dict], need: float) -> int:
+    """The most windows that agree at any place of the document; fewer than ``need`` may be counted short.
+
+    ``hits``: a dict of h, item_at, item_slots, doc_at and doc_slots for each window and row.
+    """
+    held: dict[int, tuple[list[tuple[int, str]], dict[int, str]]] = {}
+    for x in hits:
+        held.setdefault(x["h"], (list(zip(x["item_at"], x["item_slots"], strict=True)), {}))[1].update(zip(x["doc_at"], x["doc_slots"], strict=True))
+    windows = [Held(*v) for v in held.values()]
+    moved = sorted((w for w in windows if not any(v in w.known for _, v in w.mine)), key=lambda w: w.mine)
+    same, best, tried = len(windows) - len(moved), 0, set()
+    # To reach the count, one of any this many windows agrees: the rarest are tried.
+    few = len(moved) - max(math.ceil(need - same), 1) + 1
+    for m in sorted(moved, key=lambda w: (len(w.mine) * len(w.theirs), w.mine))[: max(few, 0)]:
+        for offset in (q - p for p, _ in m.mine for q in sorted(m.theirs)):
+            if best < len(moved) and offset not in tried:
+                tried.add(offset)
+                best = max(best, agreeing_at(moved, offset))
+    return same + best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -189,16 +261,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     pairs = frozenset(p for r in near for p in zip(r["shape"], r["shape"][1:], strict=False))
     items = items.drop("shape")
     found = windows_of_docs(docs, plain or frozenset(), widths, known, pairs, id_col=id_col, text_col=text_col)
-    hits = found.join(F.broadcast(items) if few else items, "h").select("doc", "item", "size", "h", "item_slots", "doc_slots")
-    by_window = hits.groupBy("doc", "item", "size", "h").agg(F.max(F.col("item_slots") == F.col("doc_slots")).alias("same"), F.min(F.struct("item_slots", "doc_slots")).alias("slots"))
-    pairs = by_window.groupBy("doc", "item", "size").agg(
-        F.count("*").alias("n_hits"),
-        F.flatten(F.collect_set(F.when(~F.col("same"), F.arrays_zip(F.split("slots.item_slots", "\x1f").alias("a"), F.split("slots.doc_slots", "\x1f").alias("b"))))).alias("moved"),
-    )
-    values = F.array_distinct("moved")
-    steady = F.size(F.array_distinct(F.transform(values, lambda v: v["a"]))) == F.size(values)
+    hits = found.join(F.broadcast(items) if few else items, "h")
+    held = hits.groupBy("doc", "item", "size").agg(F.collect_list(F.struct("h", "item_at", "item_slots", "doc_at", "doc_slots")).alias("hits"))
+    held = held.where(F.size(F.array_distinct("hits.h")) / F.col("size") >= similarity)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [agreeing(x, similarity * size) for x, size in zip(b.column("hits").to_pylist(), b.column("size").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("item"), b.column("size"), pa.array(n, pa.int64())], ["doc", "item", "size", "n_hits"])
+
+    kinds = [f"{c} {held.schema[c].dataType.simpleString()}" for c in ("doc", "item", "size")]
     share = F.col("n_hits") / F.col("size")
-    return pairs.where((share >= similarity) & steady).select("doc", "item", F.col("size").alias("n_windows"), "n_hits", share.alias("share"))
+    return held.mapInArrow(each, ", ".join([*kinds, "n_hits bigint"])).where(share >= similarity).select("doc", "item", F.col("size").alias("n_windows"), "n_hits", share.alias("share"))
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -167,6 +167,15 @@ def test_renamed_questions_leak(spark):
     assert got == {0: [1], 1: [2], 2: [], 3: []}
 
 
+def test_variants_in_one_document_leak(spark):
+    train = "A train leaves at {} pm and travels {} km in {} hours toward the northern town"
+    far = "They walked 80 km in 9 hours. " * 3
+    items = spark.createDataFrame([(1, train.format(5, 60, 2)), (2, "take 5 apples then give 5 apples to the old man and keep 5 apples for later use")], "item_id long, text string")
+    texts = [f"{train.format(7, 90, 3)}. {train.format(11, 80, 4)}.", f"{far}{'word ' * 500}{train.format(7, 90, 3)}. {far}", train.format(7, 90, 3).replace("travels", "then quickly travels"), "take 8 apples then give 9 apples to the old man and keep 7 apples for later use. " * 2]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.leaks_by_document(spark.createDataFrame(list(enumerate(texts)), SCHEMA), items, similarity=0.6).collect()}
+    assert got == {0: [1], 1: [1], 2: [1], 3: []}
+
+
 def test_pii(spark):
     texts = ["mail a.b@c-d.example.com or 10.0.0.256 and 10.0.0.25", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +1 (988) 555-2485 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, ""]
     texts += [f'password={hashlib.md5(str(i).encode()).hexdigest()} x' for i in range(30)]
