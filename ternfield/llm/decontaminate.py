@@ -15,7 +15,9 @@ Items shorter than five words are one window of all their words; empty ones matc
 from __future__ import annotations
 
 import math
+import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,20 +27,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import small_batches, written
+from ternfield.llm.common import posix_dir, small_batches, written
 
 WORD = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;,\n]")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 WINDOW = 5
 #: Fixed list of units of measure that follow a number.
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles mg g kg t lb lbs oz ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent pct c f k v w kw kwh mw hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents".split())
-#: Most bytes of benchmark vocabulary that go to the tasks as a filter; beyond it all windows are joined.
+#: Most bytes of benchmark words or windows that go to the tasks in memory; beyond it words are looked up in mapped
+#: files and all windows are joined, with the same results.
 FILTER_BYTES = 8 << 20
 #: Marks that end a run of name words; all but the comma part a unit from its number.
 ENDS = frozenset(".!?:;,\n")
 
 
-def template(text: str, plain: frozenset[str] | None = None) -> tuple[list[str], list[str]]:
+def template(text: str, plain: Words | None = None) -> tuple[list[str], list[str]]:
     """(template words, the words as written). ``plain``: words that are no names even when capitalised; None: no word is a name.
 
     A run of name words is one template word; its words as written are joined by blanks.
@@ -70,7 +73,7 @@ def _hash(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(words)) - (1 << 63)
 
 
-def item_windows(text: str, plain: frozenset[str]) -> list[tuple[int, list[str], list[str]]]:
+def item_windows(text: str, plain: Words) -> list[tuple[int, list[str], list[str]]]:
     """(hash, template words, words) of each window of an item; one short window if there are under five words."""
     shape, words = template(text, plain)
     n = min(WINDOW, len(shape))
@@ -102,7 +105,52 @@ def benchmark_words(benchmark: DataFrame, text_col: str) -> DataFrame:
     return benchmark.select(text_col).mapInArrow(each, "word string, lower boolean").groupBy("word").agg(F.max("lower").alias("lower"))
 
 
-def usual_words(docs: DataFrame, asked: frozenset[str], text_col: str) -> DataFrame:
+class MappedWords:
+    """A set of words in files of sorted hashes, mapped by each worker that looks words up."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def __getstate__(self) -> dict:
+        return {"folder": self.folder, "files": {}}
+
+    def __contains__(self, word: str) -> bool:
+        h = xxhash.xxh3_64_intdigest(word.encode())
+        if (k := h >> 56) not in self.files:
+            path = f"{self.folder}/words-{k}.npy"
+            self.files[k] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
+        file = self.files[k]
+        at = int(np.searchsorted(file, np.uint64(h)))
+        return at < len(file) and int(file[at]) == h
+
+
+Words = frozenset[str] | MappedWords
+
+
+def word_set(words: DataFrame) -> Words:
+    """The words of a stored table (word), none null: in memory, or in files of the shared folder if they are over FILTER_BYTES."""
+    if (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= FILTER_BYTES:
+        return frozenset(r["word"] for r in words.collect())
+    folder = posix_dir(words.sparkSession, "benchmark-words")
+    os.makedirs(folder, exist_ok=True)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [xxhash.xxh3_64_intdigest(w.encode()) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([h >> 56 for h in hs], pa.int32()), pa.array([h - (1 << 63) for h in hs], pa.int64())], ["k", "h"])
+
+    def place(group: pa.Table) -> pa.Table:
+        k = group.column("k")[0].as_py()
+        mine = f"{folder}/.words-{k}-{uuid.uuid4().hex}.npy"
+        np.save(mine, np.unique(group.column("h").to_numpy().astype(np.uint64) + np.uint64(1 << 63)))
+        os.replace(mine, f"{folder}/words-{k}.npy")
+        return pa.table({"k": pa.array([k], pa.int32())})
+
+    words.mapInArrow(hashed, "k int, h bigint").groupBy("k").applyInArrow(place, "k int").count()
+    return MappedWords(folder)
+
+
+def usual_words(docs: DataFrame, asked: Words, text_col: str) -> DataFrame:
     """(word): those of the asked words that the documents use, and uncapitalised at least as often as capitalised."""
     small_batches(docs.sparkSession)
 
@@ -117,19 +165,17 @@ def usual_words(docs: DataFrame, asked: frozenset[str], text_col: str) -> DataFr
     return docs.select(text_col).mapInArrow(each, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 0").select("word")
 
 
-def plain_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_text_col: str) -> frozenset[str] | None:
-    """The benchmark's words that are no names; None if they are over FILTER_BYTES."""
-    found = benchmark_words(benchmark, item_text_col)
-    size = found.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-    if size > FILTER_BYTES:
-        return None
-    rows = found.collect()
-    asked = frozenset(r["word"] for r in rows if not r["lower"])
-    usual = usual_words(docs, asked, text_col).collect() if asked else []
-    return frozenset(r["word"] for r in rows if r["lower"]) | {r["word"] for r in usual}
+def plain_words(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_text_col: str) -> Words:
+    """The benchmark's words that are no names."""
+    found = written(benchmark_words(benchmark, item_text_col), "benchmark-words")
+    asked = word_set(found.where(~F.col("lower")).select("word"))
+    plain = found.where("lower").select("word")
+    if isinstance(asked, MappedWords) or asked:
+        plain = written(plain.union(usual_words(docs, asked, text_col)), "plain-words")
+    return word_set(plain)
 
 
-def windows_of_items(benchmark: DataFrame, plain: frozenset[str], *, id_col: str, text_col: str) -> DataFrame:
+def windows_of_items(benchmark: DataFrame, plain: Words, *, id_col: str, text_col: str) -> DataFrame:
     """(item, h, size, item_at, item_slots, shape): distinct windows of each item, with all their places and the slots there; size: how many; shape: the template words."""
     kind = benchmark.schema[id_col].dataType.simpleString()
 
@@ -148,7 +194,7 @@ def windows_of_items(benchmark: DataFrame, plain: frozenset[str], *, id_col: str
     return benchmark.select(id_col, text_col).mapInArrow(each, f"item {kind}, h bigint, size bigint, item_at array<bigint>, item_slots array<string>, shape array<string>")
 
 
-def windows_of_docs(docs: DataFrame, plain: frozenset[str], widths: list[int], known: frozenset[int] | None, pairs: frozenset[tuple[str, str]], *, id_col: str, text_col: str) -> DataFrame:
+def windows_of_docs(docs: DataFrame, plain: Words, widths: list[int], known: frozenset[int] | None, pairs: frozenset[tuple[str, str]], *, id_col: str, text_col: str) -> DataFrame:
     """(doc, h, doc_at, doc_slots): distinct windows of each row, of each width that items have, with all their places and the slots there.
 
     A window without slots has its first place alone. Places of rows with different texts are far apart.
@@ -253,14 +299,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """
     small_batches(docs.sparkSession)
     plain = plain_words(docs, benchmark, text_col=text_col, item_text_col=item_text_col)
-    items = written(windows_of_items(benchmark, plain or frozenset(), id_col=item_col, text_col=item_text_col), "benchmark-windows")
+    items = written(windows_of_items(benchmark, plain, id_col=item_col, text_col=item_text_col), "benchmark-windows")
     n, widths = items.count(), sorted(r[0] for r in items.select(F.size("shape")).distinct().collect())
-    few = plain is not None and 64 * n <= FILTER_BYTES
+    few = 64 * n <= FILTER_BYTES
     near = items.select("h", "shape").collect() if few else []
     known = frozenset(r["h"] for r in near) if few else None
     pairs = frozenset(p for r in near for p in zip(r["shape"], r["shape"][1:], strict=False))
     items = items.drop("shape")
-    found = windows_of_docs(docs, plain or frozenset(), widths, known, pairs, id_col=id_col, text_col=text_col)
+    found = windows_of_docs(docs, plain, widths, known, pairs, id_col=id_col, text_col=text_col)
     hits = found.join(F.broadcast(items) if few else items, "h")
     held = hits.groupBy("doc", "item", "size").agg(F.collect_list(F.struct("h", "item_at", "item_slots", "doc_at", "doc_slots")).alias("hits"))
     held = held.where(F.size(F.array_distinct("hits.h")) / F.col("size") >= similarity)

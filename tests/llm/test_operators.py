@@ -176,6 +176,17 @@ def test_variants_in_one_document_leak(spark):
     assert got == {0: [1], 1: [1], 2: [1], 3: []}
 
 
+def test_decontaminate_by_mapped_words(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "in the old mill Tom grinds 5 sacks of rye and sells 3 sacks of it to the baker"), (2, "Bakers in the mill eat rye and the Old sacks")], "item_id long, text string")
+    texts = ["in the Old mill Anna grinds 7 sacks of rye and sells 4 sacks of it to the baker", "Millers In The Wet mill Grind 7 Sacks and Eat rye and The Cold sacks", "bakers in the mill eat rye and the old sacks", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    few = sorted(tuple(r) for r in decontaminate.leaks(docs, items, similarity=0.2).collect())
+    monkeypatch.setattr(decontaminate, "FILTER_BYTES", 0)
+    assert isinstance(decontaminate.plain_words(docs, items, text_col="text", item_text_col="text"), decontaminate.MappedWords)
+    assert sorted(tuple(r) for r in decontaminate.leaks(docs, items, similarity=0.2).collect()) == few
+    assert {r[0] for r in few if r[4] == 1} == {0, 2}
+
+
 def test_pii(spark):
     texts = ["mail a.b@c-d.example.com or 10.0.0.256 and 10.0.0.25", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +1 (988) 555-2485 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, ""]
     texts += [f'password={hashlib.md5(str(i).encode()).hexdigest()} x' for i in range(30)]
