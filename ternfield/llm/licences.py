@@ -8,14 +8,19 @@ words are replaced by invented ones set the bound under which a licence is calle
 must also agree with one of its templates: the share of the template's word pairs that the paragraph holds
 is ``confirm`` or more, else it is ``unknown`` too.
 
-Only paragraphs with one of the fixed anchor words are looked at: every template has one, and a paragraph
-without any could not be confirmed. Paragraphs are lines, as the documents break lines between paragraphs.
+Paragraphs are lines, as the documents break lines between paragraphs, and runs of adjacent lines (blank ones
+too), as licences are often wrapped: a run is named if it agrees with a template within twice the template's
+words. Every paragraph that could be confirmed is looked at. Those that cannot be are ``unknown`` only if they are
+lines with one of the fixed anchor words, which are looked for among the words, whatever marks stand between.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,7 +141,7 @@ def _dense(texts: list[list[str]], vocabulary: dict[str, int]) -> np.ndarray:
 def train(ordinary: list[str], *, per_template: int = 24, rounds: int = 150, rate: float = 2.0, seed: int = 0) -> Model:
     """The classifier; ``ordinary``: paragraphs that are no licences (those near a template are left out)."""
     rng = np.random.default_rng(seed)
-    plain = [w for w in map(words, ordinary) if w and not any(a in " ".join(w) for a in ANCHORS)]
+    plain = [w for w in map(words, ordinary) if w and not near_template(w)]
     vocabulary = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(words(t))}))}
     made = {f: [v for t in ts for v in [words(t), words(t), words(t), *variants(rng, words(t), plain, per_template)]] for f, ts in TEMPLATES.items()}
     held = {f: [v for t in ts for v in variants(rng, words(t), plain, 10)] for f, ts in TEMPLATES.items()}
@@ -170,38 +175,117 @@ def train(ordinary: list[str], *, per_template: int = 24, rounds: int = 150, rat
 
 
 PAIRS = {f: [(k, grams(words(t), (2,))) for k, t in enumerate(ts)] for f, ts in TEMPLATES.items()}
+#: Each template as (family, its word pairs, most words of a run), and the templates of each pair of words.
+SHAPES = [(f, {tuple(g.split()) for g in pairs}, 2 * len(words(TEMPLATES[f][k]))) for f, ts in PAIRS.items() for k, pairs in ts]
+BY_PAIR = {p: [t for t, (_, pairs, _) in enumerate(SHAPES) if p in pairs] for p in set().union(*(pairs for _, pairs, _ in SHAPES))}
+
+
+def near_template(w: list[str], share: float = 0.3) -> bool:
+    """Whether the words hold that share of the pairs of a template."""
+    held = {p for p in zip(w, w[1:], strict=False) if p in BY_PAIR}
+    return bool(held) and any(len(held & pairs) >= share * len(pairs) for _, pairs, _ in SHAPES)
+
+
+def anchored(w: list[str]) -> bool:
+    joined = " ".join(w)
+    return any(a in joined for a in ANCHORS)
+
+
+def dense(hits: list[tuple[int, tuple[str, str]]], need: float, most: int) -> list[tuple[int, int]]:
+    """(first, last word) of stretches of at most ``most`` words that hold ``need`` or more distinct pairs, best first, none overlapping."""
+    found, left, counts = [], 0, Counter()
+    for at, pair in hits:
+        counts[pair] += 1
+        while at + 2 - hits[left][0] > most or counts[hits[left][1]] > 1:
+            counts[hits[left][1]] -= 1
+            if not counts[hits[left][1]]:
+                del counts[hits[left][1]]
+            left += 1
+        if len(counts) >= need:
+            found.append((-len(counts), at + 1 - hits[left][0], hits[left][0], at + 1))
+    taken: list[tuple[int, int]] = []
+    for _, _, first, last in sorted(found):
+        # Stretches overlap only near each other, so the taken ones beside this one decide.
+        i = bisect.bisect(taken, (first, last))
+        if (i == 0 or taken[i - 1][1] < first) and (i == len(taken) or taken[i][0] > last):
+            taken.insert(i, (first, last))
+    return taken
+
+
+def candidates(rows: list[list[str]], confirm: float) -> tuple[set[int], set[tuple[int, int, str]]]:
+    """(lines that agree with a template, (first line, last line, family) of runs that do)."""
+    w = [x for row in rows for x in row]
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, p in enumerate(zip(w, w[1:], strict=False)):
+        if p in BY_PAIR:
+            for t in BY_PAIR[p]:
+                hits.setdefault(t, []).append((i, p))
+    single, runs, starts = set(), set(), None
+    for t, found in hits.items():
+        family, pairs, most = SHAPES[t]
+        need = confirm * len(pairs)
+        if len({p for _, p in found}) < need:
+            continue
+        if starts is None:
+            starts = list(itertools.accumulate(map(len, rows), initial=0))
+        by_line: dict[int, set[tuple[str, str]]] = {}
+        for i, p in found:
+            line = bisect.bisect_right(starts, i) - 1
+            if i + 1 < starts[line + 1]:
+                by_line.setdefault(line, set()).add(p)
+        single |= {line for line, held in by_line.items() if len(held) >= need}
+        for first, last in dense(found, need, most):
+            a, b = (bisect.bisect_right(starts, i) - 1 for i in (first, last))
+            if a < b:
+                runs.add((a, b, family))
+    return single, runs
 
 
 def scan(text: str | None, model: Model, *, confirm: float = 0.6) -> list[dict]:
-    """The licence paragraphs of a text: place, family or ``unknown``, probability, closest template of the family, share of it."""
+    """The licence paragraphs of a text: first line, family or ``unknown``, probability, closest template of the family, share of it, number of lines."""
     if not text:
         return []
-    low = text.lower()
-    if not any(a in low for a in ANCHORS):
+    rows = [words(line) for line in text.split("\n")]
+    single, runs = candidates(rows, confirm)
+    marked = {i for i, w in enumerate(rows) if anchored(w)} if anchored([x for w in rows for x in w]) else set()
+    asked = [(i, i, None) for i in sorted(single | marked)] + sorted(runs)
+    if not asked:
         return []
-    found = [(i, w) for i, line in enumerate(low.split("\n")) if any(a in line for a in ANCHORS) for w in [words(line)]]
-    out = []
-    for (place, w), p in zip(found, model.probabilities([w for _, w in found]) if found else [], strict=True):
+    texts = [[x for w in rows[a : b + 1] for x in w] for a, b, _ in asked]
+    lines, joined = [], []
+    for (a, b, family), w, p in zip(asked, texts, model.probabilities(texts), strict=True):
         if p[-1] >= 0.5:
             continue
         best = int(p[:-1].argmax())
         pairs = grams(w, (2,))
         share, k = max((len(pairs & t) / len(t), -k) for k, t in PAIRS[FAMILIES[best]])
-        named = p[best] >= model.bound and share >= confirm
-        out.append({"paragraph": place, "family": FAMILIES[best] if named else UNKNOWN, "probability": round(float(p[best]), 6), "template": -k, "share": round(share, 6)})
-    return out
+        named = bool(p[best] >= model.bound and share >= confirm)
+        row = {"paragraph": a, "family": FAMILIES[best] if named else UNKNOWN, "probability": round(float(p[best]), 6), "template": -k, "share": round(share, 6), "lines": b - a + 1}
+        if family is None and (named or a in marked):
+            lines.append(row)
+        elif named and family == row["family"]:
+            joined.append(row)
+    out = lines
+    taken: set[int] = set()
+    for r in sorted(joined, key=lambda r: (-r["share"], r["lines"], r["paragraph"])):
+        span = range(r["paragraph"], r["paragraph"] + r["lines"])
+        if taken.isdisjoint(span) and not any(x["paragraph"] in span and x["family"] == r["family"] and x["share"] >= r["share"] for x in lines):
+            taken.update(span)
+            out = [x for x in out if x["paragraph"] not in span or x["lines"] > 1 or x["family"] not in (UNKNOWN, r["family"])] + [r]
+    return sorted(out, key=lambda x: (x["paragraph"], x["lines"]))
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_documents: int = 400, seed: int = 0) -> Model:
-    """The classifier, with ordinary paragraphs from at most ``max_documents`` documents."""
+    """The classifier, with ordinary paragraphs, whole ones, from at most ``max_documents`` documents: at most ten times as many, of at most 20,000 characters."""
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
     picked = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(*order).limit(max_documents)
-    texts = docs.select(id_col, F.substring(text_col, 1, 4000).alias("t")).join(F.broadcast(picked), id_col).orderBy(*order, "t").limit(2 * max_documents).collect()  # bounded: max_documents ids
-    return train([p for r in texts for p in (r["t"] or "").split("\n") if p.strip()], seed=seed)
+    lines = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(F.explode(F.split(text_col, "\n")).alias("t"))
+    texts = lines.where((F.trim("t") != "") & (F.length("t") <= 20_000)).orderBy(F.xxhash64("t", F.lit(seed)), "t").limit(10 * max_documents).collect()  # bounded
+    return train([r["t"] for r in texts], seed=seed)
 
 
-SCAN = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template", pa.int64()), ("share", pa.float64())]))
-SCAN_SQL = "array<struct<paragraph:bigint,family:string,probability:double,template:bigint,share:double>>"
+SCAN = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template", pa.int64()), ("share", pa.float64()), ("lines", pa.int64())]))
+SCAN_SQL = "array<struct<paragraph:bigint,family:string,probability:double,template:bigint,share:double,lines:bigint>>"
 
 
 def licences(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "licences", confirm: float = 0.6) -> DataFrame:

@@ -265,3 +265,14 @@ def test_licences(spark, model):
         for t in ts:
             assert [x["family"] for x in licences.scan(t, model)] == [family]
     assert licences.licences(odd(spark), model).count() == len(ODD)
+
+
+def test_licences_in_other_forms(model):
+    assert [x["family"] for x in licences.scan("prose\nAvailable under CC-BY-SA-4.0.", model)] == ["cc-by-sa"]
+    assert [x["family"] for x in licences.scan("Under the BSD 3-Clause", model)] == ["bsd"]
+    for family, text in (("mit", licences.TEMPLATES["mit"][2]), ("gpl", licences.TEMPLATES["gpl"][1]), ("bsd", licences.TEMPLATES["bsd"][1].replace(": ", ":\n\n * "))):
+        w = text.split(" ")
+        wrapped = "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        got = licences.scan(f"an ordinary line of prose\n\n{wrapped}\n\nthe quick brown fox", model)
+        assert [x["family"] for x in got if x["family"] != licences.UNKNOWN] == [family], (family, got)
+        assert got[0]["lines"] > 1 and got[0]["share"] >= 0.6
