@@ -39,12 +39,16 @@ def word_encoder(path: str, width: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> ids as bytes, for a vocabulary that never joins across white space: a worker encodes each word once.
 
     New words of letters only are encoded many at a time: each gives one token that ends a word, its last.
+    Texts that hold an added token's literal are encoded whole, as such a token stands for it anywhere.
     """
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    added = tok.get_added_tokens_decoder().values()
+    literals = [a.content for a in added]
+    # Literals looked for in the normalised text may stand in any text, so every text is encoded whole.
+    anywhere = any(a.normalized for a in added)
     vocab = tok.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -94,7 +98,7 @@ def word_encoder(path: str, width: str) -> Callable[[list[str]], list[bytes]]:
         nonlocal cache, older
         out = []
         for i in range(0, len(texts), 500):
-            split = [None if any(c in t for c in NOT_BLANK) else t.split() for t in texts[i : i + 500]]
+            split = [None if anywhere or any(c in t for c in NOT_BLANK) or any(a in t for a in literals) else t.split() for t in texts[i : i + 500]]
             words = set().union(*(w for w in split if w)) - cache.keys()
             if len(cache) + len(words) > CACHE_WORDS:
                 cache, older = {}, cache

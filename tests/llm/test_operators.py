@@ -76,6 +76,21 @@ def test_token_files(spark):
     assert token_files.read_tokens(token_files.write_tokens(empty(spark), folder), folder).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    docs = list(enumerate(["see <|endoftext|> here", "a<|startoftext|>b, the <|ENDOFTEXT|> <|endoftext|", "see here <|endoftext|", "<|endoftext|><|endoftext|>"]))
+    df = spark.createDataFrame(docs, SCHEMA)
+    folder = token_files.token_folder(df)
+    start = 0
+    for (i, t), r in zip(docs, token_files.read_tokens(token_files.write_tokens(df, folder), folder).orderBy("doc_id").collect(), strict=True):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_media(spark):
     df = media.media_columns(media.stored_bytes(media.store_text(odd(spark))))
     for r in df.collect():
