@@ -7,13 +7,20 @@ keeps the shingle that arrives first. A shingle stops once its next arrival is l
 first. Two signatures agree in a place with the probability Jaccard similarity of the weighted sets.
 
 Texts equal in their words are one node; its class is that of the others. Nodes that agree in a whole band
-are candidates. A pair is linked if its probability Jaccard or its plain Jaccard similarity, computed on the
-shingles (32-bit hashes), is ``similarity`` or more. Classes are the connected components of the links.
+are candidates. A pair is linked if its probability Jaccard similarity, computed on the shingles (32-bit
+hashes), is ``similarity`` or more. Classes are the connected components of the links.
 
 Buckets are never expanded into all pairs, nor gathered anywhere. In each round a few leaders of a bucket are
 compared with its members; members already in a leader's class need no comparison, since a link would
 change no class. A leader leaves the bucket once it has met all others; a bucket is done when its members
-are all of one class. So every candidate pair is either compared or already known to be of one class.
+are all of one class. So every candidate pair is compared, known to be of one class, or impossible:
+
+A shingle that only one class of the open buckets holds is foreign to all nodes of other classes. Let a node's
+foreign weight be r times its other weight. Two nodes of different classes have a probability Jaccard
+similarity of at most 1 / (1 + r1 + r2): a term of it is at most f(x, y) = 1 / (1 / x + u / y) for the two
+shares x, y of a shingle and the other's foreign share u, and f is concave and homogeneous, so the terms' sum
+is at most f of the sums. Nor can the other's shared weight exceed the number of this one's shared shingles
+and its own weight in repeats. Nodes and pairs that these bounds exclude are not compared.
 """
 
 from __future__ import annotations
@@ -24,15 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import small_batches, written
 
 WORD = re.compile(r"\w+")
-SHINGLE, BANDS, ROWS = 5, 18, 5
+SHINGLE, BANDS, ROWS = 5, 20, 6
 K = BANDS * ROWS
 SIMILARITY = 0.8
+#: Leaders of a bucket in the second round (four times as many in each after it), and the members beyond which a
+#: bucket's nodes get bounds: a smaller one is done within two rounds.
+LEADERS = 4
+LARGE = 2 * LEADERS
+#: Parts into which a bucket's members are dealt when they meet its leaders.
+SALTS = 8
 #: Most words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -97,11 +110,11 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def similarities(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """(plain Jaccard, probability Jaccard) of two sorted sets with weights."""
+def similarity_of(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Probability Jaccard similarity of two sorted sets with weights."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(i):
-        return 0.0, 0.0
+        return 0.0
     x, y = wa[i], wb[j]
     rest_a, rest_b = wa.sum() - x.sum(), wb.sum() - y.sum()
     ratio = x / y
@@ -109,14 +122,14 @@ def similarities(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -
     for t in np.unique(ratio):
         of = ratio == t
         total += x[of].sum() / (np.maximum(x, t * y).sum() + rest_a + t * rest_b)
-    return len(i) / (len(a) + len(b) - len(i)), float(total)
+    return float(total)
 
 
-NODES_SQL = "key binary, words bigint, bands array<bigint>, sketch binary, shingles array<int>, counts array<int>"
+NODES_SQL = "th bigint, key binary, words bigint, bands array<bigint>, sketch binary, shingles array<int>, counts array<int>"
 
 
 def nodes(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, words, bands, sketch, shingles, counts): key stands for the words of a text."""
+    """(doc, th, key, words, bands, sketch, shingles, counts): th is the text's hash, key stands for its words."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +138,7 @@ def nodes(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             keys, sizes, sets, counts = [], [], [], []
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for text in b.column(text_col).to_pylist():
+            for text in b.column("text").to_pylist():
                 words = WORD.findall(text.lower()) if text else []
                 ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 keys.append(xxhash.xxh3_128_digest(ids.tobytes()))
@@ -141,24 +154,25 @@ def nodes(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             low = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, pa.int32()))
             band = [x if n else [] for x, n in zip(bands(sig).tolist(), sizes, strict=True)]
-            sketch = [x.tobytes() for x in (sig & np.uint64(0xFFFF)).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), lists(low), lists(times)], ["doc", "key", "words", "bands", "sketch", "shingles", "counts"])
+            sketch = [x.tobytes() for x in (sig & np.uint64(0xFF)).astype("u1")]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), lists(low), lists(times)], ["doc", "th", "key", "words", "bands", "sketch", "shingles", "counts"])
 
-    return docs.select(id_col, text_col).mapInArrow(each, f"doc {docs.schema[id_col].dataType.simpleString()}, {NODES_SQL}")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return texts.mapInArrow(each, f"doc {docs.schema[id_col].dataType.simpleString()}, {NODES_SQL}")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that are linked. Pairs whose sketches agree too seldom for that are put aside before.
 
     Of k places, a pair at ``similarity`` agrees in k * similarity on average; five standard deviations below
-    are still compared (plain and probability Jaccard differ by less than that for weights 1 + ln n).
+    are still compared.
     """
     least = int(K * similarity - 5 * (K * similarity * (1 - similarity)) ** 0.5)
     small_batches(pairs.sparkSession)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, K) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, K) for c in ("sa", "sb"))
             ok = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(ok)
 
@@ -176,84 +190,135 @@ def verify(pairs: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY)
                     order = np.argsort(cut[h], kind="stable")
                     s, at = np.unique(cut[h][order], return_index=True)
                     sides += [s, weight(cut[n][order][at])]
-                ok[i] = max(similarities(*sides)) >= similarity - 1e-12
+                ok[i] = similarity_of(*sides) >= similarity - 1e-12
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    side = lambda n, *cols: sets.select(F.col("key").alias(n), *(F.col(c).alias(x) for c, x in cols))
-    near = pairs.join(side("a", ("sketch", "sa")), "a").join(side("b", ("sketch", "sb")), "b").mapInArrow(close, "a binary, b binary")
+    side = lambda n, *cols: sets.select(F.col("node").alias(n), *(F.col(c).alias(x) for c, x in cols))
+    near = pairs.join(side("a", ("sketch", "sa")), "a").join(side("b", ("sketch", "sb")), "b").mapInArrow(close, "a bigint, b bigint")
     both = near.join(side("a", ("shingles", "ha"), ("counts", "ca")), "a").join(side("b", ("shingles", "hb"), ("counts", "cb")), "b")
-    return both.mapInArrow(linked, "a binary, b binary")
+    return both.mapInArrow(linked, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root) for each key in edges (a, b): root is the least key that it is connected with.
+    """(node, root) for each node in edges (a, b): root is the least node that it is connected with.
 
-    Large-star and small-star steps: every key points at smaller ones until all point at their least. Each
+    Large-star and small-star steps: every node points at smaller ones until all point at their least. Each
     step is written to the shared folder; the number of steps grows with the logarithm of the longest chain.
+    The loop ends with a step that leaves as many rows with the same sums of hashes as the one before.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v != u").distinct(), "links")
-    while True:
+
+    def step(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        mark = F.xxhash64("v", "u")
+        out = written(df.observe(seen, F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 16)).alias("s")), "links")
+        return out, seen.get
+
+    links, was = step(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v != u").distinct())
+    while was["n"]:
         both = links.unionAll(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("v != u").distinct()
-        new = written(small, "links")
-        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
-            return new.select(F.col("v").alias("key"), F.col("u").alias("root"))
-        links = new
-
-
-def link_classes(sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, root) of the nodes that have links. sets: (key, bands, sketch, shingles, counts), one row a node."""
-    members = sets.select("key", F.posexplode("bands").alias("band", "h")).select("key", F.xxhash64("band", "h").alias("bucket"), "band")
-    sizes = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("o"), "key"))["key"].alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(sizes, "bucket").select("bucket", "key", "lead"), "buckets")
-    pairs = members.where("key != lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-    links = written(verify(pairs, sets, similarity=similarity), "links")
+        links, now = step(small)
+        if now == was:
+            break
+        was = now
+    return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
+
+def bounds(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, w, s, r) of the nodes in ``of`` (node, root): its shingles, their weight, how many of them other
+    classes hold too, and the weight of the rest over that of those (null if there are none)."""
+    shingle = F.explode(F.arrays_zip("shingles", "counts")).alias("e")
+    held = sets.join(of, "node").select("node", "root", shingle).select("node", "root", F.col("e.shingles").alias("h"), (1 + F.log(F.col("e.counts"))).alias("w"))
+    shared = held.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
+    kept = held.join(shared, "h").groupBy("node").agg(F.count("*").alias("s"), F.sum("w").alias("kept"))
+    every = sets.join(of, "node").select("node", F.size("shingles").alias("n"), F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c)).alias("w"))
+    return every.join(kept, "node", "left").select("node", "n", "w", F.coalesce("s", F.lit(0)).alias("s"), ((F.col("w") - F.col("kept")) / F.col("kept")).alias("r"))
+
+
+def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the nodes that have links. buckets: (bucket, node, lead); sets: (node, sketch, shingles, counts)."""
+    spare, slip = 1 / similarity - 1, 1e-9
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = buckets.where("node != lead")
+    links = written(verify(first.select(*pair("node", "lead")).distinct(), sets, similarity=similarity), "links")
     roots = components(links)
-    todo = members.where("key != lead").select("bucket", "key")
-    leaders = 4
+    todo, leaders, rank = first.select("bucket", "node"), LEADERS, 2
     while True:
-        named = todo.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        todo = written(named.join(open_.select("bucket"), "bucket"), "open")
+        named = todo.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 != r1")
+        todo = written(named.join(open_.select("bucket", "members"), "bucket"), "open")
         if todo.isEmpty():
             return roots
-        of_root = todo.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        rare = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-        ranked = todo.join(rare, "bucket").where("root != most").select("bucket", "key", "root", F.xxhash64("key", "bucket").alias("o"))
-        first = F.row_number().over(Window.partitionBy("bucket").orderBy("o", "key"))
-        lead = written(ranked.withColumn("place", first).where(F.col("place") <= leaders).select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root")), "leaders")
-        pairs = todo.join(lead, "bucket").where("root != lead_root").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        new = written(verify(pairs, sets, similarity=similarity), "links")
-        todo = todo.select("bucket", "key").join(lead.select("bucket", F.col("lead").alias("key")), ["bucket", "key"], "left_anti")
+        large = F.col("members") > LARGE
+        bound = bounds(todo.where(large).select("node", "root").distinct(), sets)
+        # A node in a large bucket stays if some weight and number of shingles in it could be a partner's.
+        at = todo.where(large).join(bound, "node").withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip)
+        most = at.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("w").alias("w1"))
+        at = at.join(most, "bucket").where(F.col("w1") * F.col("q") / (1 + F.col("q")) >= F.col("n0") - F.col("s") - slip).select("bucket", "node", "root", "n", "w", "s", "q")
+        small = todo.where(~large).select("bucket", "node", "root", *(F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("w", "double"), ("s", "bigint"), ("q", "double"))))
+        todo = written(at.unionAll(small), "open")
+        of_root = todo.groupBy("bucket", "root").agg(F.count("*").alias("members"))
+        main = of_root.groupBy("bucket").agg(F.max(F.struct("members", "root"))["root"].alias("main"))
+        ranked = todo.join(main, "bucket").where((F.col("root") != F.col("main")) | F.lit(rank == 2))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc_nulls_last("q"), "node"))
+        lead = written(ranked.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "w", "s", "q"))), "leaders")
+        dealt = lead.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        fits = lambda q, s, w, n: F.col(w) * F.col(q) / (1 + F.col(q)) >= F.col(n) - F.col(s) - slip
+        able = (F.col("q") + F.col("l_q") >= spare - slip) & fits("q", "s", "l_w", "l_n") & fits("l_q", "l_s", "w", "n")
+        met = todo.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).where("root != l_root").where(F.coalesce(able, F.lit(True)))
+        new = written(verify(met.select(*pair("node", "l_node")).distinct(), sets, similarity=similarity), "links")
+        todo = todo.select("bucket", "node").join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
         if not new.isEmpty():
-            roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionAll(new))
-        leaders *= 4
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
+        leaders, rank = leaders * 4, rank + 1
+
+
+def row_classes(docs: DataFrame, *, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(doc, th, root) for each row of docs; root is null for those without words."""
+    all_nodes = written(nodes(docs, id_col=id_col, text_col=text_col), "nodes")
+    named = all_nodes.where("words > 0")
+    keys = written(named.groupBy("key").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "keys")
+    met = keys.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
+    sizes = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("bucket", "lead")
+    buckets = written(met.join(sizes, "bucket").select("bucket", "node", "lead"), "buckets")
+    wanted = keys.select("key", "node").join(buckets.select("node").distinct(), "node")
+    sets = written(named.select("key", "sketch", "shingles", "counts").join(wanted, "key").groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketch", "shingles", "counts"))), "sets")
+    roots = link_classes(buckets, sets, similarity=similarity)
+    of = all_nodes.select("doc", "th", F.when(F.col("words") > 0, F.col("key")).alias("key")).join(keys.select("key", "node"), "key", "left")
+    return of.join(roots, "node", "left").select("doc", "th", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size): one row for each row of docs; class_id is the class's least id.
 
     Texts with equal words are of one class. Null and empty texts, and those without words, are alone. Rows
-    that repeat an id each get a row. Null ids rank after all others. An empty table gives no rows.
+    that repeat an id each get a row, by their own text. Null ids rank after all others; a class of null ids has a
+    null class_id. An empty table gives no rows; other columns are not read.
     """
-    all_nodes = written(nodes(docs, id_col=id_col, text_col=text_col), "nodes")
-    named = all_nodes.where("words > 0")
-    sets = written(named.groupBy("key").agg(*(F.first(c).alias(c) for c in ("bands", "sketch", "shingles", "counts"))), "sets")
-    roots = link_classes(sets, similarity=similarity)
-    of = named.select("doc", "key").join(roots, "key", "left").select("doc", F.coalesce("root", "key").alias("root"))
-    classes = of.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
-    found = of.join(classes, "root").select("doc", "class_id", "class_size")
-    alone = all_nodes.where("words = 0").select("doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.unionAll(alone).withColumnRenamed("doc", id_col)
+    of = row_classes(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    classes = of.where("root is not null").groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
+    alone = F.col("root").isNull()
+    found = of.join(classes, "root", "left").select(F.col("doc").alias(id_col), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with only the row of the least id of each class; columns as they were.
+    """docs with one row of each class; columns as they were.
 
-    Rows that repeat the kept id with one text are one; rows with a null id stay only where they are alone.
+    The row of the least id stays, of several texts with that id the one of least hash; null ids come last. Of
+    rows that repeat both id and text one stays, any of them. Rows without words all stay, each being alone.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    of = written(row_classes(docs, id_col=id_col, text_col=text_col, similarity=similarity).where("root is not null"), "classes")
+    row = F.struct(F.col("doc").isNull().alias("last"), "doc", "th")
+    first = of.groupBy("root").agg(F.min(row).alias("row"))
+    marked = of.groupBy("root", "doc", "th").agg(F.count("*").alias("times")).join(first, "root").select("doc", "th", "times", (row != F.col("row")).alias("gone"))
+    marked = written(marked.where("gone or times > 1").select(F.col("doc").alias("__near_id"), F.col("th").alias("__near_hash"), "gone"), "marked")
+    at = F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.xxhash64(text_col) == F.col("__near_hash"))
+    kept = docs.join(marked.drop("gone"), at, "left_anti")
+    again = marked.where("not gone").drop("gone")
+    if again.isEmpty():
+        return kept
+    return kept.unionAll(docs.join(again, at, "left_semi").dropDuplicates([id_col, text_col]))

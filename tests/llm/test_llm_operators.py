@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,27 +104,19 @@ def test_media(spark):
     assert [r["tracks"] for r in media.media_columns(broken).collect()] == [None, None, None, []]
 
 
-def shingle_sets(texts):
-    out = {}
-    for i, t in texts:
-        w = re.findall(r"\w+", (t or "").lower())
-        n = min(5, len(w))
-        out[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
-    return out
+def shingle_weights(text):
+    w = re.findall(r"\w+", (text or "").lower())
+    n = min(5, len(w))
+    return {x: 1 + np.log(k) for x, k in Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1) if n).items()}
 
 
-def test_minhash(spark):
-    rng = np.random.default_rng(1)
-    words = [f"w{i}" for i in range(3000)]
-    docs = []
-    for g in range(30):
-        base = rng.choice(words, 120).tolist()
-        for c in range(6):
-            w = list(base)
-            for at in rng.integers(0, 120, c):
-                w[at] = str(rng.choice(words))
-            docs.append((len(docs), " ".join(w)))
-    sets = shingle_sets(docs)
+def probability_jaccard(a, b):
+    return sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in a | b) for x in a.keys() & b.keys())
+
+
+def brute_classes(docs):
+    """{id: least id of its class}, by comparing all pairs."""
+    sets = {i: shingle_weights(t) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -132,15 +125,62 @@ def test_minhash(spark):
         return x
 
     for a in sets:
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+        for b in sets:
+            if b < a and find(a) != find(b) and len(sets[a].keys() & sets[b].keys()) > 0.5 * min(len(sets[a]), len(sets[b])) and probability_jaccard(sets[a], sets[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
+    return {i: find(i) for i in sets}
+
+
+def edited(rng, base, words, n):
+    w = list(base)
+    for at in rng.integers(0, len(w), n):
+        w[at] = str(rng.choice(words))
+    return w
+
+
+def test_minhash(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for _ in range(30):
+        base = rng.choice(words, 120).tolist()
+        docs += [" ".join(edited(rng, base, words, c)) for c in range(6)]
+    line = rng.choice(words, 12).tolist()
+    for k in (1, 3, 40):  # heavy repeats
+        base = rng.choice(words, 100).tolist()
+        docs += [" ".join(edited(rng, base, words, c) + line * k * m) for c in range(3) for m in (1, 2)]
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_minhash_large_group(spark):
+    """Many near copies of one text, most of them with no link: the bounds lose none."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 140).tolist()
+    docs = [base] + [edited(rng, base, words, int(c)) for c in rng.integers(1, 22, 150)]
+    docs += [edited(rng, d, words, 3) for d in docs[5:25]] + [d[:-20] for d in docs[30:40]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()}
-    assert got == {i: find(i) for i in sets}
+    want = brute_classes(docs)
+    assert got == want
+    assert 20 < len(set(want.values())) < len(docs)
+
+
+def test_drop_near_duplicates(spark):
+    a, b = "one text of nine words that is here twice", "another text of some other words, here only once"
+    rows = [(2, a, 1), (5, a, 2), (5, b, 3), (7, a + "!", 4), (2, a, 5), (None, a, 6), (None, "unlike all of the others that are here", 7), (None, None, 8), (9, None, 9), (9, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc int")
+    kept = [r["__doc"] for r in minhash.drop_near_duplicates(df).collect()]
+    assert sorted(x for x in kept if x not in (1, 5)) == [3, 7, 8, 9, 10]
+    assert len({1, 5} & set(kept)) == 1
     kept = minhash.drop_near_duplicates(odd(spark)).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
-    assert minhash.near_duplicates(empty(spark)).count() == 0
+    assert kept[0].asDict().keys() == dict.fromkeys(odd(spark).columns).keys()
+    for f in (minhash.near_duplicates, minhash.drop_near_duplicates):
+        assert f(empty(spark)).count() == 0
 
 
 def test_probability_jaccard():
@@ -148,8 +188,7 @@ def test_probability_jaccard():
     wa, wb = np.array([1.0, 2, 1, 3]), np.array([2.0, 1, 1, 1])
     va, vb = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
     want = sum(1 / sum(max(va.get(y, 0) / va[x], vb.get(y, 0) / vb[x]) for y in va | vb) for x in va.keys() & vb.keys())
-    plain, prob = minhash.similarities(a, wa, b, wb)
-    assert plain == 0.6 and abs(prob - want) < 1e-12
+    assert abs(minhash.similarity_of(a, wa, b, wb) - want) < 1e-12
     rng = np.random.default_rng(0)
     n = 3000
     e = np.concatenate([rng.permutation(200)[:150].astype(np.uint64) + np.uint64(1000 * i) for i in range(2)])
