@@ -1,9 +1,10 @@
 """Personal data: labelers vote on candidate spans, EM weighs the labelers, a span classifier decides.
 
 1. Candidates. Four base patterns give spans that always stay. Wider patterns give further candidates:
-   keys and passwords, telephone numbers without a plus.
-2. Labelers. On each candidate every labeler says yes, no, or nothing: patterns (shape of the span), a
-   gazetteer (known prefixes of issued keys), contexts (words before the span).
+   keys and passwords, telephone numbers without a plus, names of persons (two capitalised words of which the
+   first is a known given name or which follow a word that introduces a person).
+2. Labelers. On each candidate every labeler says yes, no, or nothing: patterns (shape of the span),
+   gazetteers (prefixes of issued keys, numbers that are never issued, given names), contexts (words before).
 3. EM. The counts of vote patterns over all documents (at most 3^labelers for each kind, whatever the
    corpus) feed a two-class model of independent labelers: EM gives each kind's prior and each labeler's
    accuracy, and so a probability for every pattern of votes.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ternfield.llm.common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA = ("secret", "local_phone")
+EXTRA = ("secret", "local_phone", "name")
 #: Fixed patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -35,10 +36,23 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])")
 LOCAL = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])")
+NAME = re.compile(r"(?<![^\W_])(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Name|Contact|Patient|Employee|Customer|Signed|Sincerely|Attn|By)\b)[A-Z][a-z]{1,20}(?:\x20[A-Z]\.)?\x20[A-Z][a-z]{1,20}(?![^\W_])")
 #: Gazetteer: fixed prefixes of keys as their issuers write them.
 ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "glpat-")
 KEY_WORDS = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential|bearer)\W{0,6}$", re.I)
 CALL_WORDS = re.compile(r"(?:phone|tel|call|mobile|cell|fax|whatsapp)\W{0,6}$", re.I)
+#: Gazetteer: fixed list of given names.
+GIVEN = frozenset(
+    "Aaron Adam Alan Albert Alex Alice Amanda Amy Andrea Andrew Angela Ann Anna Anthony Arthur Barbara Benjamin Brian Carl Carlos Carol Catherine "
+    "Charles Christine Christopher Daniel David Deborah Dennis Diana Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Frank George "
+    "Grace Gregory Hannah Harold Helen Henry Jacob James Jane Janet Jason Jennifer Jessica Joan John Jose Joseph Joshua Juan Judith Julia Karen "
+    "Katherine Kenneth Kevin Larry Laura Lisa Louis Margaret Maria Marie Mark Martha Martin Mary Matthew Michael Michelle Monica Nancy Nicole "
+    "Nicholas Olivia Pamela Patricia Patrick Paul Peter Philip Rachel Ralph Raymond Rebecca Richard Robert Roger Ronald Rose Ruth Ryan Samuel "
+    "Sandra Sara Sarah Scott Sharon Sofia Sophie Stephanie Stephen Steven Susan Teresa Thomas Timothy Victor Victoria Walter William".split()
+)
+PERSON_WORDS = re.compile(r"(?:\b(?:mr|mrs|ms|dr|prof|dear|name(?:\x20is)?|contact|patient|employee|customer|signed|sincerely|attn|by)\b)[\W_]{1,4}$", re.I)
+#: Capitalised words that begin sentences and titles rather than names.
+NO_NAME = frozenset("The This That These Those There And But For From With In On At It He She They We You An If When Where Who What How New General Public".split())
 LABELERS = ("shape", "mixed", "random", "issued", "context", "assigned")
 BEFORE = 24
 #: Most groups of equal candidates that the classifier learns from, the most frequent first.
@@ -51,12 +65,18 @@ def luhn(digits: str) -> bool:
     return (odd + even) % 10 == 0
 
 
+def _part(digits: str) -> bool:
+    """Whether the number is at most 255; any count of digits."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, by start and then kind; failing matches go without retries."""
     out = []
     if "@" in text:
         out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(_part(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -74,18 +94,24 @@ def _vote(yes: bool, no: bool) -> int:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str, list[float]]]:
     """(start, end, kind, votes, features) of spans outside the base ones that may be personal data."""
-    out, taken = [], [(s, e) for s, e, _ in base]
+    out, taken = [], bytearray(len(text))
+    for s, e, _ in base:
+        taken[s:e] = b"\1" * (e - s)
 
     def free(s: int, e: int) -> bool:
-        return not any(s < y and x < e for x, y in taken)
+        return taken.find(1, s, e) < 0
+
+    def take(s: int, e: int) -> str:
+        """What stands before; the span is no longer free."""
+        taken[s:e] = b"\1" * (e - s)
+        return text[max(0, s - BEFORE) : s]
 
     for m in SECRET.finditer(text):
         s, e = m.span()
         x = m[0]
         digits = sum(c.isdigit() for c in x)
         if (digits or x.startswith(ISSUED)) and free(s, e):
-            taken.append((s, e))
-            before = text[max(0, s - BEFORE) : s]
+            before = take(s, e)
             hexed = all(c in "0123456789abcdef" for c in x.lower())
             upper = sum(c.isupper() for c in x)
             turns = sum(a.isdigit() != b.isdigit() for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
@@ -101,10 +127,18 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     for m in LOCAL.finditer(text):
         s, e = m.span()
         if free(s, e):
-            taken.append((s, e))
-            before = text[max(0, s - BEFORE) : s]
-            votes = (_vote(m[0][0] == "(" or m[0].count("-") == 2, "." in m[0]), _vote(len({m[0][3], m[0][-5]}) == 1, False), _vote(len({c for c in m[0] if c.isdigit()}) > 4, len({c for c in m[0] if c.isdigit()}) < 3), _vote(False, False), _vote(bool(CALL_WORDS.search(before)), False), _vote(bool(re.search(r"[=:]\x20*$", before)), False))
+            before = take(s, e)
+            votes = (_vote(m[0][0] == "(" or m[0].count("-") == 2, "." in m[0]), _vote(len({m[0][3], m[0][-5]}) == 1, False), _vote(len({c for c in m[0] if c.isdigit()}) > 4, len({c for c in m[0] if c.isdigit()}) < 3), _vote(issued := all(re.fullmatch("[2-9](?!11)[0-9][0-9]", x) for x in re.findall("[0-9]{3}", m[0])[:2]), not issued), _vote(bool(CALL_WORDS.search(before)), False), _vote(bool(re.search(r"[=:]\x20*$", before)), False))
             out.append((s, e, "local_phone", votes, [0.7, 0.0, 0.2, (e - s) / 64]))
+    for m in NAME.finditer(text):
+        s, e = m.span()
+        first, last = m[0].split(" ")[0], m[0].split(" ")[-1]
+        known, introduced = first in GIVEN, bool(PERSON_WORDS.search(text[max(0, s - BEFORE) : s]))
+        if (known or introduced) and free(s, e):
+            before = take(s, e)
+            begins = not before.strip() or before.rstrip()[-1] in ".!?" or before[-1] == "\n"
+            votes = (_vote("." in m[0], first == last), _vote(not begins, begins and not introduced), _vote(last not in NO_NAME, first in NO_NAME or last in NO_NAME), _vote(known, False), _vote(introduced, False), _vote(bool(re.search(r"[=:]\x20*[\"']?$", before)), False))
+            out.append((s, e, "name", votes, [0.0, 2 / len(m[0]), 0.0, min(len(m[0]), 64) / 64]))
     return [(s, e, k, "".join(map(str, v)), f) for s, e, k, v, f in out]
 
 
@@ -173,15 +207,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, *, l2: float = 1e-
     return beta
 
 
-def fit(labelled: DataFrame, *, spans_col: str = "candidates") -> dict[str, list[float]]:
+def fit(labelled: DataFrame, *, spans_col: str = "candidates", max_groups: int = MAX_GROUPS) -> dict[str, list[float]]:
     """kind -> weights of its span classifier. A kind without candidates has none, and none of its spans stay.
 
     What reaches the driver is one row for each vote pattern and rounded feature vector: at most 3^6 * 11^4,
-    of which the MAX_GROUPS most frequent are taken for the classifier; EM sees all patterns.
+    of which the ``max_groups`` most frequent are taken for the classifier; EM sees all patterns.
     """
     one = labelled.select(F.explode(spans_col).alias("s")).where(~F.col("s.base")).select("s.kind", "s.votes", "s.features")
     by_votes = one.groupBy("kind", "votes").count().collect()
-    groups = one.groupBy("kind", "votes", "features").count().orderBy(F.desc("count"), "kind", "votes", "features").limit(MAX_GROUPS).collect()
+    groups = one.groupBy("kind", "votes", "features").count().orderBy(F.desc("count"), "kind", "votes", "features").limit(max_groups).collect()
     models = {}
     for kind in EXTRA:
         seen = [r for r in by_votes if r["kind"] == kind]
