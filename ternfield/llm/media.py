@@ -2,7 +2,8 @@
 
 A file is a tree of boxes (size, four letters, body). The sample tables of a track say how its samples are
 sized (stsz), timed (stts), grouped into chunks (stsc), where the chunks lie (stco, co64) and which samples
-can be decoded alone (stss). From these come codec, duration and the byte ranges of keyframes.
+can be decoded alone (stss). Fragments (moof) add samples by their runs (trun), with defaults from tfhd and trex.
+From these come codec, duration and the byte ranges of keyframes.
 ``wrap`` makes such a file from bytes, as an 8-bit PCM track, so that a round trip can be checked.
 """
 
@@ -75,8 +76,8 @@ def wrap(payload: bytes) -> bytes:
     return head + moov(first) + _box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, parents before children. A box that overruns its parent is an error."""
+def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, box start, body start, body end) of every box, parents before children. A box that overruns its parent is an error."""
     end = len(data) if end is None else end
     while start < end:
         if end - start < 8:
@@ -89,7 +90,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         stop = end if size == 0 else start + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} at {start} does not fit")
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
         if kind in CONTAINERS:
             if len(path) >= MAX_DEPTH:
                 raise ValueError("boxes are nested too deep")
@@ -118,37 +119,61 @@ class Track:
 
 
 def tracks(data: bytes) -> list[Track]:
-    """The tracks of a file by their sample tables. Raises ValueError for a broken file."""
+    """The tracks of a file by their sample tables and fragments. Raises ValueError for a broken file."""
     found: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
+    defaults, moof = {}, 0
     try:
-        for path, at, end in walk(data):
-            if path[-1] == b"trak":
+        for path, start, at, end in walk(data):
+            kind = path[-1]
+            if kind == b"moof":
+                moof = start
+            elif kind == b"traf":
+                fragments.append((moof, []))
+            elif b"traf" in path:
+                fragments[-1][1].append((kind, at, end))
+            elif kind == b"trex":
+                track, _, *values = struct.unpack_from(">5I", data, at + 4)
+                defaults[track] = values
+            elif kind == b"trak":
                 found.append({})
-            elif b"trak" in path and path[-1] not in CONTAINERS:
-                found[-1][path[-1]] = (at, end)
-        return [_track(data, boxes) for boxes in found]
-    except (struct.error, KeyError) as e:
+            elif b"trak" in path and kind not in CONTAINERS:
+                found[-1][kind] = (at, end)
+        out = {}
+        for boxes in found:
+            out[_track_id(data, boxes, len(out))] = _track(data, boxes)
+        for moof, boxes in fragments:
+            _add_fragment(data, moof, boxes, out, defaults)
+        return list(out.values())
+    except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"broken sample tables: {e!r}") from e
 
 
+def _track_id(data: bytes, boxes: dict[bytes, tuple[int, int]], count: int) -> int:
+    """The id in the track's header; a track without one, or with another's, gets a number that no header can hold."""
+    at, end = boxes.get(b"tkhd", (0, 0))
+    return struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0] if end else -1 - count
+
+
 def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     u32 = lambda at: struct.unpack_from(">I", data, at)[0]
     at, end = boxes[b"stsz"]
     same, n = u32(at + 4), u32(at + 8)
-    sizes = np.full(n, same, np.int64) if same else _ints(data, at + 12, n, end)
     wide = b"co64" in boxes
-    at, end = boxes[b"co64" if wide else b"stco"]
-    chunks = _ints(data, at + 8, u32(at + 4), end, ">u8" if wide else ">u4")
-    at, end = boxes[b"stsc"]
-    runs = _ints(data, at + 8, 3 * u32(at + 4), end).reshape(-1, 3)
+    first, stop = boxes[b"co64" if wide else b"stco"]
+    chunks = _ints(data, first + 8, u32(first + 4), stop, ">u8" if wide else ">u4")
+    first, stop = boxes[b"stsc"]
+    runs = _ints(data, first + 8, 3 * u32(first + 4), stop).reshape(-1, 3)
     in_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
     if in_chunk.sum() != n:
         raise ValueError(f"chunks hold {in_chunk.sum()} samples, sizes are for {n}")
+    if same * n > len(data):
+        raise ValueError("the samples are larger than the file")
+    sizes = np.full(n, same, np.int64) if same else _ints(data, at + 12, n, end)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(in_chunk) - in_chunk
     offsets = np.repeat(chunks - before[np.minimum(first, max(n - 1, 0))], in_chunk) + before if n else before
-    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
-        raise ValueError("a sample lies outside the file")
+    _inside(data, offsets, sizes)
     at, end = boxes[b"mdhd"]
     scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
     if not scale or not duration:
@@ -162,6 +187,55 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     return Track(name(boxes[b"hdlr"][0] + 8), name(boxes[b"stsd"][0] + 12), scale, duration, offsets, sizes, keys)
 
 
+def _inside(data: bytes, offsets: np.ndarray, sizes: np.ndarray) -> None:
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("a sample lies outside the file")
+
+
+def _add_fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], out: dict[int, Track], defaults: dict[int, list[int]]) -> None:
+    """Adds the samples of a track fragment. Fixed values of the format: which flag says that which field is there."""
+    at = next(a for kind, a, _ in boxes if kind == b"tfhd") if any(kind == b"tfhd" for kind, _, _ in boxes) else None
+    if at is None:
+        raise ValueError("a fragment has no header")
+    flags, track = struct.unpack_from(">II", data, at)
+    at, flags = at + 8, flags & 0xFFFFFF
+    duration, size, sample_flags = defaults.get(track, [0, 0, 0])
+    base = moof
+    if flags & 0x1:
+        (base,), at = struct.unpack_from(">Q", data, at), at + 8
+    at += 4 * bool(flags & 0x2)
+    if flags & 0x8:
+        (duration,), at = struct.unpack_from(">I", data, at), at + 4
+    if flags & 0x10:
+        (size,), at = struct.unpack_from(">I", data, at), at + 4
+    if flags & 0x20:
+        (sample_flags,) = struct.unpack_from(">I", data, at)
+    to, place = out[track], base
+    for kind, at, end in boxes:
+        if kind != b"trun":
+            continue
+        flags, n = struct.unpack_from(">II", data, at)
+        at, flags, first = at + 8, flags & 0xFFFFFF, None
+        if flags & 0x1:
+            place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        if flags & 0x4:
+            (first,), at = struct.unpack_from(">I", data, at), at + 4
+        there = [bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800)]
+        if not any(there) and size * n > len(data) or n > len(data):
+            raise ValueError("the samples are larger than the file")
+        cells = _ints(data, at, n * sum(there), end).reshape(n, sum(there)) if any(there) else np.zeros((n, 0), np.int64)
+        field = lambda i, default: cells[:, sum(there[:i])] if there[i] else np.full(n, default, np.int64)  # noqa: B023, E731
+        sizes, marks = field(1, size), field(2, sample_flags).copy()
+        if first is not None and n:
+            marks[0] = first
+        offsets = place + np.cumsum(sizes) - sizes
+        _inside(data, offsets, sizes)
+        to.keys = np.concatenate([to.keys, len(to.sizes) + np.flatnonzero(marks & 0x10000 == 0)])
+        to.offsets, to.sizes = np.concatenate([to.offsets, offsets]), np.concatenate([to.sizes, sizes])
+        to.duration += int(field(0, duration).sum())
+        place += int(sizes.sum())
+
+
 def samples(data: bytes, track: Track) -> bytes:
     """The stored bytes of all samples, in order."""
     return b"".join(data[o : o + s] for o, s in zip(track.offsets.tolist(), track.sizes.tolist(), strict=True))
