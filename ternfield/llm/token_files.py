@@ -1,7 +1,7 @@
 """Token-id output: flat files of unsigned integers with 64-bit document offsets, read back by memory map.
 
 Documents are range-partitioned by id, so shard k holds ids before those of shard k+1. A task encodes its
-shard into ``tokens-<k>.bin`` (little-endian unsigned, 16 bits if all ids fit, else 32) and
+shard into ``tokens-<k>.bin`` (little-endian unsigned, 16 bits if all ids of the vocabulary fit, else 32) and
 ``lengths-<k>.bin``. A prefix sum over the shards' totals (one row a shard) gives each shard's base; then
 ``offsets-<k>.bin`` gets the global offset of every document and of the end, as signed 64-bit integers.
 
@@ -12,6 +12,7 @@ files lie in the folder that the executors share.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -81,7 +82,7 @@ def word_encoder(path: str, width: str) -> Callable[[list[str]], list[bytes]]:
         for w in words - known:
             if not w.isalpha():
                 core = w.rstrip(MARKS)
-                if core.isalpha():
+                if core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():  # else a mark of the last letter joins what follows
                     mixed.append((w, core, w[len(core) :]))
                     parts.add(core)
                     parts.add(w[len(core) :])
@@ -124,7 +125,15 @@ def _place(folder: str, name: str, *parts: bytes | np.ndarray) -> None:
     os.replace(mine, f"{folder}/{name}")
 
 
-def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: str = "<u2") -> DataFrame:
+def id_width(vocabulary: str | None = None, end_id: int = 1) -> str:
+    """The type of a file's integers: 16 bits if every id of the vocabulary and the end id fit, else 32."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json")).get_vocab().values())
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """Writes the files; returns (shard, ord, doc_id): which document each place of a shard holds.
 
     Every row is a document, in ascending order of id, null ids last; rows that share an id are ordered by
@@ -134,6 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None,
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     os.makedirs(folder, exist_ok=True)
     small_batches(spark)
+    width = id_width(path, end_id)
     end = np.asarray([end_id], width).tobytes()
     size = np.dtype(width).itemsize
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -160,12 +170,13 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str | None = None,
     return written(index, "token-index")
 
 
-def read_tokens(index: DataFrame, folder: str, *, width: str = "<u2") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the memory-mapped files.
+def read_tokens(index: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the memory-mapped files; vocabulary and end_id as written.
 
     start counts the ids of all documents before; the checksum is over the ids as 32-bit little-endian
     integers. Writes each shard's offsets file on the way.
     """
+    width = id_width(vocabulary, end_id)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
