@@ -4,8 +4,8 @@
    leaves each word of the corpus once.
 2. Merges. Words that are pieces have one id, by a join with the vocabulary, whose size the file bounds. Another
    word is an array of its bytes' ids. A fold merges, again and again, the adjacent pieces of least rank, until
-   no adjacent pieces have one. Ranks are a literal: buckets of small maps from the ids of two pieces to the
-   rank of both together, which is its id, since Spark looks a key of a map up by scanning it.
+   no adjacent pieces have one. Ranks are a literal: a flat hash table from the ids of two pieces to the rank
+   of both together, which is its id, with two places for each key, since Spark scans a map for a key.
 3. Word file. The distinct words' ids go to flat files in the shared folder, by hash: a sorted array of
    hashes, one of offsets, and the words with their ids. Tasks map them into memory and find by bisection
    only the words that they have not met yet, so no task loads the vocabulary of the corpus.
@@ -33,10 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import posix_dir, shuffle_partitions, small_batches, written
+from ternfield.llm.common import posix_dir, small_batches, written
 
-FOLD_BYTES = 256
-BUCKETS = 65_521
+FOLD_BYTES = 1024
+#: Low bits of an entry of the rank map, for the id.
+SHIFT = 20
 #: Words and chunks that a task gathers before it hands them on, and chunks that a worker keeps with their ids.
 GATHER_WORDS, CACHE_WORDS = 300_000, 300_000
 #: Words in each file of the word table, about.
@@ -48,17 +49,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_buckets(ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """(the rank map as a literal, n): buckets of maps from left * n + right to the id of the two ids' piece, by remainder."""
+def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, int, int, int]:
+    """(table, n, p, q): the rank map as one flat array. A key left * n + right, of two pieces' ids, is at place
+    key % p or p + key % q, with the id of both together in the low SHIFT bits; other places hold -1."""
     n = max(ranks.values()) + 1
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    entries = []
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                key = left * n + right
-                buckets[key % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>"), n
+                entries.append((left * n + right, rank))
+    half = len(entries) * 6 // 5 | 1
+    while True:  # a key that finds its place taken moves the other one to its second place
+        table, sizes = [-1] * (2 * half + 2), (half, half + 2)
+        for key, rank in entries:
+            now, side = key << SHIFT | rank, 0
+            for _ in range(200):
+                at = (now >> SHIFT) % sizes[side] + side * half
+                table[at], now = now, table[at]
+                if now < 0:
+                    break
+                side = int(at < half)
+            if now >= 0:
+                break
+        else:
+            return np.array(table, np.int64), n, *sizes
+        half += 2
 
 
 def let(value: Column, then) -> Column:
@@ -66,15 +82,19 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def fold_merges(word: Column, buckets: Column, n: int, byte_ids: Column) -> Column:
+def fold_merges(word: Column, table: Column, n: int, p: int, q: int, byte_ids: Column) -> Column:
     """The ids of a word that is no piece itself. The fold carries the pieces' ids and those of adjacent pairs (an id
     is the rank of its merge); a merge looks up two new pairs."""
     latin = F.decode(F.encode(word, "utf-8"), "iso-8859-1")  # a character a byte
     none = F.lit((1 << 31) - 1)
     first = let(latin, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.get(byte_ids, F.ascii(F.substring(s, i, F.lit(1))))))
 
+    def of(key: Column, entry: Column, otherwise: Column) -> Column:
+        return F.when(F.shiftright(entry, SHIFT) == key, entry.bitwiseAND((1 << SHIFT) - 1).cast("int")).otherwise(otherwise)
+
     def pair(a: Column, b: Column) -> Column:
-        return let(a.cast("long") * n + b, lambda key: F.coalesce(F.try_element_at(F.get(buckets, (key % BUCKETS).cast("int")), key), none))
+        at = lambda key: of(key, F.get(table, (key % p).cast("int")), of(key, F.get(table, (key % q + p).cast("int")), none))
+        return let(a.cast("long") * n + b, at)
 
     state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
 
@@ -137,11 +157,13 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
-    pairs, n = pair_buckets(ranks)
+    table, *sizes = rank_table(ranks)
+    literal = F.from_json(F.lit(json.dumps(table.tolist())), "array<bigint>")
     byte_ids = F.array(*[F.lit(ranks.get(bytes([b]))) for b in range(256)])
-    vocabulary = words.sparkSession.createDataFrame([(bytearray(p), r) for p, r in ranks.items()], "piece binary, whole int")
+    known = pa.table({"piece": pa.array(ranks.keys(), pa.binary()), "whole": pa.array(ranks.values(), pa.int32())})
+    vocabulary = written(words.sparkSession.createDataFrame(known).coalesce(1), "vocabulary")
     named = words.join(F.broadcast(vocabulary), F.encode("word", "utf-8") == F.col("piece"), "left")
-    fold = F.when(F.octet_length("word") <= FOLD_BYTES, let(pairs, lambda buckets: fold_merges(F.col("word"), buckets, n, byte_ids)))
+    fold = F.when(F.octet_length("word") <= FOLD_BYTES, let(literal, lambda t: fold_merges(F.col("word"), t, *sizes, byte_ids)))
     folded = written(named.select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(fold).alias("ids")), "words")
     long = folded.where(F.col("ids").isNull()).select("word")
     if long.isEmpty():
@@ -162,7 +184,7 @@ def write_word_files(encoded: DataFrame, folder: str, shards: int) -> None:
     """Files of the word table: shard k holds the words whose hash is k modulo the number of shards, by hash."""
     os.makedirs(folder, exist_ok=True)
     hashed = encoded.select(F.xxhash64("word").alias("h"), "word", "ids").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    dealt = hashed.repartition(min(shards, shuffle_partitions(encoded.sparkSession)), "shard").sortWithinPartitions("shard", "h", "word")
+    dealt = hashed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "h", "word")
 
     def place(shard: int, h: np.ndarray, words: list[bytes], ids: list[np.ndarray]) -> None:
         ends = np.cumsum([len(w) + 4 + i.nbytes for w, i in zip(words, ids, strict=True)])
