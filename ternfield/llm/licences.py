@@ -1,12 +1,13 @@
 """Licence scan: a trained paragraph classifier names licence families; template comparison confirms them.
 
-Features are the word n-grams (one to three words) of the templates. A multinomial logistic regression with a
-class for ordinary text learns from the templates, from variants made of them by rule (cut, with words left
-out, set in ordinary text) and from paragraphs of the corpus (a bounded number of documents by the order of
-a hash of their ids). Held-out variants set the temperature of its probabilities; variants whose telling
-words are replaced by invented ones set the bound under which a licence is called ``unknown``. A named family
-must also agree with one of its templates: the share of the template's word pairs that the paragraph holds
-is ``confirm`` or more, else it is ``unknown`` too.
+Features are the word n-grams (one to three words) of the templates. A multinomial logistic regression with
+classes for unknown licences and for ordinary text learns from the templates, from variants made of them by rule
+(cut, with words left out, set in ordinary text), for ``unknown`` from variants whose telling words are replaced by
+invented ones, and from paragraphs of the corpus (a bounded number of documents by the order of a hash of their
+ids). Two further sets of variants, of known and of unknown licences, calibrate it: the first sets the temperature
+of its probabilities, the second the bound under which a family is called ``unknown`` too. A named family must
+also agree with one of its templates: the share of the template's word pairs that the paragraph holds is
+``confirm`` or more, else it is ``unknown``.
 
 Paragraphs are lines, as the documents break lines between paragraphs, and runs of adjacent lines (blank ones
 too), as licences are often wrapped: a run is named if it agrees with a template within twice the template's
@@ -19,7 +20,6 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,31 +37,63 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "SPDX-License-Identifier: MIT",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0.",
+        "Released under the Apache License 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "cc-by-nc-sa": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "cc-by-nc-nd": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -76,11 +108,13 @@ TEMPLATES = {
     ],
 }
 FAMILIES = tuple(TEMPLATES)
-NONE, UNKNOWN = "none", "unknown"
+UNKNOWN = "unknown"
+#: The classes beside the families.
+CLASSES = (*FAMILIES, UNKNOWN, "none")
 #: Fixed words, one of which stands in every template and in every licence notice.
-ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain", "warranty", "creative commons", "cc by", "cc0", "all rights reserved")
+ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain", "warranty", "unlicense", "creative commons", "cc by", "cc0", "all rights reserved")
 #: Words by which a family is named; variants for the bound have invented ones instead.
-TELLING = frozenset("mit apache gnu general lesser bsd clause mozilla cc cc0 by nc sa attribution noncommercial sharealike creative commons free foundation hereby granted redistribution binary waived domain".split())
+TELLING = frozenset("mit apache gnu general lesser bsd clause mozilla cc cc0 by nc sa attribution noncommercial sharealike noderivatives nd isc agpl gpl lgpl mpl affero unlicense unencumbered creative commons free foundation hereby granted redistribution binary waived domain".split())
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -114,7 +148,7 @@ def variants(rng: np.random.Generator, text: list[str], ordinary: list[list[str]
 @dataclass
 class Model:
     vocabulary: dict[str, int]
-    weights: np.ndarray  # [feature and bias, family and none]
+    weights: np.ndarray  # [feature and bias, class]
     temperature: float
     bound: float
 
@@ -138,16 +172,26 @@ def _dense(texts: list[list[str]], vocabulary: dict[str, int]) -> np.ndarray:
     return x
 
 
-def train(ordinary: list[str], *, per_template: int = 24, rounds: int = 150, rate: float = 2.0, seed: int = 0) -> Model:
+def invent(rng: np.random.Generator, w: list[str]) -> list[str]:
+    """The words with each telling one replaced by a word of random letters, the same one each time."""
+    fake: dict[str, str] = {}
+    for x in w:
+        if x in TELLING and x not in fake:
+            fake[x] = "".join(chr(97 + int(i)) for i in rng.integers(0, 26, rng.integers(3, 9)))
+    return [fake.get(x, x) for x in w]
+
+
+def train(ordinary: list[str], *, per_template: int = 24, per_check: int = 10, rounds: int = 150, rate: float = 2.0, seed: int = 0) -> Model:
     """The classifier; ``ordinary``: paragraphs that are no licences (those near a template are left out)."""
     rng = np.random.default_rng(seed)
     plain = [w for w in map(words, ordinary) if w and not near_template(w)]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(words(t))}))}
-    made = {f: [v for t in ts for v in [words(t), words(t), words(t), *variants(rng, words(t), plain, per_template)]] for f, ts in TEMPLATES.items()}
-    held = {f: [v for t in ts for v in variants(rng, words(t), plain, 10)] for f, ts in TEMPLATES.items()}
-    sets = [(v, k) for k, f in enumerate(FAMILIES) for v in made[f]] + [(w, len(FAMILIES)) for w in plain[:1500]] + [([], len(FAMILIES))] * 20
+    each = [(k, words(t)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in each for g in grams(t)}))}
+    made = lambda n: [(v, k) for k, t in each for v in variants(rng, t, plain, n)]
+    unknown = lambda n: [invent(rng, v) for _, t in each for v in variants(rng, t, plain, n)]
+    sets = [(t, k) for k, t in each for _ in range(3)] + made(per_template) + [(w, len(FAMILIES)) for w in unknown(per_template // 2)] + [(w, len(FAMILIES) + 1) for w in [*plain, *[[]] * 20]]
     x, y = _dense([v for v, _ in sets], vocabulary), np.array([k for _, k in sets])
-    w = np.zeros((x.shape[1], len(FAMILIES) + 1))
+    w = np.zeros((x.shape[1], len(CLASSES)))
     share = 1 / np.bincount(y, minlength=w.shape[1])[y] / w.shape[1]
     speed = np.zeros_like(w)
     for _ in range(rounds):
@@ -158,18 +202,16 @@ def train(ordinary: list[str], *, per_template: int = 24, rounds: int = 150, rat
         speed = 0.9 * speed - rate * (x.T @ (p * share[:, None]) + 1e-5 * w)
         w += speed
     model = Model(vocabulary, w, 1.0, 0.0)
-    texts, truth = [v for f in FAMILIES for v in held[f]], np.array([k for k, f in enumerate(FAMILIES) for _ in held[f]])
+    first = made(per_check) + [(v, len(FAMILIES)) for v in unknown(per_check)]
+    texts, truth = [v for v, _ in first], np.array([k for _, k in first])
     losses = []
     for t in np.geomspace(0.25, 4, 17):
         model.temperature = float(t)
         losses.append((-np.log(model.probabilities(texts)[np.arange(len(truth)), truth] + 1e-12).mean(), t))
     model.temperature = float(min(losses)[1])
-    invented = ["zorvex", "quillon", "marbet", "tundral", "keffin", "osprel"]
-    fake = [[invented[zlib.crc32(x.encode()) % 6] if x in TELLING else x for x in v] for f in FAMILIES for v in held[f]]
-    top = lambda ts: np.sort(model.probabilities(ts)[:, :-1].max(1))
-    known, other = top(texts), top(fake)
-    cuts = np.linspace(0.2, 0.95, 76)
-    errors = [(float((known < c).mean() + (other >= c).mean()), c) for c in cuts]
+    top = lambda ts: model.probabilities(ts)[:, : len(FAMILIES)].max(1)
+    known, other = top([v for v, _ in made(per_check)]), top(unknown(per_check))
+    errors = [(float((known < c).mean() + (other >= c).mean()), c) for c in np.linspace(0.2, 0.95, 76)]
     model.bound = float(min(errors)[1])
     return model
 
@@ -256,10 +298,10 @@ def scan(text: str | None, model: Model, *, confirm: float = 0.6) -> list[dict]:
     for (a, b, family), w, p in zip(asked, texts, model.probabilities(texts), strict=True):
         if p[-1] >= 0.5:
             continue
-        best = int(p[:-1].argmax())
+        best = int(p[: len(FAMILIES)].argmax())
         pairs = grams(w, (2,))
         share, k = max((len(pairs & t) / len(t), -k) for k, t in PAIRS[FAMILIES[best]])
-        named = bool(p[best] >= model.bound and share >= confirm)
+        named = bool(p[best] >= model.bound and p[best] >= p[len(FAMILIES)] and share >= confirm)
         row = {"paragraph": a, "family": FAMILIES[best] if named else UNKNOWN, "probability": round(float(p[best]), 6), "template": -k, "share": round(share, 6), "lines": b - a + 1}
         if family is None and (named or a in marked):
             lines.append(row)
