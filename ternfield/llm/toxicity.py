@@ -6,8 +6,9 @@ window of words, one from each end; attention pools their states; one unit score
 ``WIDTH`` words start every ``STRIDE`` words, so they overlap, and every window of every document is scored.
 A document's score is its highest.
 
-Labels are of whole documents: in training, each document's highest windows stand for it. Training uses at
-most ``max_each`` documents of each label with at most ``max_chars`` characters; scoring has no bound.
+Labels are of whole documents: in training, each document's highest windows stand for it. Training uses whole
+texts: at most ``max_each`` documents of each label, of at most ``max_chars`` characters together; scoring has no
+bound.
 """
 
 from __future__ import annotations
@@ -251,17 +252,31 @@ class Scorer:
         return _sigmoid(np.concatenate(out).astype(np.float64)) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_if: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, max_chars: int = 6000, seed: int = 0) -> dict[str, np.ndarray]:
-    """The network from the labelled documents where ``train_if`` (on the id) holds; null labels and texts are left out."""
+def fit(docs: DataFrame, labels: DataFrame, *, train_if: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, max_chars: int = 2_000_000, seed: int = 0) -> dict[str, np.ndarray]:
+    """The network from the labelled documents where ``train_if`` (on the id) holds; null labels and texts are left out.
+
+    Documents are taken by the order of a hash of their ids, whole; one that would exceed ``max_chars`` characters
+    in its label's sample is passed over.
+    """
     ok = F.lit(True) if train_if is None else train_if
     known = labels.where(ok & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("__y")).groupBy(id_col).agg(F.max("__y").alias("__y"))
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
-    one = lambda y: known.where(F.col("__y") == y).orderBy(*order).limit(3 * max_each)
+    one = lambda y: known.where(F.col("__y") == y).orderBy(*order).limit(2 * max_each)
     picked = one(0).unionByName(one(1))
-    texts = docs.select(id_col, F.col(text_col).alias("__t")).where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars)).join(F.broadcast(picked), id_col)  # bounded: 6 * max_each ids
+    texts = docs.select(id_col, F.col(text_col).alias("__t")).where(F.col("__t").isNotNull()).join(F.broadcast(picked), id_col)  # bounded: 4 * max_each ids
     rows = []
     for y in (0, 1):
-        rows += texts.where(F.col("__y") == y).orderBy(*order, "__t").limit(max_each).select("__t", "__y").collect()
+        mine = texts.where(F.col("__y") == y).select("__t", "__y", *[c.alias(f"__o{i}") for i, c in enumerate([*order, F.xxhash64("__t")])])
+        sizes = mine.select("__o0", "__o1", "__o2", F.length("__t").alias("n")).orderBy("__o0", "__o1", "__o2").limit(2 * max_each).collect()
+        left, take = max_chars, []
+        for r in sizes:
+            if len(take) < max_each and r["n"] <= left:
+                left -= r["n"]
+                take.append(tuple(r)[:3])
+        if take:
+            of = docs.sparkSession.createDataFrame(sorted(set(take)), mine.select("__o0", "__o1", "__o2").schema)
+            got = mine.join(F.broadcast(of), ["__o0", "__o1", "__o2"], "left_semi").orderBy("__o0", "__o1", "__o2", "__t").limit(max_each)
+            rows += got.select("__t", "__y").collect()
     return train([r["__t"] for r in rows], np.array([r["__y"] for r in rows], np.int64), seed=seed)
 
 
