@@ -371,6 +371,23 @@ def test_scores_of_odd_rows(spark):
     assert quality.score(empty(spark), model).count() == toxicity.score(empty(spark), net).count() == 0
 
 
+def test_held_out_labels_have_no_influence(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("ba", "ke", "li", "mo", "nu") for b in ("da", "fe", "gi", "ho", "ju", "ra")]
+    texts = [" ".join(rng.choice(words, 30)) + (" vileword" * 3 if i % 2 else "") + (" pad" * 9000 if i == 7 else "") for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    flipped = []
+    for flip in (0, 1):
+        y = [(i, int(i % 2 == 0) ^ (flip and i % 3 == 0), (i % 2) ^ (flip and i % 3 == 0)) for i in range(80)]
+        labels, ok = spark.createDataFrame(y, "doc_id long, quality int, toxic int"), F.col("doc_id") % 3 != 0
+        net = toxicity.fit(docs, labels, train_if=ok)
+        model = quality.train(docs, labels, train_if=ok)
+        flipped.append([[r["score"] for r in f.orderBy("doc_id").collect()] for f in (toxicity.score(docs, net), quality.score(docs, model))])
+    assert flipped[0] == flipped[1]
+    assert np.mean((np.array(flipped[0][0]) >= 0.5) == np.arange(80) % 2) > 0.95
+    assert toxicity.fit(empty(spark), labels)["out"].any() == False  # noqa: E712  nothing to learn from
+
+
 def test_toxicity_gradient_and_learning():
     rng = np.random.default_rng(0)
     net = {k: v.astype(np.float64) for k, v in toxicity.init(1).items()}
@@ -409,6 +426,23 @@ def test_licences(spark, model):
     assert licences.licences(odd(spark), model).count() == len(ODD)
 
 
+def test_licences_that_differ_in_a_word(model):
+    for text, family in (("Licensed under CC BY-ND 4.0.", "cc-by-nd"), ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", "mit"), ("// SPDX-License-Identifier: Apache-2.0", "apache"), ("Released under the Apache License 2.0", "apache"), ("licensed under the GNU Affero General Public License version 3", "agpl")):
+        assert [x["family"] for x in licences.scan(text, model)] == [family], text
+    rng = np.random.default_rng(9)
+    found = [licences.scan(" ".join(licences.invent(rng, licences.words(t))), model) for ts in licences.TEMPLATES.values() for t in ts for _ in range(4)]
+    assert np.mean([all(x["family"] == licences.UNKNOWN for x in f) for f in found]) >= 0.9
+
+
+def test_licences_fit(spark):
+    """Learns from the corpus; empty tables and odd rows too."""
+    docs = spark.createDataFrame([(i, f"an ordinary line number {i} of prose\nwith a second line {i}") for i in range(40)], SCHEMA)
+    for df in (docs, odd(spark), empty(spark)):
+        m = licences.fit(df)
+        assert [x["family"] for x in licences.scan("Released under the MIT License.", m)] == ["mit"]
+    assert licences.licences(empty(spark), m).count() == 0
+
+
 def test_licences_in_other_forms(model):
     assert [x["family"] for x in licences.scan("prose\nAvailable under CC-BY-SA-4.0.", model)] == ["cc-by-sa"]
     assert [x["family"] for x in licences.scan("Under the BSD 3-Clause", model)] == ["bsd"]
