@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import clamp
+from ternfield.operators.positions import running
 
 
 def ones(examples: DataFrame) -> DataFrame:
@@ -76,11 +77,10 @@ def rivals(scored: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """(median): the element at floor(n / 2) of the sorted values, by an exact percentile of two neighbours."""
-    counts = df.select(F.col(value).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    place = F.sum("n").over(Window.orderBy("v"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("v", place.alias("upto"), total.alias("total")).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
+    """(median): the element at floor(n / 2), from 0, of the sorted values; nulls are left out, no values give null."""
+    counts = df.select(F.col(value).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return running(counts, "v", ["n"]).crossJoin(F.broadcast(total)).where(F.col("n_upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -138,13 +138,6 @@ def soft_assignment(scored: DataFrame, *, cut: float = 13.8) -> DataFrame:
     return e.select("ex", "truth", "cls", (F.col("e") / F.sum("e").over(w)).alias("a"))
 
 
-def divergence(model: DataFrame) -> DataFrame:
-    """(i, j, kl) of every ordered pair of classes' normalised templates."""
-    p = model.select("cls", "d", (F.col("p") / F.sum("p").over(Window.partitionBy("cls"))).alias("q"))
-    a, b = p.select(F.col("cls").alias("i"), "d", F.col("q").alias("qi")), p.select(F.col("cls").alias("j"), "d", F.col("q").alias("qj"))
-    return a.join(b, "d").groupBy("i", "j").agg(F.round(F.sum(F.col("qi") * (F.ln("qi") - F.ln("qj"))), 9).alias("kl"))
-
-
 def two_proportion(model: DataFrame, sizes: DataFrame) -> DataFrame:
     """(i, j, d, z) for i < j with the pooled standard error."""
     m = model.join(F.broadcast(sizes), "cls")
@@ -152,11 +145,3 @@ def two_proportion(model: DataFrame, sizes: DataFrame) -> DataFrame:
     pool = (F.col("pi") * F.col("ni") + F.col("pj") * F.col("nj")) / (F.col("ni") + F.col("nj"))
     z = (F.col("pi") - F.col("pj")) / F.sqrt(pool * (1 - pool) * (1 / F.col("ni") + 1 / F.col("nj")))
     return side("i").join(side("j"), "d").where("i < j").select("i", "j", "d", z.alias("z"))
-
-
-def step_up(tests: DataFrame, score: Column, alpha: float, total: int) -> DataFrame:
-    """tests that a step-up rule rejects: rank k by falling score; all up to the last k with exp(-score) <= k alpha / total."""
-    r = tests.withColumn("s", score).groupBy("s").agg(F.count("*").alias("n"))
-    upto = r.withColumn("k", F.sum("n").over(Window.orderBy(F.desc("s"))))
-    last = upto.where(F.exp(-F.col("s")) <= F.col("k") * alpha / total).agg(F.min("s").alias("least"))
-    return tests.withColumn("s", score).join(F.broadcast(last)).where(F.col("s") >= F.col("least")).drop("s", "least")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternfield.operators import classify
+from ternfield.operators.positions import numbered
 
 
 def cascade(ranked: DataFrame, second: DataFrame, *, top: int = 5) -> DataFrame:
@@ -123,8 +126,23 @@ def outcomes(detections: DataFrame, truths: DataFrame, *, tolerance: float) -> D
 
 
 def word_ids(words: Column, rows: DataFrame) -> DataFrame:
-    """(word, id): the distinct words numbered in order, from 0. The word list is a vocabulary, not the rows."""
-    return rows.select(words.alias("word")).distinct().select("word", (F.row_number().over(Window.orderBy("word")) - 1).alias("id"))
+    """(word, id): the distinct words numbered in order, from 0; null is no word."""
+    return numbered(rows.select(words.alias("word")).where("word is not null").distinct(), "word", name="id")
+
+
+def two_class_sets(rows: DataFrame, first: Sequence[int], second: Sequence[int]) -> DataFrame:
+    """The rows of two sets of classes, with y = 0 for the first and 1 for the second."""
+    return rows.where(F.col("cls").isin([*first, *second])).withColumn("y", F.when(F.col("cls").isin(list(first)), 0).otherwise(1))
+
+
+def prepared_subgradient(rows: DataFrame, weights: DataFrame, *, shrink: float, eps: float) -> DataFrame:
+    """(d, w): weights (d, w) times ``shrink`` plus the sub-gradient over rows (ex, idx, y) in error."""
+    one = F.broadcast(weights.agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("w")))
+    z = F.aggregate("idx", F.lit(0.0), lambda acc, d: acc + F.coalesce(F.try_element_at("w", d), F.lit(0.0)))
+    scored = rows.crossJoin(one).withColumn("z", F.round(z, 9))
+    wrong = error_margin(scored, F.col("z"), eps=eps).where("part = 'error'")
+    grad = wrong.select(F.explode("idx").alias("d"), "y").groupBy("d").agg(F.sum(-F.col("y")).alias("g"))
+    return weights.join(grad, "d", "left").select("d", (F.col("w") * shrink + F.coalesce("g", F.lit(0))).alias("w"))
 
 
 def error_margin(rows: DataFrame, score: Column, *, eps: float) -> DataFrame:

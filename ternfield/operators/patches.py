@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,36 @@ def part_codes(placed: DataFrame, weights: DataFrame, const: DataFrame, *, count
     return score.withColumn("best", best).where((F.col("s") == F.col("best")) & (F.col("on") >= count_threshold) & (F.col("best") >= likelihood_threshold)).select("ex", "t", "f", "part")
 
 
-def spread(cells: DataFrame, *, radius: int, height: int, width: int) -> DataFrame:
-    """Cells that are on within ``radius`` of one that is, inside the array."""
+def channel_patches(cells: DataFrame, *, height: int, width: int, size: int, channels: int) -> DataFrame:
+    """(ex, t, f, d) of cells (ex, t, f, e) with a channel: d counts the patch's rows, columns and channels in that order."""
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(size)])
+    place = (F.col("o.i") * size + F.col("o.j")) * channels + F.col("e")
+    out = cells.select("ex", "t", "f", "e", F.explode(offsets).alias("o")).select("ex", (F.col("t") - F.col("o.i")).alias("t"), (F.col("f") - F.col("o.j")).alias("f"), place.alias("d"))
+    return out.where(F.col("t").between(0, height - size) & F.col("f").between(0, width - size))
+
+
+def channel_subset(cells: DataFrame, *, channels: Sequence[int], width: int) -> DataFrame:
+    """The cells of some channels below a column."""
+    return cells.where(F.col("e").isin(list(channels)) & (F.col("f") < width))
+
+
+def value_patches(anchors: DataFrame, values: DataFrame, *, size: int) -> DataFrame:
+    """(ex, t, f, d, s): the values (ex, t, f, s) in the patch at each anchor (ex, t, f)."""
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(size)])
+    at = anchors.select("ex", F.col("t").alias("at"), F.col("f").alias("af"), F.explode(offsets).alias("o"))
+    at = at.select("ex", "at", "af", (F.col("at") + F.col("o.i")).alias("t"), (F.col("af") + F.col("o.j")).alias("f"), (F.col("o.i") * size + F.col("o.j")).alias("d"))
+    return at.join(values, ["ex", "t", "f"]).select("ex", F.col("at").alias("t"), F.col("af").alias("f"), "d", "s")
+
+
+def kept_parts(soft: DataFrame, *, least: float) -> DataFrame:
+    """(comp, mass): the components whose responsibilities ``a`` add up to more than ``least``."""
+    return soft.select(F.posexplode("a").alias("comp", "a")).groupBy("comp").agg(F.sum("a").alias("mass")).where(F.col("mass") > least)
+
+
+def spread(cells: DataFrame, *, radius: int, height: int, width: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Cells that are on within ``radius`` of one that is, inside the array; apart for each value of ``keep``."""
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    out = cells.select("ex", "t", "f", F.explode(offsets).alias("o")).select("ex", (F.col("t") + F.col("o.i")).alias("t"), (F.col("f") + F.col("o.j")).alias("f"))
+    out = cells.select("ex", "t", "f", *keep, F.explode(offsets).alias("o")).select("ex", (F.col("t") + F.col("o.i")).alias("t"), (F.col("f") + F.col("o.j")).alias("f"), *keep)
     return out.where(F.col("t").between(0, height - 1) & F.col("f").between(0, width - 1)).distinct()
 
 

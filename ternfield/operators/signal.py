@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import mirrored
+from ternfield.operators.positions import running
 
 
 def preemphasis(signal: DataFrame, *, coefficient: float = 0.95) -> DataFrame:
@@ -64,18 +68,40 @@ def nearest_frame(points: DataFrame, *, hop: int) -> DataFrame:
 
 
 def heads(intervals: DataFrame) -> DataFrame:
-    """(sig, start, end): by end, each interval that starts at or after the end of the last one taken."""
-    order = F.array_sort(F.collect_list(F.struct("end", "start")))
-    init = F.array().cast("array<struct<end:bigint,start:bigint>>")
-    taken = F.aggregate(order, init, lambda acc, i: F.when((F.size(acc) == 0) | (i["start"] >= F.element_at(acc, -1)["end"]), F.array_append(acc, i)).otherwise(acc))
-    return intervals.groupBy("sig").agg(taken.alias("i")).select("sig", F.explode("i").alias("i")).select("sig", "i.start", "i.end")
+    """(sig, start, end): by end, each interval that starts at or after the end of the last one taken.
+
+    Signals are cut where no interval spans, as what is taken before such a gap says nothing about what follows it;
+    only the intervals of one piece come together.
+    """
+    rows = intervals.where("start is not null and end is not null").select("sig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    w = Window.partitionBy("sig").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = rows.withColumn("new", F.coalesce((F.col("start") >= reach).cast("long"), F.lit(1))).withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def take(piece: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((piece["start"], piece["end"]))
+        kept, last = [], None
+        for i, (start, end) in enumerate(zip(piece["start"].to_numpy()[order].tolist(), piece["end"].to_numpy()[order].tolist(), strict=True)):
+            if last is None or start >= last:
+                kept.append(order[i])
+                last = end
+        return piece.iloc[kept][["sig", "start", "end"]]
+
+    kind = intervals.schema["sig"].dataType.simpleString()
+    return pieces.drop("new").groupBy("sig", "piece").applyInPandas(take, f"sig {kind}, start bigint, end bigint")
 
 
 def assign(intervals: DataFrame, taken: DataFrame) -> DataFrame:
-    """intervals with the head (start) that they overlap most, ties to the earlier one; those without overlap are left out."""
-    h = taken.select("sig", F.col("start").alias("hs"), F.col("end").alias("he"))
+    """intervals with the head (start) that they overlap most, ties to the earlier one; those without overlap are left out.
+
+    Both are dealt into bins of twice the mean length, so an interval meets only the heads near it.
+    """
+    width = intervals.agg(F.greatest(F.lit(1.0), 2 * F.avg(F.col("end") - F.col("start"))).alias("width"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("width")), F.floor(F.col(b) / F.col("width")))).alias("bin")
+    own = intervals.where("start <= end").crossJoin(F.broadcast(width)).select("sig", "start", "end", "score", bins("start", "end"))
+    h = taken.select("sig", F.col("start").alias("hs"), F.col("end").alias("he")).where("hs <= he").crossJoin(F.broadcast(width)).select("sig", "hs", "he", bins("hs", "he"))
     over = F.least("end", "he") - F.greatest("start", "hs")
-    hit = intervals.join(h, "sig").withColumn("o", over).where("o > 0")
+    hit = own.join(h, ["sig", "bin"]).withColumn("o", over).where("o > 0")
     return hit.groupBy("sig", "start", "end", "score").agg(F.min(F.struct((-F.col("o")).alias("o"), "hs"))["hs"].alias("head"))
 
 
@@ -85,10 +111,45 @@ def representatives(assigned: DataFrame) -> DataFrame:
 
 
 def roc(detections: DataFrame) -> DataFrame:
-    """(score, hits, alarms): how many true and false detections have this score or more."""
-    by = detections.groupBy("score").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.sum((~F.col("hit")).cast("long")).alias("a"))
-    w = Window.orderBy(F.desc("score"))
-    return by.select("score", F.sum("h").over(w).alias("hits"), F.sum("a").over(w).alias("alarms"))
+    """(score, hits, alarms): how many true and false detections have this score or more. Null scores are left out."""
+    by = detections.where("score is not null").groupBy("score").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.sum((~F.col("hit")).cast("long")).alias("alarms"))
+    return running(by, "score", ["hits", "alarms"], descending=True).select("score", F.col("hits_upto").alias("hits"), F.col("alarms_upto").alias("alarms"))
+
+
+def roc_rates(curve: DataFrame, *, hours: float) -> DataFrame:
+    """(score, rate, alarms_per_hour): the share of all hits found, and false alarms by hour of signal."""
+    every = curve.agg(F.max("hits").alias("every"))
+    return curve.crossJoin(F.broadcast(every)).select("score", F.try_divide(F.col("hits").cast("double"), "every").alias("rate"), (F.col("alarms") / hours).alias("alarms_per_hour"))
+
+
+def detector_peaks(scores: DataFrame, *, radius: int, threshold: float) -> DataFrame:
+    """(sig, det, n, x): values above the threshold that no detector exceeds within ``radius`` places; all of equal ones stay."""
+    near = F.explode(F.sequence(F.col("n") - radius, F.col("n") + radius)).alias("n")
+    top = scores.groupBy("sig", "n").agg(F.max("x").alias("x")).select("sig", near, "x").groupBy("sig", "n").agg(F.max("x").alias("top"))
+    return scores.where(F.col("x") > threshold).join(top, ["sig", "n"]).where("x >= top").select("sig", "det", "n", "x")
+
+
+def centred_frame(points: DataFrame, *, length: int, hop: int) -> DataFrame:
+    """points (…, s, e) with the frame of ``length`` samples whose centre is nearest to that of [s, e]."""
+    return points.withColumn("t", F.round((F.col("s") + F.col("e") - length + 1) / (2.0 * hop)).cast("long"))
+
+
+def filtered_fold(framed: DataFrame, response: Sequence[float], *, power: int) -> DataFrame:
+    """(sig, t, q, re, im): frames (sig, t, k, x) filtered in the frequency domain and downsampled 2^power times.
+
+    response: the filter at each frequency. Each 2^power neighbouring frequencies are summed, what remains is
+    transformed back, and scaled by 2^-floor(power / 2). All of it is one linear map from the samples, as many
+    literals as a frame has samples for each value.
+    """
+    n = len(response)
+    m = n >> power
+    f = np.arange(n)
+    forward = np.asarray(response)[:, None] * np.exp(-2j * np.pi * f[:, None] * f / n)
+    back = np.exp(2j * np.pi * np.arange(m)[:, None] * np.arange(m) / m) / m / 2 ** (power // 2)
+    maps = back @ forward.reshape(m, n // m, n).sum(1)
+    row = lambda w: F.sum(F.get(F.array(*[F.lit(float(x)) for x in w]), F.col("k")) * F.col("x"))
+    out = [F.struct(F.lit(q).alias("q"), row(w.real).alias("re"), row(w.imag).alias("im")) for q, w in enumerate(maps)]
+    return framed.groupBy("sig", "t").agg(F.array(*out).alias("o")).select("sig", "t", F.inline("o"))
 
 
 def padded(signal: DataFrame, *, length: int) -> DataFrame:
@@ -115,3 +176,11 @@ def segments(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """
     wanted = spans.where("s < e").select("sig", "ord", "s", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("t"))
     return wanted.join(frames, ["sig", "t"]).withColumn("k", F.col("t") - F.col("s")).drop("s")
+
+
+def padded_segments(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """``segments`` of frames whose head and tail are continued by themselves reversed; frames beyond that are left out."""
+    sizes = frames.groupBy("sig").agg(F.count("*").alias("len"))
+    wanted = spans.where("s < e").join(sizes, "sig").select("sig", "ord", "s", "len", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("at"))
+    t = F.when(F.col("at") < 0, -1 - F.col("at")).when(F.col("at") >= F.col("len"), 2 * F.col("len") - 1 - F.col("at")).otherwise(F.col("at"))
+    return wanted.select("sig", "ord", (F.col("at") - F.col("s")).alias("k"), t.alias("t")).join(frames, ["sig", "t"])

@@ -224,29 +224,14 @@ def known_pair_confusion(spark, sf):
 ASSIGN = SC + ", m AS (SELECT *, score - max(score) OVER (PARTITION BY ex) AS z FROM sc), asg AS (SELECT ex, truth, cls, exp(z) / sum(exp(z)) OVER (PARTITION BY ex) AS a FROM m WHERE z >= -138e-1)"
 
 
-@query(f"WITH {ASSIGN} SELECT ex, cls, round(a, 6) AS a FROM asg")
-def smoothed_assign(spark, sf):
-    return classify.soft_assignment(scored(spark, sf)).select("ex", "cls", F.round("a", 6).alias("a"))
-
-
 @query(f"WITH {ASSIGN} SELECT ex, round(coalesce(sum(a) FILTER (WHERE cls = truth), 0), 6) AS u FROM asg GROUP BY 1")
 def uncertainty(spark, sf):
     own = F.sum(F.when(F.col("cls") == F.col("truth"), F.col("a")).otherwise(0.0))
     return classify.soft_assignment(scored(spark, sf)).groupBy("ex").agg(F.round(own, 6).alias("u"))
 
 
-KL = TMPL + ", q AS (SELECT cls, d, p / sum(p) OVER (PARTITION BY cls) AS q FROM tmpl), kl AS (SELECT a.cls AS i, b.cls AS j, round(sum(a.q * (ln(a.q) - ln(b.q))), 9) AS kl FROM q a JOIN q b ON a.d = b.d GROUP BY 1, 2)"
-
-
-@query(f"WITH {KL} SELECT i, j, kl FROM kl")
-def kl_matrix(spark, sf):
-    return classify.divergence(model(spark, sf))
-
-
-@query(f"WITH {KL} SELECT i, j, round(exp(-kl), 6) AS w FROM kl WHERE exp(-kl) >= 9e-1 AND i <> j")
-def kl_graph(spark, sf):
-    kl = classify.divergence(model(spark, sf))
-    return kl.where((F.exp(-F.col("kl")) >= 0.9) & (F.col("i") != F.col("j"))).select("i", "j", F.round(F.exp(-F.col("kl")), 6).alias("w"))
+KL_MASS = """, mass AS (SELECT e.label AS cls, a.comp::INT AS comp, floor(round(sum(a.a), 6))::BIGINT AS n FROM a2 a JOIN embeddings e ON e.vec_id = a.ex GROUP BY 1, 2),
+mf AS (SELECT cls, comp, (n + 5e-1) / sum(n) OVER (PARTITION BY cls) AS f FROM mass), kl AS (SELECT a.cls AS i, b.cls AS j, round(sum(a.f * (ln(a.f) - ln(b.f))), 9) AS kl FROM mf a JOIN mf b ON a.comp = b.comp GROUP BY 1, 2)"""
 
 
 ZT = TMPL + """, zt AS (SELECT a.cls AS i, b.cls AS j, a.d, (a.p - b.p) / sqrt((a.p * na.n + b.p * nb.n) / (na.n + nb.n) * (1 - (a.p * na.n + b.p * nb.n) / (na.n + nb.n)) * (1e0 / na.n + 1e0 / nb.n)) AS z
@@ -263,13 +248,6 @@ def z_test(spark, sf):
     return z_scores(spark, sf).select("i", "j", "d", F.round("z", 6).alias("z"))
 
 
-@query(f"WITH {ZT}, s AS (SELECT i, j, d, round(z * z / 2, 6) AS s FROM zt), r AS (SELECT *, count(*) OVER (ORDER BY s DESC) AS k FROM s), c AS (SELECT min(s) AS least FROM r WHERE exp(-s) <= k * 9e-1 / 2880) SELECT i, j, d FROM s CROSS JOIN c WHERE s >= least")
-def bh_fdr(spark, sf):
-    """Step-up rule on the bound exp(-z^2 / 2) of a two-sided p-value, for 45 pairs of 64 features."""
-    z = z_scores(spark, sf).withColumn("half", F.round(F.col("z") * F.col("z") / 2, 6))
-    return classify.step_up(z, F.col("half"), 0.9, 45 * DIM).select("i", "j", "d")
-
-
 @query(None)
 def em_2iter(spark, sf):
     soft, _ = iterate.em(examples(spark, sf), DIM, 3, rounds=2)
@@ -292,9 +270,12 @@ def _em_sql(rounds: int) -> str:
 
 
 ORACLE["em_2iter"] = _em_sql(2)
+#: Log likelihoods by round, up to the first that gains too little.
+CONVERGED = ", hist AS (" + " UNION ALL ".join(f"SELECT {r} AS round, sum(l) AS l FROM s{r}" for r in range(8)) + """),
+gain AS (SELECT *, lag(l) OVER (ORDER BY round) AS was FROM hist), stop AS (SELECT coalesce(min(round), 7) AS last FROM gain WHERE l - was <= -1e-6 * was) SELECT round, round(l, 4) AS loglik FROM hist, stop WHERE round <= last"""
 
 
-@query(None)
+@query(_em_sql(8).replace(" SELECT ex, comp::INT AS comp, round(a, 6) AS a FROM a8", CONVERGED))
 def em_converged(spark, sf):
     _, history = iterate.em(examples(spark, sf), DIM, 3, rounds=8, tol=1e-6)
     return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(history)], "round int, loglik double")
@@ -319,32 +300,6 @@ def _pegasos_sql(steps: int) -> str:
 
 ORACLE["pegasos_3step"] = _pegasos_sql(3)
 
-KNN = """v AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings),
-d AS (SELECT q.vec_id AS q, t.vec_id AS t, list_sum(list_transform(list_zip(q.b, t.b), lambda z: (z[1] <> z[2])::INT))::INT AS dist FROM v q JOIN v t ON q.vec_id % 5 = 4 AND t.vec_id % 5 < 3),
-knn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS r FROM d)"""
-
-
-def _knn(spark, sf):
-    """Queries: the test split; against: the training split, in rows of packed bits."""
-    word = F.aggregate("idx", F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    rows = examples(spark, sf).select("ex", word.alias("w"))
-    q = rows.where(F.col("ex") % 5 == 4).select(F.col("ex").alias("q"), F.col("w").alias("wq"))
-    t = rows.where(F.col("ex") % 5 < 3).select(F.col("ex").alias("t"), F.col("w").alias("wt"))
-    d = q.join(t).select("q", "t", F.bit_count(F.col("wq").bitwiseXOR(F.col("wt"))).cast("int").alias("dist"))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "t"))).where("r <= 15")
-
-
-@query(f"WITH {KNN} SELECT q, t, dist FROM knn WHERE r <= 15")
-def knn15(spark, sf):
-    return _knn(spark, sf).select("q", "t", "dist")
-
-
-@query(f"WITH {KNN} SELECT a.q, a.t, round(a.dist / greatest(s.dist, 1)::DOUBLE, 9) AS scaled FROM knn a JOIN knn s ON s.q = a.q AND s.r = 7 WHERE a.r <= 15")
-def local_scale_kernel(spark, sf):
-    seventh = F.max(F.when(F.col("r") == 7, F.col("dist"))).over(Window.partitionBy("q"))
-    return _knn(spark, sf).withColumn("s", seventh).select("q", "t", F.round(F.col("dist") / F.greatest("s", F.lit(1)), 9).alias("scaled"))
-
-
 def cells(spark, sf):
     return classify.ones(examples(spark, sf)).select("ex", F.floor(F.col("d") / SIDE).cast("int").alias("t"), (F.col("d") % SIDE).alias("f"))
 
@@ -479,12 +434,17 @@ def intervals(spark, sf):
     return wave(spark, sf).select("sig", (F.col("n") * 3).alias("start"), (F.col("n") * 3 + 1 + F.floor(F.col("x") * 10).cast("long") % 7).alias("end"), F.col("x").alias("score"))
 
 
-@query(None)
+IV = WAVE + """, iv AS (SELECT sig, n * 3 AS start, n * 3 + 1 + floor(x * 10)::BIGINT % 7 AS "end", x AS score FROM wave),
+h AS (SELECT sig, min({'e': "end", 's': start}) AS m FROM iv GROUP BY 1 UNION ALL SELECT iv.sig, min({'e': iv."end", 's': iv.start}) FROM h JOIN iv ON iv.sig = h.sig AND iv.start >= h.m.e GROUP BY 1)"""
+
+
+@query(f'WITH RECURSIVE {IV} SELECT sig, m.s AS start, m.e AS "end" FROM h')
 def interval_heads(spark, sf):
     return signal.heads(intervals(spark, sf))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {IV}, o AS (SELECT iv.sig, start, "end", score, m.s AS head, row_number() OVER (PARTITION BY iv.sig, start, "end", score ORDER BY least("end", m.e) - greatest(start, m.s) DESC, m.s) AS r FROM iv JOIN h ON h.sig = iv.sig AND least("end", m.e) > greatest(start, m.s))
+SELECT sig, head, min(start) AS start, max("end") AS "end", max(score) AS score FROM o WHERE r = 1 GROUP BY 1, 2""")
 def cluster_representatives(spark, sf):
     i = intervals(spark, sf)
     return signal.representatives(signal.assign(i, signal.heads(i)))
@@ -506,12 +466,6 @@ def speaker_semi(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id").join(keep, "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query("SELECT event_type AS label, dense_rank() OVER (ORDER BY event_type) - 1 AS id FROM (SELECT DISTINCT event_type FROM events)")
-def label_ids(spark, sf):
-    labels = table(spark, sf, "events").select(F.col("event_type").alias("label")).distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("id"))
-
-
 @query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS comp FROM part")
 def component_renumber(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_brand", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long").alias("comp"))

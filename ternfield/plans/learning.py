@@ -152,7 +152,10 @@ def em_pruned(spark, sf):
     return soft.select(F.posexplode("a").alias("comp", "a")).groupBy("comp").agg(F.round(F.sum("a"), 3).alias("mass"))
 
 
-@query(None)
+FIXED = ORACLE["em_2iter"].replace("ones AS (SELECT ex, cls, d FROM bits WHERE v > 0)", "ones AS (SELECT ex, cls, d, least(255, floor(greatest(v, 0) * 4 * 255)) / 255e0 AS x FROM bits WHERE v > 0)")
+
+
+@query(FIXED.replace("sum(a.a) / min(t.t)", "sum(a.a * o.x) / min(t.t)").replace("sum(ln(p.p) - ln(1 - p.p))", "sum(o.x * (ln(p.p) - ln(1 - p.p)))"))
 def em_fixed_point(spark, sf):
     """Responsibilities of three components on fixed-point values."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ex"), soft_bits(F.col("embedding"), BASE, SCALE).alias("cells"))

@@ -23,7 +23,7 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = duck.sql(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLE[name]})").fetchall()
+    want = duck.sql(f"SELECT {', '.join(f'\"{c}\"' for c in cols)} FROM ({catalog.ORACLE[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, want))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import mirrored, path_id, set_bits, with_bias
-from ternfield.operators import classify, iterate, signal
+from ternfield.operators import classify, iterate, models, nearest, positions, signal
 from ternfield.sources.tables import instances
 
 
@@ -75,3 +75,94 @@ def test_em_against_numpy(spark):
     got = np.array([r["a"] for r in soft.orderBy("ex").collect()])
     assert np.abs(got - a).max() < 1e-9
     assert all(y >= x - 1e-6 for x, y in zip(history, history[1:]))
+
+
+def test_running_and_zipped(spark):
+    rng = np.random.default_rng(1)
+    keys = rng.permutation(500)
+    df = spark.createDataFrame([(int(k), int(k) % 7) for k in keys] + [(None, 5)], "k long, v long")
+    got = {r["k"]: r["v_upto"] for r in positions.running(df, "k", ["v"], blocks=9).collect()}
+    total = np.cumsum([5] + [k % 7 for k in range(500)])
+    assert got == {None: 5} | {k: total[k + 1] for k in range(500)}
+    down = {r["k"]: r["v_upto"] for r in positions.running(df, "k", ["v"], blocks=9, descending=True).collect()}
+    assert down[499] == 499 % 7 and down[0] == sum(k % 7 for k in range(500)) and down[None] == down[0] + 5
+    names = spark.createDataFrame([(f"w{k:03}",) for k in keys], "word string")
+    assert {r["word"]: r["id"] for r in positions.numbered(names, "word", name="id").collect()} == {f"w{k:03}": k for k in range(500)}
+    both = positions.zipped(names.limit(30), "word", df.where("k is not null"), "k")
+    assert [r["k"] for r in both.orderBy("word").collect()] == list(range(30))
+    assert positions.numbered(names.limit(0), "word").count() == 0
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    bits = rng.random((300, 130)) < 0.5
+    bits[50:60] = bits[40]  # ties
+    df = spark.createDataFrame([(i, [int(d) for d in np.flatnonzero(b)]) for i, b in enumerate(bits)], "id long, idx array<int>").repartition(4)
+    rows = df.select("id", nearest.packed(F.col("idx"), 130).alias("words"))
+    dist = (bits[:, None] != bits[None]).sum(2)
+    for block in (100, 7):
+        got = {(r["q"], r["r"]): (r["t"], r["dist"]) for r in nearest.nearest(rows, rows.where("id % 20 = 0"), k=5, block=block).collect()}
+        want = {(q, r + 1): (t, dist[q, t]) for q in range(0, 300, 20) for r, t in enumerate(sorted((t for t in range(300) if t != q), key=lambda t: (dist[q, t], t))[:5])}
+        assert got == want
+    assert nearest.nearest(rows, rows.limit(0), k=5).count() == nearest.nearest(rows.limit(0), rows, k=5).count() == 0
+
+
+def test_heads_against_plain_code(spark):
+    rng = np.random.default_rng(3)
+    spans = [(int(s), int(a), int(a + n), float(x)) for s, a, n, x in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400), rng.integers(1, 25, 400), rng.random(400))]
+    i = spark.createDataFrame(spans, "sig int, start long, end long, score double")
+    want = []
+    for sig in range(3):
+        last = None
+        for e, s in sorted((e, s) for g, s, e, _ in spans if g == sig):
+            if last is None or s >= last:
+                want.append((sig, s, e))
+                last = e
+    got = signal.heads(i)
+    assert rows(got, "sig", "start") == sorted(want)
+    head = {}
+    for g, s, e, x in spans:
+        over = [(-(min(e, he) - max(s, hs)), hs) for hg, hs, he in want if hg == g and min(e, he) > max(s, hs)]
+        if over:
+            head[g, s, e, x] = min(over)[1]
+    assert {tuple(r)[:4]: r["head"] for r in signal.assign(i, got).collect()} == head
+
+
+def test_p_values_against_erfc(spark):
+    from math import erfc, sqrt
+
+    z = [0.0, 0.1, -1.0, 1.96, 3.0, -6.0, 12.0, 30.0]
+    got = [r["p"] for r in spark.createDataFrame([(x,) for x in z], "z double").select(models.two_sided_p(F.col("z")).alias("p")).collect()]
+    assert all(abs(p - erfc(abs(x) / sqrt(2))) <= 3e-7 * erfc(abs(x) / sqrt(2)) for p, x in zip(got, z))
+
+
+def test_step_up(spark):
+    p = spark.createDataFrame([(x,) for x in (0.001, 0.008, 0.039, 0.041, 0.042, 0.06, None)], "p double")
+    kept = [r["p"] for r in models.step_up(p, "p", alpha=0.05, total=F.lit(6)).orderBy("p").collect()]
+    assert kept == [0.001, 0.008]
+    assert models.step_up(p.limit(0), "p", alpha=0.05, total=F.lit(6)).count() == 0
+
+
+def test_smoothed_assignments(spark):
+    scores = [(1, 0, 0, 0, 2.0), (1, 0, 0, 1, 1.0), (1, 0, 1, 0, 1.5), (1, 0, 1, 1, -90.0), (2, 0, 0, 0, 90.0), (2, 0, 1, 0, 0.0)]
+    df = spark.createDataFrame(scores, "ex long, truth int, cls int, comp int, score double")
+    got = {(r["ex"], r["cls"], r["comp"]): r["a"] for r in models.smoothed_assignments(df, beta=2.0, gamma=3.0).collect()}
+    e = np.exp
+    extra = e(-(1 + 1.5 - 2.0) / 3)
+    want = {(1, 0, 0): 1 / (1 + e(-0.5)), (1, 0, 1): e(-0.5) / (1 + e(-0.5)), (1, 1, 0): 1 / (1 + extra)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_reordered_graph():
+    edges = [(0, 5), (5, 2), (2, 7), (7, 1), (3, 4)]
+    order = models.reordered(edges, range(8))
+    assert sorted(order) == list(range(8))
+    place = {n: i for i, n in enumerate(order)}
+    assert max(abs(place[a] - place[b]) for a, b in edges) == 1
+
+
+def test_model_votes_ties(spark):
+    s = spark.createDataFrame([(1, 0, i, j, 0.0) for i, j in ((0, 1), (0, 2), (1, 2))] + [(2, 2, 0, 1, 1.0), (2, 2, 0, 2, -1.0), (2, 2, 1, 2, 1.0)], "ex long, truth int, i int, j int, score double")
+    assert {r["ex"]: r["guess"] for r in models.model_votes(s).collect()} == {1: 0, 2: 0}
+    assert {r["ex"]: r["guess"] for r in models.model_votes(s, high_ties=True).collect()} == {1: 2, 2: 2}
+    assert models.model_votes(s.limit(0)).count() == 0
