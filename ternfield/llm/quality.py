@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_if: Column | None = None,
     web = docs.where(ok & F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(*order).limit(max_unlabelled)
     picked = good.withColumn("__good", F.lit(True)).unionByName(web.withColumn("__good", F.lit(False)))
     texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # bounded: max_positive + max_unlabelled ids
-    texts = texts.orderBy(*order, F.xxhash64(text_col), "__good").limit(max_positive + max_unlabelled)  # and rows, where ids repeat
-    rows = text_features(texts, text_col=text_col, out="x").select("__good", "x", id_col).collect()
+    rows = text_features(texts, text_col=text_col, out="x").select("__good", "x", id_col)
+    rows = rows.orderBy(*order, F.xxhash64("x"), "__good").limit(max_positive + max_unlabelled).collect()  # and rows, where ids repeat
     rows.sort(key=lambda r: (r[id_col], r["x"]))
     x = lambda good: np.array([r["x"] for r in rows if r["__good"] == good]).reshape(-1, len(FEATURES))
     return fit(x(True), x(False), seed=seed)
