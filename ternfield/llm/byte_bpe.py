@@ -24,13 +24,14 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternfield.llm.common import posix_dir, small_batches, written
@@ -155,6 +156,18 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
     return docs.select(text_col).mapInArrow(each, "word string").distinct()
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """No adaptive planning meanwhile: each new plan is also written out as text, literals and all, on the driver's heap."""
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
     table, *sizes = rank_table(ranks)
@@ -164,7 +177,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) ->
     vocabulary = written(words.sparkSession.createDataFrame(known).coalesce(1), "vocabulary")
     named = words.join(F.broadcast(vocabulary), F.encode("word", "utf-8") == F.col("piece"), "left")
     fold = F.when(F.octet_length("word") <= FOLD_BYTES, let(literal, lambda t: fold_merges(F.col("word"), t, *sizes, byte_ids)))
-    folded = written(named.select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(fold).alias("ids")), "words")
+    with planned_once(words.sparkSession):
+        folded = written(named.select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(fold).alias("ids")), "words")
     long = folded.where(F.col("ids").isNull()).select("word")
     if long.isEmpty():
         return folded
