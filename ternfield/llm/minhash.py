@@ -40,9 +40,9 @@ WORD = re.compile(r"\w+")
 SHINGLE, BANDS, ROWS = 5, 20, 6
 K = BANDS * ROWS
 SIMILARITY = 0.8
-#: Leaders of a bucket in the second round (four times as many in each after it), and the members beyond which a
+#: Leaders of a bucket in the second round (MORE times as many in each after it), and the members beyond which a
 #: bucket's nodes get bounds: a smaller one is done within two rounds.
-LEADERS = 4
+LEADERS, MORE = 4, 8
 LARGE = 2 * LEADERS
 #: Parts into which a bucket's members are dealt when they meet its leaders.
 SALTS = 8
@@ -217,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
     while was["n"]:
         both = links.unionAll(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("v != u").distinct()
         links, now = step(small)
@@ -227,15 +227,20 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def bounds(of: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, w, s, r) of the nodes in ``of`` (node, root): its shingles, their weight, how many of them other
-    classes hold too, and the weight of the rest over that of those (null if there are none)."""
-    shingle = F.explode(F.arrays_zip("shingles", "counts")).alias("e")
-    held = sets.join(of, "node").select("node", "root", shingle).select("node", "root", F.col("e.shingles").alias("h"), (1 + F.log(F.col("e.counts"))).alias("w"))
-    shared = held.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    kept = held.join(shared, "h").groupBy("node").agg(F.count("*").alias("s"), F.sum("w").alias("kept"))
-    every = sets.join(of, "node").select("node", F.size("shingles").alias("n"), F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c)).alias("w"))
-    return every.join(kept, "node", "left").select("node", "n", "w", F.coalesce("s", F.lit(0)).alias("s"), ((F.col("w") - F.col("kept")) / F.col("kept")).alias("r"))
+def taken_apart(sets: DataFrame) -> DataFrame:
+    """(node, n, w, h, x) for each shingle h of the nodes, of weight x: its node has n shingles of weight w together."""
+    weights = F.transform("counts", lambda c: 1 + F.log(c))
+    whole = sets.select("node", F.size("shingles").alias("n"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("w"), F.arrays_zip("shingles", weights.alias("weights")).alias("e"))
+    return whole.select("node", "n", "w", F.explode("e").alias("e")).select("node", "n", "w", F.col("e.shingles").alias("h"), F.col("e.weights").alias("x"))
+
+
+def bounds(of: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class: its shingles, their
+    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of taken_apart."""
+    now = held.join(of, "node")
+    shared = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
+    kept = now.join(shared, "h").groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("s"), F.sum("x").alias("kept"))
+    return kept.select("node", "n", "w", "s", ((F.col("w") - F.col("kept")) / F.col("kept")).alias("r"))
 
 
 def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
@@ -245,7 +250,7 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
     first = buckets.where("node != lead")
     links = written(verify(first.select(*pair("node", "lead")).distinct(), sets, similarity=similarity), "links")
     roots = components(links)
-    todo, leaders, rank = first.select("bucket", "node"), LEADERS, 2
+    todo, leaders, rank, held = first.select("bucket", "node"), LEADERS, 2, None
     while True:
         named = todo.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 != r1")
@@ -253,7 +258,10 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
         if todo.isEmpty():
             return roots
         large = F.col("members") > LARGE
-        bound = bounds(todo.where(large).select("node", "root").distinct(), sets)
+        of = todo.where(large).select("node", "root").distinct()
+        if held is None:  # buckets only get smaller, so later rounds need no other nodes
+            held = written(taken_apart(sets.join(of.select("node"), "node")), "held")
+        bound = bounds(of, held)
         # A node in a large bucket stays if some weight and number of shingles in it could be a partner's.
         at = todo.where(large).join(bound, "node").withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip)
         most = at.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("w").alias("w1"))
@@ -273,7 +281,7 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
         todo = todo.select("bucket", "node").join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
         if not new.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
-        leaders, rank = leaders * 4, rank + 1
+        leaders, rank = leaders * MORE, rank + 1
 
 
 def row_classes(docs: DataFrame, *, id_col: str, text_col: str, similarity: float) -> DataFrame:
