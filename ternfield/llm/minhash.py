@@ -236,11 +236,19 @@ def taken_apart(sets: DataFrame) -> DataFrame:
 
 def bounds(of: DataFrame, held: DataFrame) -> DataFrame:
     """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class: its shingles, their
-    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of taken_apart."""
+    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of taken_apart.
+
+    The rest is what is counted: a shingle that one node holds is known by its group, and only those that several nodes of
+    one class hold are looked up again."""
     now = held.join(of, "node")
-    shared = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    kept = now.join(shared, "h").groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("s"), F.sum("x").alias("kept"))
-    return kept.select("node", "n", "w", "s", ((F.col("w") - F.col("kept")) / F.col("kept")).alias("r"))
+    ends = [f(c).alias(f"{c}{i}") for c in ("root", "node") for i, f in enumerate((F.min, F.max))]
+    foreign = now.groupBy("h").agg(*ends, F.count("*").alias("k"), F.sum("x").alias("x")).where("root0 = root1")
+    own = foreign.where("node0 = node1").select(F.col("node0").alias("node"), "k", "x")
+    wide = now.join(foreign.where("node0 != node1").select("h"), "h").select("node", F.lit(1).cast("bigint").alias("k"), "x")
+    rest = own.unionAll(wide).groupBy("node").agg(F.sum("k").alias("k"), F.sum("x").alias("x"))
+    whole = now.groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w")).join(rest, "node", "left")
+    shared, x = F.col("n") - F.coalesce("k", F.lit(0)), F.coalesce("x", F.lit(0.0))
+    return whole.where(shared > 0).select("node", "n", "w", shared.alias("s"), F.when(shared > 0, x / (F.col("w") - x)).alias("r"))
 
 
 def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
