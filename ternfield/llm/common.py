@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +68,36 @@ def posix_dir(spark: SparkSession, name: str) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches end at 4 MB, so that a run of very long texts does not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def words(text: Column) -> Column:
+    """How many runs of characters other than blanks a text holds; 0 for a null one."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def cumulated(df: DataFrame, order: Sequence[str], values: Sequence[str], name: str) -> DataFrame:
+    """df with ``<value>_upto`` for each value: its sum over all rows up to this one in the order of the columns.
+
+    Rows are dealt by range of ``order`` (ascending, nulls first), summed as they stream through a task, and written;
+    one row a range then meets in a window. Values are bigint without nulls. Rows that tie in ``order`` must differ in
+    nothing that matters, and must not be many, as they share a range. df is read twice: write it first if it is dear.
+    """
+    values = list(values)
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    kinds = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), *(T.StructField(f"__{v}", T.LongType()) for v in values)])
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, so_far = TaskContext.get().partitionId(), dict.fromkeys(values, 0)
+        for b in batches:
+            sums = []
+            for v in values:
+                sums.append(pc.add(pc.cumulative_sum(b.column(v)), so_far[v]))
+                so_far[v] = sums[-1][-1].as_py() if len(b) else so_far[v]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(b), pa.int32()), *sums], names=[f.name for f in kinds.fields])
+
+    done = written(rows.mapInArrow(streamed, kinds), name)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = done.groupBy("__part").agg(*[F.max(f"__{v}").alias(v) for v in values])
+    bases = parts.select("__part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__base_{v}") for v in values])
+    out = done.join(F.broadcast(bases), "__part")
+    return out.select(*df.columns, *[(F.col(f"__{v}") + F.col(f"__base_{v}")).alias(f"{v}_upto") for v in values])
