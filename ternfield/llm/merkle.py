@@ -35,11 +35,11 @@ def _hex(digests: Column) -> Column:
     return F.lower(F.hex(digests))
 
 
-def walk(digests: list[str], *, alone: bool) -> tuple[str, list[list[tuple[str, str]]]]:
+def walk(digests: list[str], block: int, *, alone: bool) -> tuple[str, list[list[tuple[str, str]]]]:
     """(digest, sides by leaf) of one block's nodes: ``sides`` are the siblings left and right, from below.
 
     ``alone``: the block is a whole tree, which ends at its first single node; else it is as high as all its
-    neighbours, with runs of one node where it ends early.
+    neighbours, ``block`` leaves wide, with runs of one node where it ends early.
     """
     n, sides = len(digests), [[] for _ in digests]
 
@@ -55,7 +55,7 @@ def walk(digests: list[str], *, alone: bool) -> tuple[str, list[list[tuple[str,
                 sides[leaf].append(side)
         return hashlib.sha256("".join(runs).encode()).hexdigest()
 
-    width = BLOCK
+    width = block
     if alone:
         width = 1
         while width < n:
@@ -66,9 +66,11 @@ def walk(digests: list[str], *, alone: bool) -> tuple[str, list[list[tuple[str,
 def _traverse(nodes: DataFrame, name: str) -> DataFrame:
     """(tree, at, n, digest, sides, block_digest), written, of nodes (tree, at, n, digest); block_digest on a block's first node."""
 
+    most = BLOCK
+
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
-        digest, sides = walk([bytes(d).hex() for d in rows["digest"]], alone=int(rows["n"].iloc[0]) <= BLOCK)
+        digest, sides = walk([bytes(d).hex() for d in rows["digest"]], most, alone=int(rows["n"].iloc[0]) <= most)
         out = rows[["tree", "at", "n"]].copy()
         out["sides"] = [[{"left": bytes.fromhex(a), "right": bytes.fromhex(b)} for a, b in s] for s in sides]
         out["block_digest"] = [bytes.fromhex(digest)] + [None] * (len(rows) - 1)

@@ -8,7 +8,7 @@ these two, and each Newton iteration is one aggregation of that table for all so
 
 Rates become copies in three steps, none of which draws at random: each (source, size) gets a whole number of copies
 from running sums down the sizes, which leaves a source at most one long document away from its target; the rest is
-paid out in shorter documents; and inside a (source, size) the documents of least hash get the odd copies. That choice
+settled by some copies more or less of sizes of every magnitude; and inside a (source, size) the documents of least hash get the odd copies. That choice
 is made by shares of salted parts, so that no group of equal sizes meets in one task.
 """
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,7 +75,7 @@ def multipliers(counts: DataFrame, targets: DataFrame, *, cap: int = 3, toleranc
     """
     by_source = counts.where("size > 0").groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     state = targets.alias("t").join(by_source.alias("m"), F.col("t.source").eqNullSafe(F.col("m.source")), "left").select("t.*", "m.mean")
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide("target", F.col("source_size").cast("double"))
     full = (F.col("mean").isNotNull()) & (share >= cap * (1 - 1e-12))
     top = F.col("mean") * (math.log(cap) * (1 + 1e-9))  # all documents with words are at the cap
     state = state.select(
@@ -114,16 +116,43 @@ def copy_plan(counts: DataFrame, solved: DataFrame, *, cap: int = 3) -> DataFram
     plan = summed.withColumn("copies", whole(F.col("parts_upto")) - whole(F.col("parts_upto") - F.col("parts")))
     plan = plan.select("source", "sid", "source_size", "target", "size", "n", "rate", "copies")
     short = plan.groupBy("sid").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
-    room = F.when(F.col("short") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-    open_ = plan.join(short.where("short != 0"), "sid").withColumn("room", room).where("room > 0 and size > 0 and size <= abs(short)")
-    # one size of each power of two is enough: after it, what is short is less than that power, or it has no room
-    best = open_.groupBy("sid", "short", F.floor(F.log2("size")).alias("power")).agg(F.max(F.struct("room", "size")).alias("best"))
-    ways = best.groupBy("sid", "short").agg(F.sort_array(F.collect_list(F.struct(F.col("best.size").alias("size"), F.col("best.room").alias("room"))), asc=False).alias("ways"))
-    paid = ways.withColumn("out", F.expr("aggregate(ways, struct(abs(short) as rest, cast(array() as array<struct<size:bigint,more:bigint>>) as paid), (acc, way) -> struct(acc.rest - least(acc.rest div way.size, way.room) * way.size as rest, concat(acc.paid, array(struct(way.size as size, least(acc.rest div way.size, way.room) as more))) as paid), acc -> acc.paid)"))
-    fixes = paid.select("sid", F.signum("short").cast("long").alias("sign"), F.explode("out").alias("o")).select("sid", F.col("o.size").alias("size"), (F.col("sign") * F.col("o.more")).alias("more"))
+    # a few sizes of each magnitude that still have room, upwards and downwards: at most some hundred rows a source
+    open_ = plan.join(short.where("short != 0"), "sid").where("size > 0").withColumns({"up": cap * F.col("n") - F.col("copies"), "step": F.floor(F.log2("size") * 4)})
+    best = [F.max(F.when(F.col(c) > 0, F.struct(c, "size")))["size"].alias(f"by_{c}") for c in ("up", "copies")]
+    picked = open_.groupBy("sid", "step").agg(*best).select("sid", F.explode(F.array_distinct(F.array("by_up", "by_copies"))).alias("size")).where("size is not null")
+    fixes = picked.join(open_.select("sid", "size", "short", "up", "copies"), ["sid", "size"]).groupBy("sid").applyInPandas(settled, "sid long, size long, more long")
     return written(plan.join(fixes, ["sid", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"), "mix-plan")
 
 
+def settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """(sid, size, more): changes of the copies of a source's sizes that bring the words it is ``short`` of near 0.
+
+    Whole multiples of the longest sizes first, then the best single change or pair of changes, while one helps.
+    """
+    rows = rows.sort_values("size", ascending=False)
+    size, up, down = (rows[c].to_numpy(np.int64) for c in ("size", "up", "copies"))
+    more, rest = np.zeros(len(size), np.int64), int(rows["short"].iloc[0])
+    for i in range(len(size)):
+        times = min(abs(rest) // int(size[i]), int(up[i] if rest > 0 else down[i])) * (1 if rest > 0 else -1)
+        more[i] += times
+        rest -= times * int(size[i])
+    while rest:
+        moves = [(i, sign) for sign in (1, -1) for i in np.flatnonzero(more < up if sign > 0 else more > -down)]
+        if not moves:
+            break
+        words = np.array([0] + [sign * int(size[i]) for i, sign in moves])
+        left = np.abs(rest - words[:, None] - words)
+        np.fill_diagonal(left, np.iinfo(np.int64).max)  # a size may have room for one more copy only
+        a, b = np.unravel_index(left.argmin(), left.shape)
+        if left[a, b] >= abs(rest):
+            break
+        for k in (a, b):
+            if k:
+                more[moves[k - 1][0]] += moves[k - 1][1]
+        rest -= int(words[a] + words[b])
+    return pd.DataFrame({"sid": rows["sid"].to_numpy(), "size": size, "more": more})
+
+
 def dealt_copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """(doc_id, h, source, size, source_size, target, rate, copies), a row each document: the copies of its (source, size) dealt evenly.
 

@@ -170,12 +170,12 @@ FROM p JOIN g USING (sid, pos) JOIN sub USING (sid)
 
 OP13_SQL = f"""
 WITH t AS (SELECT {CRC_TABLE} AS crc),
-o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc_sql('conv_id::VARCHAR')} % 4 AS h, n FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY 1), t),
 l AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lent FROM c LEFT JOIN c b ON b.conv_id = c.base),
 r AS (SELECT l.conv_id, o.i, o.role, o.text FROM l JOIN o ON o.conv_id = l.base AND o.i < l.lent
       UNION ALL SELECT l.conv_id, o.i - l.h + l.lent, o.role, o.text FROM l JOIN o ON o.conv_id = l.conv_id AND o.i >= l.h),
-q AS (SELECT c.conv_id, coalesce(ts, []) AS ts FROM c LEFT JOIN (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY i) AS ts, FROM r GROUP BY 1) USING (conv_id)),
+q AS (SELECT c.conv_id, coalesce(ts, []) AS ts FROM c LEFT JOIN (SELECT conv_id, list(md5(strlen(role) || ':' || role || text) ORDER BY i) AS ts, FROM r GROUP BY 1) USING (conv_id)),
 e AS (SELECT conv_id, d, list_slice(ts, 1, d) AS k, list_slice(ts, 1, d - 1) AS pk, d = len(ts) AS ends FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM q)),
 w AS (SELECT conv_id, i + 1 AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
 n AS (SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends FROM e GROUP BY 1, 2),
