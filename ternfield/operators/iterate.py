@@ -1,82 +1,97 @@
 """Iterative fits as DataFrame loops: Bernoulli mixtures by EM, linear classifiers by sub-gradient steps.
 
-A model is small (components x features), so it comes to the driver each round and goes back as literals; the
-examples never leave the executors, and each round is one aggregation with map-side sums.
+Mixtures are fitted by ``operators.mixtures``, whose models are written tables of one row a node. Weights of linear
+classifiers (rows x features) come to the driver each step and go back as a written table of one row; the examples
+never leave the executors, and each step is one aggregation with map-side sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _dot(rows: np.ndarray, base: int | None = None):
-    lit = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
-    if base:
-        return F.transform(lit, lambda w: F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.get(w, c["idx"]) * c["val"]) / base)
-    return F.transform(lit, lambda w: F.aggregate("idx", F.lit(0.0), lambda acc, i: acc + F.get(w, i)))
+from ternfield.operators import mixtures
+from ternfield.operators.learn import margins
 
 
 def m_step(soft: DataFrame, dim: int, k: int, *, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(means [k, dim] clamped to [.01, .99], weights [k]) of (idx, a): a holds the responsibilities.
+    """(means [k, dim] clamped to [.01, .99], weights [k]) of (idx or cells, a): a holds the responsibilities."""
+    row = mixtures.m_step(_alone(soft, k), dim, k, base=base).select("mean", "part").first()
+    return np.array(row["mean"]), np.array(row["part"])
 
-    With a ``base``, features are ``cells`` of (idx, val) that count val / base.
-    """
-    x = F.col("c.val") / base if base else F.lit(1.0)
-    long = soft.select(F.explode("cells").alias("c"), "a").select(F.col("c.idx").alias("d"), x.alias("x"), "a") if base else soft.select(F.explode("idx").alias("d"), x.alias("x"), "a")
-    mass = np.array(soft.agg(*[F.sum(F.get("a", c)).alias(f"a{c}") for c in range(k)]).first(), float)
-    sums = np.zeros((k, dim))
-    for r in long.groupBy("d").agg(*[F.sum(F.get("a", c) * F.col("x")).alias(f"a{c}") for c in range(k)]).collect():
-        sums[:, r["d"]] = [r[f"a{c}"] for c in range(k)]
-    return np.clip(sums / np.maximum(mass, 1e-300)[:, None], 0.01, 0.99), mass / mass.sum()
-
-
-def e_step(examples: DataFrame, means: np.ndarray, weights: np.ndarray, *, base: int | None = None) -> DataFrame:
-    """examples with ``a``, the responsibilities, and ``ll``, the log likelihood of each."""
-    const = np.log(np.maximum(weights, 1e-300)) + np.log(1 - means).sum(1)
-    odds = np.log(means) - np.log(1 - means)
-    joint = F.zip_with(_dot(odds, base), F.array(*[F.lit(float(c)) for c in const]), lambda a, b: a + b)
-    z = examples.drop("a", "ll").withColumn("z", joint).withColumn("m", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m")))
-    z = z.withColumn("ll", F.col("m") + F.ln(total))
-    return z.withColumn("a", F.transform("z", lambda x: F.exp(x - F.col("ll")))).drop("z", "m")
+
+def _alone(examples: DataFrame, k: int) -> DataFrame:
+    """examples as the only node of ``operators.mixtures``."""
+    return examples.withColumns({"node": F.lit(0).cast("long"), "k": F.lit(k)})
 
 
 def mod_start(k: int) -> Column:
     """One-hot responsibilities: component ex mod k."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (F.pmod(F.col("ex"), F.lit(k)) == c).cast("double"))
+    return mixtures.mod_start(F.lit(k))
 
 
-def hashed_start(k: int, seed: int) -> Column:
+def hashed_start(k: Column, seed: Column) -> Column:
     """One-hot responsibilities: a component by hash of ex and seed."""
-    of = F.pmod(F.xxhash64("ex", F.lit(seed)), F.lit(k))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (of == c).cast("double"))
+    of = F.pmod(F.xxhash64("ex", seed), k)
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda c: (of == c).cast("double"))
+
+
+def seeded_start(k: Column, seed: Column) -> Column:
+    """One-hot responsibilities: a component by arithmetic on ex and seed, the same in any engine."""
+    of = (F.pmod("ex", F.lit(65521)) * 40503 + seed * 30341) % 65521 % k
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda c: (of == c).cast("double"))
 
 
 def em(examples: DataFrame, dim: int, k: int, *, rounds: int = 2, tol: float = 0.0, start: Column | None = None, base: int | None = None) -> tuple[DataFrame, list[float]]:
-    """(examples with responsibilities, log likelihood by round). Starts from component ex mod k unless told otherwise."""
-    soft, history = examples.withColumn("a", mod_start(k) if start is None else start), []
+    """(examples with responsibilities a and log likelihoods ll, log likelihood by round). Starts from component ex mod k unless told otherwise.
+
+    A round is one pass over the examples; the model is a written table of one row, so plans do not grow with rounds or
+    features. With a ``tol`` the rounds end when one gains too little; without, the history is empty.
+    """
+    soft = _alone(examples, k).withColumn("a", mod_start(k) if start is None else start)
+    history, model = [], None
     for _ in range(rounds):
-        soft = e_step(examples, *m_step(soft, dim, k, base=base), base=base)
+        model = mixtures.m_step(soft, dim, k, base=base) if model is None else model
+        soft, model = mixtures.e_step(_alone(examples, k), model, dim, k, base=base), None
         if tol:
-            history.append(soft.agg(F.sum("ll")).first()[0])
+            model = mixtures.m_step(soft, dim, k, base=base)  # sums up this round's likelihood and is the next one's model
+            row = model.select("loglik").first()
+            history.append(row[0] if row else 0.0)
             if len(history) > 1 and history[-1] - history[-2] <= -tol * history[-2]:
                 break
-    return soft, history
+    return soft.drop("node", "k"), history
+
+
+def sweep(examples: DataFrame, dim: int, sizes: Sequence[int], *, seeds: Sequence[int], rounds: int = 4, start: Callable[[Column, Column], Column] = seeded_start) -> tuple[DataFrame, DataFrame]:
+    """((k, seed, loglik), soft (ex, …, k, seed, a, ll)) of mixtures of several sizes from several starts.
+
+    Every (size, start) is a node of one fit, so a round is one pass for all of them.
+    """
+    node = F.col("k").cast("long") * 1_000_003 + F.col("seed")
+    tries = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.lit(int(s)).alias("seed")) for k in sizes for s in seeds])).alias("t")
+    every = examples.select("*", tries).select(*examples.columns, "t.k", "t.seed").withColumn("node", node)
+    soft, _ = mixtures.fit(every, dim, max(sizes), nodes=len(sizes) * len(seeds), rounds=rounds, start=start(F.col("k"), F.col("seed")))
+    return soft.groupBy("k", "seed").agg(F.sum("ll").alias("loglik")), soft
 
 
 def restarts(examples: DataFrame, dim: int, k: int, *, seeds: Sequence[int], rounds: int = 4) -> tuple[DataFrame, int, float]:
-    """(examples with responsibilities, seed, log likelihood) of the best of several starts from hashed components."""
-    best = None
-    for seed in seeds:
-        soft, _ = em(examples, dim, k, rounds=rounds, start=hashed_start(k, seed))
-        total = soft.agg(F.sum("ll")).first()[0] or 0.0
-        if best is None or total > best[2]:
-            best = (soft, seed, total)
-    return best
+    """(examples with responsibilities, seed, log likelihood) of the best of several starts, fitted together; the least seed of equals."""
+    swept, soft = sweep(examples, dim, [k], seeds=seeds, rounds=rounds, start=hashed_start)
+    row = swept.orderBy(F.desc("loglik"), "seed").first()
+    seed, total = (row["seed"], row["loglik"]) if row else (seeds[0], 0.0)
+    return soft.where(F.col("seed") == seed).drop("node", "k", "seed"), seed, total
+
+
+def kept_components(model: DataFrame, stay: Sequence[int]) -> DataFrame:
+    """A model of one node with the components ``stay`` alone, their shares made 1 again."""
+    at = F.array(*[F.lit(int(c)) for c in stay])
+    pick = lambda col: F.transform(at, lambda c: F.get(col, c))
+    left = F.aggregate(pick(F.col("part")), F.lit(0.0), lambda acc, x: acc + x)
+    b = F.transform(pick(F.col("b")), lambda x: x - F.ln(left))
+    return model.select("node", F.lit(len(stay)).alias("k"), pick(F.col("w")).alias("w"), b.alias("b"))
 
 
 def pruned(examples: DataFrame, dim: int, k: int, *, least: float, rounds: int = 3, one_by_one: bool = False) -> tuple[DataFrame, int]:
@@ -86,44 +101,33 @@ def pruned(examples: DataFrame, dim: int, k: int, *, least: float, rounds: int =
     """
     soft, _ = em(examples, dim, k, rounds=rounds)
     while True:
-        means, weights = m_step(soft, dim, k)
-        mass = weights * examples.count()
+        model = mixtures.m_step(_alone(soft, k), dim, k)
+        row = model.select("mass").first()
+        if row is None or k == 1:
+            return soft, k
+        mass = np.array(row["mass"])
         stay = mass >= least
         if one_by_one and not stay.all():
             stay = np.arange(k) != mass.argmin()
         if not stay.any():
             stay = np.arange(k) == mass.argmax()
-        if stay.all() or k == 1:
+        if stay.all():
             return soft, k
-        means, weights, k = means[stay], weights[stay] / weights[stay].sum(), int(stay.sum())
-        soft = e_step(examples, means, weights)
+        model, k = kept_components(model, np.flatnonzero(stay)), int(stay.sum())
+        soft = mixtures.e_step(_alone(examples, k), model, dim, k)
         for _ in range(rounds):
-            soft = e_step(examples, *m_step(soft, dim, k))
+            soft = mixtures.e_step(_alone(examples, k), mixtures.m_step(soft, dim, k), dim, k)
+        soft = soft.drop("node", "k")
 
 
 def em_by_class(examples: DataFrame, dim: int, classes: Sequence[int], k: int, *, rounds: int = 2, weight: str | None = None) -> DataFrame:
     """examples (ex, cls, idx) with responsibilities inside their class: k components a class, all classes in one pass.
 
-    An example has k responsibilities spread over the rows of its class; ``weight`` names a column that scales its
-    part in the means. Every round is one aggregation over all classes. Nested mixtures come from repeated use, with
-    the class and the component as the next level's class.
+    ``weight`` names a column that scales an example's part in masses and means. Examples of other classes are left out.
     """
-    n = len(classes)
-    place = F.array_position(F.array(*[F.lit(int(c)) for c in classes]), F.col("cls")).cast("int") - 1
-    rows = F.sequence(F.lit(0), F.lit(n * k - 1))
-    mine = lambda r: F.floor(r / k) == F.col("__place")
-    base = examples.withColumn("__place", place)
-    soft = base.withColumn("a", F.transform(rows, lambda r: (mine(r) & (r % k == F.pmod(F.col("ex"), F.lit(k)))).cast("double")))
-    scale = F.col(weight) if weight else F.lit(1.0)
-    for _ in range(rounds):
-        means, weights = m_step(soft.withColumn("a", F.transform("a", lambda x: x * scale)), dim, n * k)
-        weights = (weights.reshape(n, k) / np.maximum(weights.reshape(n, k).sum(1, keepdims=True), 1e-300)).ravel()
-        const = np.log(np.maximum(weights, 1e-300)) + np.log(1 - means).sum(1)
-        z = F.zip_with(_dot(np.log(means) - np.log(1 - means)), F.array(*[F.lit(float(c)) for c in const]), lambda a, b: a + b)
-        soft = base.withColumn("z", F.transform(z, lambda x, r: F.when(mine(r), x))).withColumn("m", F.array_max("z"))
-        total = F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.exp(x - F.col("m")), F.lit(0.0)))
-        soft = soft.withColumn("ll", F.col("m") + F.ln(total)).withColumn("a", F.transform("z", lambda x: F.coalesce(F.exp(x - F.col("ll")), F.lit(0.0)))).drop("z", "m")
-    return soft.drop("__place")
+    of = examples.where(F.col("cls").isin([int(c) for c in classes])).withColumns({"node": F.col("cls").cast("long"), "k": F.lit(k)})
+    soft, _ = mixtures.fit(of, dim, k, nodes=len(classes), rounds=rounds, weight=weight)
+    return soft.drop("node", "k")
 
 
 def cluster_means(soft: DataFrame, other: DataFrame, values: str) -> DataFrame:
@@ -138,9 +142,8 @@ def pegasos(examples: DataFrame, dim: int, *, steps: int = 3, rate: float = 2.0)
     n, w = examples.count(), np.zeros(dim)
     for t in range(steps):
         eta = 1 / (rate * (t + 1))
-        score = F.get(_dot(w[None, :]), 0) * F.col("y")
         grad = np.zeros(dim)
-        for r in examples.where(score < 1).select(F.explode("idx").alias("d"), "y").groupBy("d").agg(F.sum("y").alias("g")).collect():
+        for r in margins(examples, w[None, :]).where(F.get("z", F.lit(0)) * F.col("y") < 1).select(F.explode("idx").alias("d"), "y").groupBy("d").agg(F.sum("y").alias("g")).collect():
             grad[r["d"]] = r["g"]
         w = (1 - eta * rate) * w + eta / n * grad
     return w

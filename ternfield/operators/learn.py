@@ -1,6 +1,6 @@
 """Linear learners by mini-batch sub-gradient steps: several weight rows a class, several losses, averaging.
 
-A step is one pass over the examples: every example meets all weight rows (a few, broadcast as literals), and the
+A step is one pass over the examples: every example meets all weight rows (a written table of one row), and the
 change of the weights is one aggregation with map-side sums. Weights (rows x features) are all that the driver holds.
 """
 
@@ -9,26 +9,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def literal(rows: np.ndarray) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
+from ternfield.operators import mixtures
+from ternfield.sources.scratch import array_row
 
 
 def margins(examples: DataFrame, weights: np.ndarray, *, base: int | None = None, bias: str | None = None) -> DataFrame:
     """examples with ``z``, the score under every weight row.
 
     Features are ``idx`` (ids that are on) or, with a ``base``, ``cells`` of (idx, val) that count val / base.
-    ``bias`` names an array column added to the scores.
+    ``bias`` names an array column added to the scores. The weights are a written table of one row, broadcast up to
+    ``mixtures.BROADCAST_BYTES``; beyond that every task reads the row itself.
     """
-    if base:
-        z = F.transform(literal(weights), lambda w: F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.get(w, c["idx"]) * c["val"]) / base)
-    else:
-        z = F.transform(literal(weights), lambda w: F.aggregate("idx", F.lit(0.0), lambda acc, i: acc + F.get(w, i)))
-    z = F.zip_with(z, bias, lambda a, b: a + b) if bias else z
-    return examples.withColumn("z", F.transform(z, lambda x: F.round(x, 12)))
+    row = array_row(examples.sparkSession, "weights", __w=weights, __b=np.zeros(len(weights)))
+    row = F.broadcast(row) if weights.nbytes <= mixtures.BROADCAST_BYTES else row
+    met = examples.crossJoin(row).withColumn("z", mixtures.scores("__w", "__b", base=base)).drop("__w", "__b")
+    z = F.zip_with("z", bias, lambda a, b: a + b) if bias else F.col("z")
+    return met.withColumn("z", F.transform(z, lambda x: F.round(x, 12)))
 
 
 def pulls(scored: DataFrame, classes: Sequence[int], *, loss: str = "hinge", k: float = 1.0, gamma: float = 1.0, beta: float = 1.0) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import soft_bits
-from ternfield.operators import classify, iterate, learn
-from ternfield.plans.catalog import BASE, BITS, DIM, ORACLE, SCALE, examples, query
+from ternfield.operators import classify, iterate, learn, mixtures
+from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, examples, query
 from ternfield.sources.tables import table
 
 CLASSES = list(range(10))
@@ -134,16 +136,6 @@ def cluster_means(spark, sf):
     return iterate.cluster_means(soft, raw, "embedding").select("comp", "d", (F.round("mean", 6) + 0.0).alias("mean"))
 
 
-@query(None)
-def em_restarts(spark, sf):
-    """Log likelihood of the best of three starts of mixtures of 2, 3 and 4 components."""
-    out = []
-    for k in (2, 3, 4):
-        _, seed, total = iterate.restarts(examples(spark, sf), DIM, k, seeds=[1, 2, 3], rounds=4)
-        out.append((k, seed, round(total, 4)))
-    return spark.createDataFrame(out, "k int, seed int, loglik double")
-
-
 @query(None)
 def em_pruned(spark, sf):
     """Masses of the components that stay when those below 16 % of the examples go."""
@@ -163,7 +155,23 @@ def em_fixed_point(spark, sf):
     return soft.select("ex", F.posexplode("a").alias("comp", "a")).select("ex", "comp", F.round("a", 6).alias("a"))
 
 
-@query(None)
+def _node_em(rounds: int, members: str, start: str = "mem.ex % mem.k") -> list[str]:
+    """EM in every node of ``members`` (ex, node, k, u), as steps of SQL; a0, a1, … hold responsibilities, l0, l1, … likelihoods."""
+    parts = [f"mem AS MATERIALIZED ({members})", "g AS MATERIALIZED (SELECT node, unnest(range(k))::INT AS comp FROM (SELECT DISTINCT node, k FROM mem))", "gd AS (SELECT node, comp, unnest(range(64))::INT AS d FROM g)", f"a0 AS MATERIALIZED (SELECT mem.ex, mem.node, mem.u, g.comp, ({start} = g.comp)::INT::DOUBLE AS a FROM mem JOIN g USING (node))"]
+    for r in range(rounds):
+        parts += [
+            f"t{r} AS MATERIALIZED (SELECT node, comp, sum(a * u) AS t FROM a{r} GROUP BY 1, 2)",
+            f"s{r} AS MATERIALIZED (SELECT a.node, a.comp, o.d, sum(a.a * a.u) AS s FROM a{r} a JOIN ones o USING (ex) GROUP BY 1, 2, 3)",
+            f"p{r} AS MATERIALIZED (SELECT node, comp, d, greatest(least(coalesce(s, 0) / greatest(t, 1e-300), 99e-2), 1e-2) AS p FROM gd JOIN t{r} USING (node, comp) LEFT JOIN s{r} USING (node, comp, d))",
+            f"b{r} AS MATERIALIZED (SELECT node, comp, c + ln(greatest(t / sum(t) OVER (PARTITION BY node), 1e-300)) AS b FROM (SELECT node, comp, sum(ln(1 - p)) AS c FROM p{r} GROUP BY 1, 2) JOIN t{r} USING (node, comp))",
+            f"z{r} AS MATERIALIZED (SELECT mem.ex, mem.node, mem.u, b.comp, b.b + coalesce(q.s, 0) AS z FROM mem JOIN b{r} b USING (node) LEFT JOIN (SELECT mem.ex, p.node, p.comp, sum(ln(p.p) - ln(1 - p.p)) AS s FROM mem JOIN ones o USING (ex) JOIN p{r} p ON p.node = mem.node AND p.d = o.d GROUP BY 1, 2, 3) q ON q.ex = mem.ex AND q.node = mem.node AND q.comp = b.comp)",
+            f"l{r} AS MATERIALIZED (SELECT ex, node, x + ln(sum(exp(z - x))) AS l FROM (SELECT *, max(z) OVER (PARTITION BY ex, node) AS x FROM z{r}) GROUP BY ex, node, x)",
+            f"a{r + 1} AS MATERIALIZED (SELECT z.ex, z.node, z.u, z.comp, exp(z.z - l.l) AS a FROM z{r} z JOIN l{r} l USING (ex, node))",
+        ]
+    return parts
+
+
+@query(f"WITH {ASSIGN}, uu AS (SELECT ex, coalesce(sum(a) FILTER (WHERE cls = truth), 0) AS u FROM asg GROUP BY 1), " + ",\n".join(_node_em(2, "SELECT vec_id AS ex, label AS node, 2 AS k, uu.u FROM embeddings JOIN uu ON uu.ex = vec_id")) + " SELECT node AS cls, round(sum(l), 3) AS loglik FROM l1 GROUP BY 1")
 def em_by_class(spark, sf):
     """Log likelihood of two components inside each class, weighted by the true class's share of the posterior."""
     scored = classify.scores(examples(spark, sf), classify.templates(examples(spark, sf), DIM))
@@ -171,3 +179,69 @@ def em_by_class(spark, sf):
     u = classify.soft_assignment(scored).groupBy("ex").agg(own.alias("u"))
     soft = iterate.em_by_class(examples(spark, sf).join(u, "ex"), DIM, CLASSES, 2, rounds=2, weight="u")
     return soft.groupBy("cls").agg(F.round(F.sum("ll"), 3).alias("loglik"))
+
+
+_SWEEP = "SELECT e.vec_id AS ex, k.k * 100 + s.seed AS node, k.k, s.seed, 1e0 AS u FROM embeddings e CROSS JOIN (SELECT unnest([2, 3, 4]) AS k) k CROSS JOIN (SELECT unnest([1, 2, 3]) AS seed) s"
+
+
+@query(f"WITH {BITS}, " + ",\n".join(_node_em(4, _SWEEP, "(mem.ex % 65521 * 40503 + mem.seed * 30341) % 65521 % mem.k")) + " SELECT (node // 100)::INT AS k, (node % 100)::INT AS seed, round(sum(l), 4) AS loglik FROM l3 GROUP BY node")
+def em_sweep(spark, sf):
+    """Log likelihoods of mixtures of 2, 3 and 4 components from three starts each, all fitted in the same passes."""
+    swept, _ = iterate.sweep(examples(spark, sf), DIM, [2, 3, 4], seeds=[1, 2, 3], rounds=4)
+    return swept.select("k", "seed", F.round("loglik", 4).alias("loglik"))
+
+
+@query("SELECT k, min(seed) AS seed, max(loglik) AS loglik FROM (SELECT *, max(loglik) OVER (PARTITION BY k) AS top FROM (" + ORACLE["em_sweep"] + ")) WHERE loglik = top GROUP BY 1")
+def em_restarts(spark, sf):
+    """Log likelihood and seed of the best of three starts of mixtures of 2, 3 and 4 components."""
+    swept = em_sweep(spark, sf)
+    return swept.groupBy("k").agg(F.max(F.struct("loglik", (-F.col("seed")).alias("s"))).alias("best")).select("k", (-F.col("best.s")).alias("seed"), "best.loglik")
+
+
+#: Mass that a component of the inner mixtures asks for, and the most components of one.
+LEAST, MOST = 5, 3
+_OUTER = ORACLE["em_2iter"].replace(" SELECT ex, comp::INT AS comp, round(a, 6) AS a FROM a2", "").replace("WITH ", "", 1)
+for _n in ("a0", "a1", "a2", "t0", "t1", "p0", "p1", "k0", "k1", "z0", "z1", "x0", "x1", "s0", "s1"):
+    _OUTER = re.sub(rf"\b{_n}\b", f"outer_{_n}", _OUTER)
+TREE = f"WITH {_OUTER}, tree AS MATERIALIZED (SELECT cls, cluster, mass, least(mass // {LEAST}, {MOST})::INT AS k FROM (SELECT e.label AS cls, a.comp::INT AS cluster, floor(round(sum(a.a), 6))::BIGINT AS mass FROM outer_a2 a JOIN embeddings e ON e.vec_id = a.ex GROUP BY 1, 2))"
+_INNER = "SELECT a.ex, tree.cls::BIGINT * 3 + tree.cluster AS node, tree.k, 1e0 AS u FROM outer_a2 a JOIN embeddings e ON e.vec_id = a.ex JOIN tree ON tree.cls = e.label AND tree.cluster = a.comp WHERE a.a > 9e-1 AND tree.k > 0"
+
+
+def _nested(spark, sf):
+    return mixtures.nested(examples(spark, sf), DIM, 3, least=LEAST, most=MOST, rounds=2)
+
+
+@query(f"{TREE} SELECT cls, cluster, mass, CASE WHEN k > 0 THEN cls::BIGINT * 3 + cluster END AS node, k FROM tree")
+def cluster_tree(spark, sf):
+    """Clusters over all classes, the classes' mass in each, and how many components the pair gets of its own."""
+    return _nested(spark, sf)[0].select("cls", "cluster", "mass", "node", "k")
+
+
+@query(TREE + ",\n" + ",\n".join(_node_em(2, _INNER)) + " SELECT ex, (node // 3)::BIGINT AS cls, (node % 3)::INT AS cluster, comp, round(a, 6) AS a FROM a2")
+def nested_clusters(spark, sf):
+    """Responsibilities of the components inside each (class, cluster), all fitted together."""
+    leaves = _nested(spark, sf)[1]
+    return leaves.select("ex", F.col("cls").cast("long").alias("cls"), "cluster", F.posexplode("a").alias("comp", "a")).select("ex", "cls", "cluster", "comp", F.round("a", 6).alias("a"))
+
+
+def _joint_sql(rounds: int) -> str:
+    members = "SELECT vec_id AS ex, label AS node, 2 AS k, 1e0 AS u FROM embeddings"
+    parts = [BITS, *_node_em(0, members), "w0 AS MATERIALIZED (SELECT ex, node, comp, a AS a, 1e0 AS u FROM a0)"]
+    for r in range(rounds):
+        parts += [
+            f"t{r} AS MATERIALIZED (SELECT node, comp, sum(a * u) AS t FROM w{r} GROUP BY 1, 2)",
+            f"s{r} AS MATERIALIZED (SELECT a.node, a.comp, o.d, sum(a.a * a.u) AS s FROM w{r} a JOIN ones o USING (ex) GROUP BY 1, 2, 3)",
+            f"p{r} AS MATERIALIZED (SELECT node, comp, d, greatest(least(coalesce(s, 0) / greatest(t, 1e-300), 99e-2), 1e-2) AS p FROM gd JOIN t{r} USING (node, comp) LEFT JOIN s{r} USING (node, comp, d))",
+            f"b{r} AS MATERIALIZED (SELECT node, comp, c + ln(greatest(t / sum(t) OVER (PARTITION BY node), 1e-300)) AS b FROM (SELECT node, comp, sum(ln(1 - p)) AS c FROM p{r} GROUP BY 1, 2) JOIN t{r} USING (node, comp))",
+            f"z{r} AS MATERIALIZED (SELECT mem.ex, mem.node AS own, b.node, b.comp, b.b + coalesce(q.s, 0) AS z FROM mem CROSS JOIN b{r} b LEFT JOIN (SELECT o.ex, p.node, p.comp, sum(ln(p.p) - ln(1 - p.p)) AS s FROM ones o JOIN p{r} p USING (d) GROUP BY 1, 2, 3) q ON q.ex = mem.ex AND q.node = b.node AND q.comp = b.comp)",
+            f"u{r} AS MATERIALIZED (SELECT ex, coalesce(sum(exp(y)) FILTER (WHERE node = own), 0) / sum(exp(y)) AS u FROM (SELECT *, z - max(z) OVER (PARTITION BY ex) AS y FROM z{r}) WHERE y > -138e-1 GROUP BY 1)",
+            f"w{r + 1} AS MATERIALIZED (SELECT ex, node, comp, exp(z - x) / sum(exp(z - x)) OVER (PARTITION BY ex) AS a, u FROM (SELECT *, max(z) OVER (PARTITION BY ex) AS x FROM z{r} WHERE own = node) JOIN u{r} USING (ex))",
+        ]
+    return "WITH " + ",\n".join(parts) + f" SELECT ex, round(u, 6) AS u FROM u{rounds - 1}"
+
+
+@query(_joint_sql(3))
+def em_joint(spark, sf):
+    """Weights by the posterior of the own class, taken anew in each of three rounds over the mixtures of all classes."""
+    weighed, _, _ = mixtures.joint(examples(spark, sf), DIM, 2, len(CLASSES), rounds=3)
+    return weighed.select("ex", F.round("u", 6).alias("u"))
