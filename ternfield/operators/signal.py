@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import mirrored
+from ternfield.operators.greedy import heads  # noqa: F401
 from ternfield.operators.positions import running
 
 
@@ -67,42 +67,32 @@ def nearest_frame(points: DataFrame, *, hop: int) -> DataFrame:
     return points.withColumn("t", F.greatest(F.lit(0), F.ceil((F.col("s") + F.col("e")) / 2 / hop - 0.5)).cast("long"))
 
 
-def heads(intervals: DataFrame) -> DataFrame:
-    """(sig, start, end): by end, each interval that starts at or after the end of the last one taken.
-
-    Signals are cut where no interval spans, as what is taken before such a gap says nothing about what follows it;
-    only the intervals of one piece come together.
-    """
-    rows = intervals.where("start is not null and end is not null").select("sig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    w = Window.partitionBy("sig").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    pieces = rows.withColumn("new", F.coalesce((F.col("start") >= reach).cast("long"), F.lit(1))).withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def take(piece: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((piece["start"], piece["end"]))
-        kept, last = [], None
-        for i, (start, end) in enumerate(zip(piece["start"].to_numpy()[order].tolist(), piece["end"].to_numpy()[order].tolist(), strict=True)):
-            if last is None or start >= last:
-                kept.append(order[i])
-                last = end
-        return piece.iloc[kept][["sig", "start", "end"]]
-
-    kind = intervals.schema["sig"].dataType.simpleString()
-    return pieces.drop("new").groupBy("sig", "piece").applyInPandas(take, f"sig {kind}, start bigint, end bigint")
-
-
 def assign(intervals: DataFrame, taken: DataFrame) -> DataFrame:
     """intervals with the head (start) that they overlap most, ties to the earlier one; those without overlap are left out.
 
-    Both are dealt into bins of twice the mean length, so an interval meets only the heads near it.
+    Both are dealt into bins as wide as the least power of two that is no less than their own length, so each lies in
+    at most two. An interval looks for heads of its own or a lesser width in the bins of its width, and for wider ones
+    in theirs, of which there are as many as heads have widths; so one very long interval costs no more than another.
     """
-    width = intervals.agg(F.greatest(F.lit(1.0), 2 * F.avg(F.col("end") - F.col("start"))).alias("width"))
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("width")), F.floor(F.col(b) / F.col("width")))).alias("bin")
-    own = intervals.where("start <= end").crossJoin(F.broadcast(width)).select("sig", "start", "end", "score", bins("start", "end"))
-    h = taken.select("sig", F.col("start").alias("hs"), F.col("end").alias("he")).where("hs <= he").crossJoin(F.broadcast(width)).select("sig", "hs", "he", bins("hs", "he"))
-    over = F.least("end", "he") - F.greatest("start", "hs")
-    hit = own.join(h, ["sig", "bin"]).withColumn("o", over).where("o > 0")
-    return hit.groupBy("sig", "start", "end", "score").agg(F.min(F.struct((-F.col("o")).alias("o"), "hs"))["hs"].alias("head"))
+    def placed(df: DataFrame, *keep: str) -> DataFrame:
+        wide = F.greatest(F.col("b") - F.col("a"), F.lit(1))
+        level = F.ceil(F.log2(wide.cast("double"))).cast("int")
+        return df.where("a <= b").select("sig", "a", "b", *keep, level.alias("level"))
+
+    def bins(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        return F.sequence(F.floor(F.col("a") / size), F.floor(F.col("b") / size))
+
+    own = placed(intervals.select("sig", F.col("start").alias("a"), F.col("end").alias("b"), "score"), "score")
+    h = placed(taken.select("sig", F.col("start").alias("a"), F.col("end").alias("b")))
+    levels = F.broadcast(h.select(F.col("level").alias("at")).distinct().union(own.select("level").distinct()).distinct())  # 64 at most
+    spread = lambda df, *keep: df.join(levels, F.col("at") >= F.col("level")).select("sig", "a", "b", *keep, "level", "at", F.explode(F.array_distinct(bins(F.col("at")))).alias("bin"))
+    hs = spread(h).select("sig", F.col("a").alias("hs"), F.col("b").alias("he"), F.col("level").alias("h_level"), "at", "bin")
+    # a pair meets at the greater of its two levels
+    hit = spread(own, "score").join(hs, ["sig", "at", "bin"]).where("at = greatest(level, h_level)")
+    hit = hit.withColumn("o", F.least("b", "he") - F.greatest("a", "hs")).where("o > 0")
+    best = hit.groupBy("sig", F.col("a").alias("start"), F.col("b").alias("end"), "score").agg(F.min(F.struct((-F.col("o")).alias("o"), "hs"))["hs"].alias("head"))
+    return best
 
 
 def representatives(assigned: DataFrame) -> DataFrame:
