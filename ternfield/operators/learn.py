@@ -145,17 +145,3 @@ def kernel_features(rows: DataFrame, landmarks: DataFrame, *, width: float = 1.0
     marks = landmarks.agg(F.array_sort(F.collect_list(F.struct("mark", "v"))).alias("marks"))
     gap = lambda m: F.sqrt(F.aggregate(F.zip_with("v", m["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
     return rows.join(F.broadcast(marks)).select("ex", F.transform("marks", lambda m: F.exp(-gap(m) / width)).alias("k"))
-
-
-def linear_grid(rows: DataFrame, penalties: Sequence[float], *, steps: int = 20) -> DataFrame:
-    """(penalty, accuracy on held rows) of two-class linear fits of (y 0/1, v array, held boolean), a fit a penalty."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.select(F.col("y").cast("double").alias("label"), array_to_vector("v").alias("features"), "held")
-    fit_on = data.where(~F.col("held"))
-    n, out = fit_on.count(), []
-    for c in penalties:
-        guessed = LinearSVC(regParam=1 / (c * max(n, 1)), maxIter=steps).fit(fit_on).transform(data.where("held"))
-        out.append((float(c), guessed.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]))
-    return rows.sparkSession.createDataFrame(out, "penalty double, accuracy double")

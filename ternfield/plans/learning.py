@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import soft_bits
-from ternfield.operators import classify, iterate, learn, mixtures
+from ternfield.operators import classify, grid, iterate, kernel, learn, mixtures
 from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, examples, query
 from ternfield.sources.tables import table
 
@@ -98,22 +98,84 @@ def kernel_features(spark, sf):
     return out.select("ex", F.posexplode("k").alias("mark", "k")).select("ex", F.col("mark").cast("long").alias("mark"), F.round("k", 6).alias("k"))
 
 
-def _halves(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return v.select(F.col("vec_id").alias("ex"), (F.col("label") < 5).cast("int").alias("y"), "v", (F.col("vec_id") % 5 == 4).alias("held"))
+PENALTIES = [1.0, 0.1, 0.01]
 
 
-@query(None)
+def _grid_sql(rows: str, classes: list[int], passes: int) -> str:
+    """Unrolled passes over ``rows`` (ex, cls, dev) for all classes and penalties."""
+    guess = "cls = first_cls" if len(classes) > 1 else f"(z > 0) = (cls = {classes[0]})"
+    parts = [BITS, f"r AS MATERIALIZED ({rows})", "n AS (SELECT count(*) AS n FROM r WHERE NOT dev)", f"c AS (SELECT unnest({classes})::INT AS c)", f"pn AS (SELECT unnest({PENALTIES})::DOUBLE AS pen)", "w0 AS (SELECT pen, c, unnest(range(64))::INT AS d, 0e0 AS w FROM pn, c)"]
+    for t in range(passes + 1):
+        parts += [
+            f"z{t} AS MATERIALIZED (SELECT r.ex, r.cls, r.dev, pn.pen, c.c, CASE WHEN r.cls = c.c THEN 1 ELSE -1 END AS y, round(coalesce(s.s, 0), 12) AS z FROM r CROSS JOIN pn CROSS JOIN c LEFT JOIN (SELECT o.ex, w.pen, w.c, sum(w.w) AS s FROM ones o JOIN w{t} w USING (d) GROUP BY 1, 2, 3) s ON s.ex = r.ex AND s.pen = pn.pen AND s.c = c.c)",
+            f"q{t} AS (SELECT {t} AS pass, pen, avg(({guess})::INT) AS accuracy FROM (SELECT *, first_value(c) OVER (PARTITION BY ex, pen ORDER BY z DESC, c) AS first_cls FROM z{t} WHERE dev) WHERE c = {classes[0]} GROUP BY 2)",
+            f"g{t} AS MATERIALIZED (SELECT z.pen, z.c, o.d, sum(z.y) AS g FROM z{t} z JOIN ones o USING (ex) WHERE NOT z.dev AND z.y * z.z < 1 GROUP BY 1, 2, 3)",
+            f"w{t + 1} AS MATERIALIZED (SELECT w.pen, w.c, w.d, (1 - 1e0 / {t + 1}) * w.w + w.pen * n.n / {t + 1} / n.n * coalesce(g.g, 0) AS w FROM n CROSS JOIN w{t} w LEFT JOIN g{t} g ON g.pen = w.pen AND g.c = w.c AND g.d = w.d)",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM q{t}" for t in range(1, passes + 1))
+    return "WITH " + ",\n".join(parts) + f" SELECT pass::INT AS pass, pen AS penalty, round(accuracy, 9) AS accuracy FROM ({every})"
+
+
+def _rounded(df):
+    return df.withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(_grid_sql("SELECT vec_id AS ex, CASE WHEN label < 5 THEN 1 ELSE 0 END AS cls, vec_id % 5 = 4 AS dev FROM embeddings", [1], 3))
 def linear_svm_grid(spark, sf):
-    return learn.linear_grid(_halves(spark, sf), [0.1, 0.01, 0.001, 0.0001])
+    """Two classes: accuracy on held rows by pass and penalty."""
+    rows = examples(spark, sf).select((F.col("cls") < 5).cast("int").alias("cls"), "idx", (F.col("ex") % 5 == 4).alias("dev"))
+    return _rounded(grid.linear_grid(rows, DIM, [1], PENALTIES, passes=3)[0])
 
 
-@query(None)
+@query(_grid_sql("SELECT vec_id AS ex, label AS cls, vec_id % 5 = 4 AS dev FROM embeddings", CLASSES, 3))
+def one_vs_rest_grid(spark, sf):
+    """Ten classes, each against the rest: accuracy on held rows by pass and penalty, thirty models a pass."""
+    rows = examples(spark, sf).select("cls", "idx", (F.col("ex") % 5 == 4).alias("dev"))
+    return _rounded(grid.linear_grid(rows, DIM, CLASSES, PENALTIES, passes=3)[0])
+
+
+#: Kernel machines: (gamma, C), steps and rows a step.
+MACHINES, STEPS, BATCH = [(1.0, 1.0), (1.0, 0.1), (0.1, 1.0), (0.1, 0.1)], 3, 32
+
+
+def _machine_sql() -> str:
+    """Decision values of all rows after the unrolled steps; training rows are those of remainders 0 to 2."""
+    far = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    models = ", ".join(f"({g}, {c})" for g, c in MACHINES)
+    parts = [
+        "x AS MATERIALIZED (SELECT vec_id AS ex, CASE WHEN label < 5 THEN 1 ELSE -1 END AS y, embedding::DOUBLE[] AS v, vec_id % 5 AS part FROM embeddings)",
+        "n AS (SELECT count(*) AS n FROM x WHERE part < 3)",
+        f"mo AS (SELECT g::DOUBLE AS gamma, c::DOUBLE AS pen FROM (VALUES {models}) t(g, c))",
+        f"tk AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY ex % 65521 * 40503 % 65521, ex) - 1) // {BATCH} AS step FROM x WHERE part < 3 QUALIFY row_number() OVER (ORDER BY ex % 65521 * 40503 % 65521, ex) <= {STEPS * BATCH})",
+        f"far AS MATERIALIZED (SELECT a.ex, b.ex AS sup, b.y AS sy, b.step, {far} AS far FROM x a CROSS JOIN tk b)",
+        "u0 AS (SELECT ex, gamma, pen FROM tk, mo WHERE step = 0)",
+    ]
+    value = lambda t: f"SELECT f.ex, u.gamma, u.pen, sum(f.sy * exp(-u.gamma * f.far)) * u.pen * min(n.n) / ({t} * {BATCH}) AS f FROM far f JOIN u{t - 1} u ON u.ex = f.sup CROSS JOIN n"
+    for t in range(1, STEPS):
+        parts.append(f"u{t} AS MATERIALIZED (SELECT * FROM u{t - 1} UNION ALL SELECT tk.ex, mo.gamma, mo.pen FROM tk CROSS JOIN mo LEFT JOIN ({value(t)} GROUP BY f.ex, u.gamma, u.pen) q ON q.ex = tk.ex AND q.gamma = mo.gamma AND q.pen = mo.pen WHERE tk.step = {t} AND tk.y * coalesce(q.f, 0) < 1)")
+    parts.append(f"fin AS MATERIALIZED ({value(STEPS)} GROUP BY f.ex, u.gamma, u.pen)")
+    return "WITH " + ",\n".join(parts)
+
+
+def _machine_rows(spark, sf, keep):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ex"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.where(keep(F.col("ex") % 5))
+
+
+@query(_machine_sql() + " SELECT ex, gamma, pen AS penalty, round(f, 6) AS f FROM fin")
+def kernel_machine(spark, sf):
+    """Decision values of every row under four radial kernel machines, fitted on rows of remainders 0 to 2."""
+    machines = kernel.fit(_machine_rows(spark, sf, lambda r: r < 3), MACHINES, steps=STEPS, batch=BATCH)
+    named = F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(c).alias("penalty")) for g, c in MACHINES])
+    out = kernel.decide(_machine_rows(spark, sf, lambda r: F.lit(True)), machines).select("ex", F.posexplode("f").alias("j", "f"))
+    return out.withColumn("m", F.get(named, F.col("j"))).select("ex", "m.gamma", "m.penalty", F.round("f", 6).alias("f"))
+
+
+@query(_machine_sql() + " SELECT gamma, pen AS penalty, round(avg(((f > 0) = (y > 0))::INT), 9) AS accuracy FROM fin JOIN x USING (ex) WHERE part = 3 GROUP BY 1, 2")
 def kernel_svm_grid(spark, sf):
-    """The same fits on kernel features to 64 landmarks."""
-    rows = _halves(spark, sf)
-    k = learn.kernel_features(rows, rows.where("ex < 64").withColumnRenamed("ex", "mark")).withColumnRenamed("k", "v")
-    return learn.linear_grid(rows.drop("v").join(k, "ex"), [100.0, 1.0])
+    """Accuracy of the same machines on the rows of remainder 3."""
+    machines = kernel.fit(_machine_rows(spark, sf, lambda r: r < 3), MACHINES, steps=STEPS, batch=BATCH)
+    return _rounded(kernel.accuracy(_machine_rows(spark, sf, lambda r: r == 3), machines))
 
 
 WM = BITS + """, a AS (SELECT vec_id AS ex, vec_id % 3 AS comp, 1e0 / (1 + vec_id % 4) AS a FROM embeddings), t AS (SELECT comp, sum(a) AS t FROM a GROUP BY 1)"""
