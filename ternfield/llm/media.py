@@ -142,8 +142,12 @@ def tracks(data: bytes) -> list[Track]:
         out = {}
         for boxes in found:
             out[_track_id(data, boxes, len(out))] = _track(data, boxes)
+        runs: dict[int, list[Run]] = {}
+        room = len(data) - sum(len(t.sizes) for t in out.values())  # no more samples than bytes in all
         for moof, boxes in fragments:
-            _add_fragment(data, moof, boxes, out, defaults)
+            room = _add_fragment(data, moof, boxes, out, defaults, runs, room)
+        for track, of in runs.items():
+            _join(out[track], of)
         return list(out.values())
     except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"broken sample tables: {e!r}") from e
@@ -192,8 +196,20 @@ def _inside(data: bytes, offsets: np.ndarray, sizes: np.ndarray) -> None:
         raise ValueError("a sample lies outside the file")
 
 
-def _add_fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], out: dict[int, Track], defaults: dict[int, list[int]]) -> None:
-    """Adds the samples of a track fragment. Fixed values of the format: which flag says that which field is there."""
+#: Offsets, sizes and marks of keyframes of one run of samples.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _join(track: Track, runs: list[Run]) -> None:
+    """Adds the runs of all fragments to a track."""
+    keys = np.concatenate([r[2] for r in runs])
+    track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(keys)])
+    track.offsets = np.concatenate([track.offsets, *(r[0] for r in runs)])
+    track.sizes = np.concatenate([track.sizes, *(r[1] for r in runs)])
+
+
+def _add_fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], out: dict[int, Track], defaults: dict[int, list[int]], runs: dict[int, list[Run]], room: int) -> int:
+    """Puts the samples of a track fragment into ``runs``; how many more samples the file may have. Fixed values of the format: which flag says that which field is there."""
     at = next(a for kind, a, _ in boxes if kind == b"tfhd") if any(kind == b"tfhd" for kind, _, _ in boxes) else None
     if at is None:
         raise ValueError("a fragment has no header")
@@ -221,7 +237,8 @@ def _add_fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], o
         if flags & 0x4:
             (first,), at = struct.unpack_from(">I", data, at), at + 4
         there = [bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800)]
-        if not any(there) and size * n > len(data) or n > len(data):
+        room -= n
+        if not any(there) and size * n > len(data) or room < 0:
             raise ValueError("the samples are larger than the file")
         cells = _ints(data, at, n * sum(there), end).reshape(n, sum(there)) if any(there) else np.zeros((n, 0), np.int64)
         field = lambda i, default: cells[:, sum(there[:i])] if there[i] else np.full(n, default, np.int64)  # noqa: B023, E731
@@ -230,10 +247,10 @@ def _add_fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], o
             marks[0] = first
         offsets = place + np.cumsum(sizes) - sizes
         _inside(data, offsets, sizes)
-        to.keys = np.concatenate([to.keys, len(to.sizes) + np.flatnonzero(marks & 0x10000 == 0)])
-        to.offsets, to.sizes = np.concatenate([to.offsets, offsets]), np.concatenate([to.sizes, sizes])
+        runs.setdefault(track, []).append((offsets, sizes, marks & 0x10000 == 0))
         to.duration += int(field(0, duration).sum())
         place += int(sizes.sum())
+    return room
 
 
 def samples(data: bytes, track: Track) -> bytes:
