@@ -30,8 +30,9 @@ from ternfield.llm.common import small_batches, written
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "local_phone", "name")
 #: Fixed patterns of the base kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])")
@@ -71,11 +72,25 @@ def _part(digits: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses: from each @ back to the last address or a character that no name has, in linear time."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL_PART:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            last = m.end()
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, by start and then kind; failing matches go without retries."""
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        out += [(s, e, "email") for s, e in emails(text)]
     out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(_part(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
