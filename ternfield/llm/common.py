@@ -70,6 +70,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def free_name(stem: str, columns: Sequence[str]) -> str:
+    """A column name like ``stem`` that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def words(text: Column) -> Column:
     """How many runs of characters other than blanks a text holds; 0 for a null one."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import posix_dir, small_batches, written
+from ternfield.llm.common import free_name, posix_dir, small_batches, written
 
 WORD = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;,\n]")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -291,12 +291,25 @@ def agreeing(hits: list[dict], need: float) -> int:
     return same + best
 
 
+def keyed(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(key, text): rows are told apart by id and text, so that rows of one id, or without one, are not taken for one document."""
+    return docs.select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th")).alias("key"), F.col(text_col).alias("text"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(doc, item, n_windows, n_hits, share): the pairs of a document and an item that it leaks.
 
-    Rows that share an id count as one document; rows whose id is null are one too. Null or empty texts on
-    either side give no pair; empty tables give none.
+    Of rows that share an id, or have none, each text leaks by itself; the row tells of the one that leaks most. Null
+    or empty texts on either side give no pair; empty tables give none.
     """
+    found = row_leaks(keyed(docs, id_col=id_col, text_col=text_col), benchmark, item_col=item_col, item_text_col=item_text_col, similarity=similarity)
+    best = found.groupBy("key.doc", "item").agg(F.max(F.struct("share", "n_hits", "n_windows")).alias("best"))
+    return best.select("doc", "item", "best.n_windows", "best.n_hits", "best.share")
+
+
+def row_leaks(docs: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(key, item, n_windows, n_hits, share) of docs (key, text)."""
+    id_col, text_col = "key", "text"
     small_batches(docs.sparkSession)
     plain = plain_words(docs, benchmark, text_col=text_col, item_text_col=item_text_col)
     items = written(windows_of_items(benchmark, plain, id_col=item_col, text_col=item_text_col), "benchmark-windows")
@@ -318,18 +331,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     kinds = [f"{c} {held.schema[c].dataType.simpleString()}" for c in ("doc", "item", "size")]
     share = F.col("n_hits") / F.col("size")
-    return held.mapInArrow(each, ", ".join([*kinds, "n_hits bigint"])).where(share >= similarity).select("doc", "item", F.col("size").alias("n_windows"), "n_hits", share.alias("share"))
+    return held.mapInArrow(each, ", ".join([*kinds, "n_hits bigint"])).where(share >= similarity).select(F.col("doc").alias("key"), "item", F.col("size").alias("n_windows"), "n_hits", share.alias("share"))
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without their text, with n_items, items (sorted ids) and top_share: what each document leaks; no row is lost."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("top_share"))
-    rest = docs.drop(text_col, "items", "top_share", "n_items")
-    out = rest.join(found, F.col(id_col).eqNullSafe(F.col("doc")), "left").drop("doc")
-    return out.withColumns({"n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast(found.schema["items"].dataType)), "top_share": F.coalesce("top_share", F.lit(0.0))})
+    """docs without their text, with n_items, items (sorted ids) and top_share: what each row leaks by its own text; no row is lost."""
+    key = free_name("__leak_key", docs.columns)
+    found = row_leaks(keyed(docs, id_col=id_col, text_col=text_col), benchmark, **options).groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("top_share"))
+    rest = [c for c in docs.columns if c not in (text_col, "items", "top_share", "n_items")]
+    d = docs.select(*rest, F.xxhash64(text_col).alias(th := free_name("__leak_hash", docs.columns)))
+    out = d.join(found, F.col(id_col).eqNullSafe(F.col(key)["doc"]) & (F.col(th) == F.col(key)["th"]), "left")
+    none = F.array().cast(found.schema["items"].dataType)
+    return out.select(*rest, F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.coalesce("top_share", F.lit(0.0)).alias("top_share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that leak no item, with their columns as they were."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc").distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("doc")), "left_anti")
+    key = free_name("__leak_key", docs.columns)
+    found = row_leaks(keyed(docs, id_col=id_col, text_col=text_col), benchmark, **options).select(F.col("key").alias(key)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(key)["doc"]) & (F.xxhash64(text_col) == F.col(key)["th"]), "left_anti")
