@@ -94,5 +94,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A null text in becomes an empty one; rows, ids and clashing column names are handled as in
     ``line_keep_bitmaps``.
     """
-    out = drop_lines(docs, line_keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), id_col=id_col, text_col=text_col)
-    return out.withColumn(text_col, F.array_join("__kept", "\n")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    mine = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"))
+    out = drop_lines(mine, line_keep_bitmaps(mine, id_col="doc", min_chars=min_chars), id_col="doc")
+    back = {id_col: F.col("doc"), text_col: F.array_join("__kept", "\n")} | {c: F.col("rest")[c] for c in rest}
+    return out.select(*[back[c].alias(c) for c in docs.columns])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import small_batches, written
+from ternfield.llm.common import free_name, small_batches, written
 
 WORD = re.compile(r"\w+")
 SHINGLE, BANDS, ROWS = 5, 20, 6
@@ -331,10 +331,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     row = F.struct(F.col("doc").isNull().alias("last"), "doc", "th")
     first = of.groupBy("root").agg(F.min(row).alias("row"))
     marked = of.groupBy("root", "doc", "th").agg(F.count("*").alias("times")).join(first, "root").select("doc", "th", "times", (row != F.col("row")).alias("gone"))
-    marked = written(marked.where("gone or times > 1").select(F.col("doc").alias("__near_id"), F.col("th").alias("__near_hash"), "gone"), "marked")
-    at = F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.xxhash64(text_col) == F.col("__near_hash"))
-    kept = docs.join(marked.drop("gone"), at, "left_anti")
-    again = marked.where("not gone").drop("gone")
+    by_id, by_hash = free_name("__near_id", docs.columns), free_name("__near_hash", docs.columns)
+    marked = written(marked.where("gone or times > 1").select(F.col("doc").alias(by_id), F.col("th").alias(by_hash), F.col("gone").alias("__near_gone")), "marked")
+    at = F.col(id_col).eqNullSafe(F.col(by_id)) & (F.xxhash64(text_col) == F.col(by_hash))
+    kept = docs.join(marked.drop("__near_gone"), at, "left_anti")
+    again = marked.where("not __near_gone").drop("__near_gone")
     if again.isEmpty():
         return kept
     return kept.unionAll(docs.join(again, at, "left_semi").dropDuplicates([id_col, text_col]))

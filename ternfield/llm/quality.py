@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ternfield.llm.common import small_batches
+from ternfield.llm.common import free_name, small_batches
 
 FEATURES = ("chars", "upper", "lower", "digit", "blank", "stops", "marks", "beyond", "word_length", "long_words", "distinct", "top_word", "capital_words", "marked_words", "line_length", "repeated_lines", "packing", "bars")
 
@@ -192,4 +192,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score ``threshold`` or more, with their columns as they were."""
-    return score(docs, model, text_col=text_col, score_col="__score").where(F.col("__score") >= threshold).drop("__score")
+    name = free_name("__score", docs.columns)
+    return score(docs, model, text_col=text_col, score_col=name).where(F.col(name) >= threshold).drop(name)
