@@ -137,6 +137,20 @@ def cluster_means(soft: DataFrame, other: DataFrame, values: str) -> DataFrame:
     return long.groupBy("comp", "d").agg((F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("mean"))
 
 
+def soft_transitions(soft: DataFrame, k: int) -> DataFrame:
+    """(prev, next, p) of responsibilities (seq, t, a) over k components: how often ``next`` follows ``prev``.
+
+    p is the sum of the products of neighbours' responsibilities over that of the earlier one's. Places are numbered by
+    1 within a sequence; a gap ends a run. Neighbours meet by (seq, t), so a long sequence is not gathered.
+    """
+    before = soft.select("seq", (F.col("t") + 1).alias("t"), F.col("a").alias("was"))
+    both = soft.select("seq", "t", "a").join(before, ["seq", "t"])
+    cells = F.array(*[F.struct(F.lit(j).alias("prev"), F.lit(i).alias("next"), F.sum(F.get("was", F.lit(j)) * F.get("a", F.lit(i))).alias("s")) for j in range(k) for i in range(k)])
+    whole = F.array(*[F.sum(F.get("was", F.lit(j))) for j in range(k)])
+    out = both.agg(cells.alias("cells"), whole.alias("whole")).select(F.inline("cells"), "whole")
+    return out.select("prev", "next", F.try_divide("s", F.get("whole", F.col("prev"))).alias("p"))
+
+
 def pegasos(examples: DataFrame, dim: int, *, steps: int = 3, rate: float = 2.0) -> np.ndarray:
     """Weights [dim] of a two-class hinge fit on (idx, y) with y = -1 or 1, each step over all examples."""
     n, w = examples.count(), np.zeros(dim)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ternfield.operators import mixtures
+from ternfield.sources.scratch import written
+
 
 def patches(cells: DataFrame, *, height: int, width: int, size: int) -> DataFrame:
     """(ex, t, f, d): for each anchor whose patch lies inside, the places of the patch that are on."""
@@ -49,6 +52,29 @@ def kept_parts(soft: DataFrame, *, least: float) -> DataFrame:
     return soft.select(F.posexplode("a").alias("comp", "a")).groupBy("comp").agg(F.sum("a").alias("mass")).where(F.col("mass") > least)
 
 
+def learn_parts(placed: DataFrame, values: DataFrame, dim: int, k: int, *, least: float, rounds: int = 2) -> DataFrame:
+    """(part, mass, template, mean_patch): the components of a mixture over patches with more mass than ``least``.
+
+    placed: (ex, idx), the places that are on in each patch; values: (ex, v), parallel data of it. template: how often a
+    place is on in the part; mean_patch: the parallel data's mean, weighted by the responsibilities of the fit.
+    """
+    one = placed.withColumns({"node": F.lit(0).cast("long"), "k": F.lit(k)})
+    soft, model = mixtures.fit(one, dim, k, rounds=rounds)
+    soft = written(soft.select("ex", "a"), "part-shares")
+    kept = kept_parts(soft, least=least)
+    long = soft.join(values.select("ex", F.posexplode("v").alias("d", "x")), "ex").select("d", F.col("x").cast("double").alias("x"), F.posexplode("a").alias("comp", "a"))
+    means = long.groupBy("comp", "d").agg((F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("m"))
+    means = means.groupBy("comp").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda c: c["m"]).alias("mean_patch"))
+    templates = model.select(F.posexplode("mean").alias("comp", "template"))
+    return kept.join(templates, "comp").join(means, "comp").select(F.col("comp").alias("part"), "mass", "template", "mean_patch")
+
+
+def part_places(codes: DataFrame) -> DataFrame:
+    """(ex, part, n, places): where each part is active in an example, in order, of codes (ex, t, f, part)."""
+    places = F.array_sort(F.collect_list(F.struct("t", "f")))
+    return codes.groupBy("ex", "part").agg(F.count("*").alias("n"), places.alias("places"))
+
+
 def spread(cells: DataFrame, *, radius: int, height: int, width: int, keep: Sequence[str] = ()) -> DataFrame:
     """Cells that are on within ``radius`` of one that is, inside the array; apart for each value of ``keep``."""
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
