@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,13 +167,43 @@ def phase_bits(phases: DataFrame, *, bins: int, kernel: np.ndarray, sigma: float
     return lines.unionByName(own)
 
 
-def log_smooth(spec: DataFrame, *, length: int = 7, halve: bool = False) -> DataFrame:
+def support(response: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(start, length) of where a filter matters: the places above ``threshold`` times its top, on the circle of frequencies.
+
+    The length is the whole's divided by a power of two, the least that holds them when the top stands in the middle.
+    """
+    size = np.abs(np.asarray(response))
+    n, shift = len(size), len(size) // 2 - int(size.argmax()) - 1
+    above = np.flatnonzero(np.roll(size, shift) > threshold * size.max())
+    length = n // 2 ** int(np.log2(n / (above[-1] - above[0] + 1)))
+    start = max((int(above[0]) + int(above[-1]) + 1) // 2 - length // 2, 0)
+    return (min(start, n - length) - shift) % n, length
+
+
+def stored_bank(bank: Sequence[np.ndarray], threshold: float) -> list[tuple[int, np.ndarray]]:
+    """(start, values) of each filter by its support; places past the end go on at 0."""
+    kept = []
+    for row in bank:
+        start, length = support(row, threshold)
+        kept.append((start, np.take(row, np.arange(start, start + length), mode="wrap")))
+    return kept
+
+
+def log_smooth(spec: DataFrame, *, length: int = 7, halve: bool = False, across: bool = False) -> DataFrame:
     """(sig, t, f, v): logarithms, zeros taken as the signal's least other value, smoothed in time by a Gaussian of
-    deviation 1 around length // 2, with zeros beyond the ends; every second frequency alone with ``halve``."""
+    deviation 1 around length // 2, with zeros beyond the ends; every second frequency alone with ``halve``.
+
+    ``across`` smooths over frequency first, where the whole kernel fits: length - 1 frequencies fewer come out,
+    numbered from 0, and none of a spectrum that has fewer than ``length``.
+    """
     g = np.exp(-((np.arange(length) - length // 2) ** 2) / 2)
     g = g / g.sum()
     least = F.min(F.when(F.col("v") != 0, F.col("v"))).over(Window.partitionBy("sig"))
     logs = spec.withColumn("v", F.ln(F.when(F.col("v") == 0, least).otherwise(F.col("v"))))
+    if across:
+        up = Window.partitionBy("sig", "t").orderBy("f")
+        mixed = sum((F.lead("v", length - 1 - i).over(up) * float(x) for i, x in enumerate(g)), F.lit(0.0))
+        logs = logs.select("sig", "t", "f", mixed.alias("v")).where(F.col("v").isNotNull())  # null where the kernel does not fit
     w = Window.partitionBy("sig", "f").orderBy("t")
     # zeros beyond the ends; in 'same' mode, output t takes input t + (length - 1) // 2 - i at kernel place i
     total = F.lit(0.0)

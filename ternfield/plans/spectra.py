@@ -57,10 +57,35 @@ def phase_bits(spark, sf):
     return tapers.phase_bits(_derivatives(spark, sf), bins=NFFT, kernel=kernel, sigma=2.0).where(F.col("f") < 8)
 
 
-@query(None)
+G = np.exp(-((np.arange(7) - 3) ** 2) / 2)
+G = G / G.sum()
+
+
+def _smooth_sql(across: bool) -> str:
+    """Spectra rounded to six places, so that engines agree on which are 0, then logarithms and smoothing."""
+    at = lambda k, of: f"{'lag' if k >= 0 else 'lead'}(v, {abs(k)}) OVER ({of})"
+    time = " + ".join(f"{x!r}::DOUBLE * coalesce({at(i - 3, 'PARTITION BY sig, f ORDER BY t')}, 0)" for i, x in enumerate(G.tolist()))
+    freq = " + ".join(f"{x!r}::DOUBLE * {at(i - 6, 'PARTITION BY sig, t ORDER BY f')}" for i, x in enumerate(G.tolist()))
+    source = f"(SELECT sig, t, f, {freq} AS v FROM lg)" if across else "lg"
+    return f"""WITH {WAVES}, sp AS MATERIALIZED (SELECT sig, t, f, round(sum(sqrt(hr * hr + hi * hi)) / 3, 6) AS v FROM z WHERE f < 9 GROUP BY 1, 2, 3),
+lg AS MATERIALIZED (SELECT sig, t, f, ln(CASE WHEN v = 0 THEN min(v) FILTER (WHERE v <> 0) OVER (PARTITION BY sig) ELSE v END) AS v FROM sp),
+fs AS MATERIALIZED (SELECT * FROM {source} WHERE v IS NOT NULL) SELECT sig, t, f, round({time}, 4) + 0e0 AS v FROM fs"""
+
+
+def _log_spectrum(spark, sf, across):
+    spec = tapers.multitaper(_frames(spark, sf), H, nfft=NFFT, bins=9).withColumn("v", F.round("v", 6))
+    return tapers.log_smooth(spec, length=7, across=across).select("sig", "t", "f", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query(_smooth_sql(False))
 def log_spectrum(spark, sf):
-    spec = tapers.multitaper(_frames(spark, sf), H, nfft=NFFT, bins=9)
-    return tapers.log_smooth(spec, length=7).select("sig", "t", "f", F.round("v", 5).alias("v"))
+    return _log_spectrum(spark, sf, False)
+
+
+@query(_smooth_sql(True))
+def log_spectrum_across(spark, sf):
+    """Smoothed over frequency too."""
+    return _log_spectrum(spark, sf, True)
 
 
 @query(None)

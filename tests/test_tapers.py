@@ -90,3 +90,33 @@ def test_log_smooth_equals_plain(spark):
             assert np.isclose(r["v"], want[r["t"], r["f"]])
     assert tapers.log_smooth(df, halve=True).select("f").distinct().orderBy("f").collect() == [(0,), (2,)]
     assert tapers.log_smooth(df.where(F.lit(False))).count() == 0
+
+
+def test_supports_hold_what_is_above_the_threshold():
+    rng = np.random.default_rng(2)
+    for n in (16, 64):
+        for centre in range(n):
+            far = np.minimum(np.abs(np.arange(n) - centre), n - np.abs(np.arange(n) - centre))
+            row = np.exp(-(far**2) / rng.uniform(0.5, n / 4)) * (1 + 0.01 * rng.random(n))
+            (start, kept), = tapers.stored_bank([row], 0.1)
+            assert n % len(kept) == 0
+            back = np.zeros(n)
+            back[(start + np.arange(len(kept))) % n] = kept
+            above = row > 0.1 * row.max()
+            # a support may lose a place at an end where it is not symmetric about its middle
+            assert (back[above] == row[above]).sum() >= above.sum() - 1 and set(back[back != 0]) <= set(row)
+
+
+def test_log_smoothing_over_frequency(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((5, 9))
+    x[2, 3] = 0
+    spec = spark.createDataFrame([("a", t, f, float(x[t, f])) for t in range(5) for f in range(9)] + [("short", 0, f, 1.0) for f in range(3)], "sig string, t int, f int, v double")
+    got = {(r["sig"], r["t"], r["f"]): r["v"] for r in tapers.log_smooth(spec, length=7, across=True).collect()}
+    g = np.exp(-((np.arange(7) - 3) ** 2) / 2)
+    g /= g.sum()
+    logs = np.log(np.where(x == 0, x[x > 0].min(), x))
+    valid = np.array([np.convolve(row, g, mode="valid") for row in logs])
+    want = np.array([[sum(g[i] * valid[t - i + 3, f] for i in range(7) if 0 <= t - i + 3 < 5) for f in range(3)] for t in range(5)])
+    assert set(got) == {("a", t, f) for t in range(5) for f in range(3)}
+    assert all(abs(got["a", t, f] - want[t, f]) < 1e-9 for t in range(5) for f in range(3))
