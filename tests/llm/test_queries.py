@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op13_prefix_trie"}))  # that one has a row a node
 def test_one_row_a_document(spark, name):
     got = queries.QUERIES[name](spark, SF)
     ids = [r["doc_id"] for r in got.select("doc_id").collect()]
