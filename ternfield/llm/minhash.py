@@ -46,6 +46,8 @@ LEADERS, MORE = 4, 8
 LARGE = 2 * LEADERS
 #: Parts into which a bucket's members are dealt when they meet its leaders.
 SALTS = 8
+#: Shingles of a node that stay together when they are dealt out.
+PART = 32
 #: Most words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -227,26 +229,30 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def taken_apart(sets: DataFrame) -> DataFrame:
-    """(node, n, w, h, x) for each shingle h of the nodes, of weight x: its node has n shingles of weight w together."""
-    weights = F.transform("counts", lambda c: 1 + F.log(c))
-    whole = sets.select("node", F.size("shingles").alias("n"), F.aggregate(weights, F.lit(0.0), lambda a, x: a + x).alias("w"), F.arrays_zip("shingles", weights.alias("weights")).alias("e"))
-    return whole.select("node", "n", "w", F.explode("e").alias("e")).select("node", "n", "w", F.col("e.shingles").alias("h"), F.col("e.weights").alias("x"))
+def in_parts(sets: DataFrame) -> DataFrame:
+    """(node, part, n, w, e): the shingles h of each node and their counts c, PART at a time; n and w are its shingles and their
+    weight in all."""
+    n, part = F.size("shingles"), F.lit(PART)
+    cut = lambda c, p: F.slice(c, p * part + 1, part)
+    each = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / part).cast("int")), lambda p: F.struct(p.alias("part"), F.arrays_zip(cut("shingles", p).alias("h"), cut("counts", p).alias("c")).alias("e")))
+    w = F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c))
+    return sets.where(n > 0).select("node", n.alias("n"), w.alias("w"), F.inline(each))
 
 
 def bounds(of: DataFrame, held: DataFrame) -> DataFrame:
     """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class: its shingles, their
-    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of taken_apart.
+    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of in_parts.
 
-    The rest is what is counted: a shingle that one node holds is known by its group, and only those that several nodes of
-    one class hold are looked up again."""
-    now = held.join(of, "node")
+    Classes are joined to parts, and parts dealt out evenly, before shingles are taken apart. The rest is what is counted:
+    a shingle that one node holds is known by its group, and only those that several nodes of one class hold are looked up again."""
+    mine = held.join(of, "node")
+    now = mine.repartition("node", "part").select("node", "root", F.inline("e")).select("node", "root", "h", (1 + F.log("c")).alias("x"))
     ends = [f(c).alias(f"{c}{i}") for c in ("root", "node") for i, f in enumerate((F.min, F.max))]
     foreign = now.groupBy("h").agg(*ends, F.count("*").alias("k"), F.sum("x").alias("x")).where("root0 = root1")
     own = foreign.where("node0 = node1").select(F.col("node0").alias("node"), "k", "x")
     wide = now.join(foreign.where("node0 != node1").select("h"), "h").select("node", F.lit(1).cast("bigint").alias("k"), "x")
     rest = own.unionAll(wide).groupBy("node").agg(F.sum("k").alias("k"), F.sum("x").alias("x"))
-    whole = now.groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w")).join(rest, "node", "left")
+    whole = mine.where("part = 0").select("node", "n", "w").join(rest, "node", "left")
     shared, x = F.col("n") - F.coalesce("k", F.lit(0)), F.coalesce("x", F.lit(0.0))
     return whole.where(shared > 0).select("node", "n", "w", shared.alias("s"), F.when(shared > 0, x / (F.col("w") - x)).alias("r"))
 
@@ -268,7 +274,7 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
         large = F.col("members") > LARGE
         of = todo.where(large).select("node", "root").distinct()
         if held is None:  # buckets only get smaller, so later rounds need no other nodes
-            held = written(taken_apart(sets.join(of.select("node"), "node")), "held")
+            held = written(in_parts(sets.join(of.select("node"), "node")), "held")
         bound = bounds(of, held)
         # A node in a large bucket stays if some weight and number of shingles in it could be a partner's.
         at = todo.where(large).join(bound, "node").withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip)
