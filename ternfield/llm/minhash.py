@@ -47,7 +47,7 @@ LARGE = 2 * LEADERS
 #: Parts into which a bucket's members are dealt when they meet its leaders.
 SALTS = 8
 #: Shingles of a node that stay together when they are dealt out.
-PART = 32
+PART = 8
 #: Most words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
