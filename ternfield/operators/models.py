@@ -102,14 +102,33 @@ def with_soft_bias(cells: Column, dim: int, base: int) -> Column:
     return F.array_append(cells, F.struct(F.lit(dim).alias("idx"), F.lit(base).alias("val")))
 
 
-def pair_scores(examples: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """(ex, truth, i, j, score) under pair models trained apart: weights (i, j, d, w) and bias (i, j, b).
+def pair_row(weights: DataFrame, bias: DataFrame) -> DataFrame:
+    """One row (classes, pairs) of pair models trained apart: weights (i, j, d, w) and bias (i, j, b).
 
-    A row a pair is broadcast, pairs x features numbers in all; each example is scored in place.
+    A pair has the places pi and pj of its classes among the sorted classes, its bias and its weights by feature, so the
+    row holds pairs x features numbers, whatever the number of examples.
     """
     rows = weights.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("w")).join(bias, ["i", "j"])
-    total = F.aggregate("idx", F.col("b"), lambda acc, d: acc + F.coalesce(F.try_element_at("w", d), F.lit(0.0)))
-    return examples.select("ex", F.col("cls").alias("truth"), "idx").crossJoin(F.broadcast(rows)).select("ex", "truth", "i", "j", F.round(total, 9).alias("score"))
+    one = rows.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j"))))).alias("classes"), F.collect_list(F.struct("i", "j", "b", "w")).alias("p"))
+    at = lambda c: (F.array_position("classes", c) - 1).cast("int")
+    return one.select("classes", F.transform("p", lambda p: F.struct(at(p["i"]).alias("pi"), at(p["j"]).alias("pj"), p["b"].alias("b"), p["w"].alias("w"))).alias("pairs"))
+
+
+def pair_guesses(examples: DataFrame, row: DataFrame, *, high_ties: bool = False) -> DataFrame:
+    """(ex, truth, guess): votes of the pair models in ``row`` (of pair_row), which is broadcast; an example stays one row.
+
+    A positive score votes for the pair's first class, a negative one for its second, zero for none. Ties go to the lowest
+    class, or the highest. Features without a weight and null or empty ``idx`` add nothing; without pair models there are no guesses.
+    """
+    score = lambda p: F.round(F.aggregate(F.coalesce("idx", F.array().cast("array<int>")), p["b"], lambda acc, d: acc + F.coalesce(F.try_element_at(p["w"], d), F.lit(0.0))), 9)
+    side = lambda p, s: F.when(s > 0, p["pi"]).when(s < 0, p["pj"]).otherwise(-1)
+    signed = F.transform("pairs", lambda p: F.struct(p["pi"].alias("pi"), p["pj"].alias("pj"), score(p).alias("s")))
+    places = F.transform(signed, lambda p: side(p, p["s"]))
+    counts = F.aggregate(places, F.transform("classes", lambda c: F.lit(0)), lambda acc, at: F.transform(acc, lambda v, k: v + (k == at).cast("int")))
+    named = F.zip_with(counts, "classes", lambda v, c: F.struct(v.alias("v"), (c if high_ties else -c).alias("c")))
+    top = F.array_max(named)["c"]
+    voted = examples.crossJoin(F.broadcast(row.where(F.size("pairs") > 0)))
+    return voted.select("ex", F.col("cls").alias("truth"), (top if high_ties else -top).alias("guess"))
 
 
 def vote_signs(pairs: DataFrame) -> DataFrame:
@@ -118,14 +137,6 @@ def vote_signs(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j").distinct().select("i", "j", F.inline(sides))
 
 
-def model_votes(scored: DataFrame, *, high_ties: bool = False) -> DataFrame:
-    """(ex, truth, guess): a pair model votes for the class whose sign its score has; zero for none. Ties to the lowest class, or the highest."""
-    sides = F.array(F.struct(F.col("i").alias("cls"), (F.col("score") > 0).cast("int").alias("v")), F.struct(F.col("j").alias("cls"), (F.col("score") < 0).cast("int").alias("v")))
-    votes = scored.select("ex", "truth", F.inline(sides)).groupBy("ex", "truth", "cls").agg(F.sum("v").alias("v"))
-    top = F.max(F.struct("v", (F.col("cls") if high_ties else -F.col("cls")).alias("c")))["c"]
-    return votes.groupBy("ex", "truth").agg((top if high_ties else -top).alias("guess"))
-
-
 def class_masses(soft: DataFrame) -> DataFrame:
     """(cls, comp, n): each class's responsibilities in each component, summed and cut to whole numbers."""
     return soft.select("cls", F.posexplode("a").alias("comp", "a")).groupBy("cls", "comp").agg(F.floor(F.round(F.sum("a"), 6)).cast("long").alias("n"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import soft_bits
-from ternfield.operators import classify, grid, iterate, kernel, learn, mixtures
+from ternfield.operators import classify, grid, iterate, kernel, learn, mixtures, models
 from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, examples, query
 from ternfield.sources.tables import table
 
@@ -58,6 +58,28 @@ def _all_pairs_sql(steps: int) -> str:
 
 ORACLE["all_pairs_2step"] = _all_pairs_sql(2)
 
+_TRAINED = _all_pairs_sql(2).rpartition(" SELECT pair, d,")[0] + """, tp AS MATERIALIZED (SELECT pair, d, round(w, 9) AS w FROM w2),
+ts AS (SELECT e.vec_id AS ex, e.label AS truth, pr.i, pr.j, round(coalesce(s.s, 0), 9) AS score FROM embeddings e CROSS JOIN pr LEFT JOIN (SELECT o.ex, tp.pair, sum(tp.w) AS s FROM ones o JOIN tp ON tp.d = o.d GROUP BY 1, 2) s ON s.ex = e.vec_id AND s.pair = pr.pair),
+tv AS (SELECT ex, truth, cls, sum(v) AS v FROM (SELECT ex, truth, i AS cls, (score > 0)::INT AS v FROM ts UNION ALL SELECT ex, truth, j, (score < 0)::INT FROM ts) GROUP BY 1, 2, 3),
+tr AS (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY v DESC, cls{ties}) AS r FROM tv) SELECT ex, truth, cls AS guess FROM tr WHERE r = 1"""
+
+
+def _trained_votes(spark, sf, **ties):
+    """Hinge fits of all pairs, each trained apart, vote on every example; as there, the models have no bias."""
+    pairs = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate((i, j) for i in CLASSES for j in CLASSES if i < j)], "pair int, i int, j int")
+    weights = all_pairs_2step(spark, sf).join(pairs, "pair").select("i", "j", "d", "w")
+    return models.pair_guesses(examples(spark, sf), models.pair_row(weights, pairs.select("i", "j", F.lit(0.0).alias("b"))), **ties)
+
+
+@query(_TRAINED.replace("{ties}", ""))
+def trained_vote_low(spark, sf):
+    return _trained_votes(spark, sf)
+
+
+@query(_TRAINED.replace("{ties}", " DESC"))
+def trained_vote_high(spark, sf):
+    return _trained_votes(spark, sf, high_ties=True)
+
 #: Form of the learner -> its options; two weight rows a class where components are learnt.
 FORMS = {
     "ramp": {"loss": "ramp"},

@@ -102,20 +102,20 @@ LEFT JOIN (SELECT o.ex, p.i, p.j, sum(p.w) AS s FROM ones o JOIN (SELECT a.cls A
 vt AS (SELECT ex, truth, cls, sum(v) AS v FROM (SELECT ex, truth, i AS cls, (score > 0)::INT AS v FROM pm UNION ALL SELECT ex, truth, j, (score < 0)::INT FROM pm) GROUP BY 1, 2, 3)"""
 
 
-def _pair_scores(spark, sf):
+def _pair_row(spark, sf):
     weights, c = classify.pair_weights(model(spark, sf)), classify.log_const(model(spark, sf))
     bias = c.select(F.col("cls").alias("i"), F.col("b").alias("bi")).join(c.select(F.col("cls").alias("j"), F.col("b").alias("bj")), F.col("i") < F.col("j")).select("i", "j", (F.col("bi") - F.col("bj")).alias("b"))
-    return models.pair_scores(examples(spark, sf), weights, bias)
+    return models.pair_row(weights, bias)
 
 
 @query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY v DESC, cls) AS r FROM vt) SELECT ex, truth, cls AS guess FROM r WHERE r = 1")
 def model_vote_low(spark, sf):
-    return models.model_votes(_pair_scores(spark, sf))
+    return models.pair_guesses(examples(spark, sf), _pair_row(spark, sf))
 
 
 @query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY v DESC, cls DESC) AS r FROM vt) SELECT ex, truth, cls AS guess FROM r WHERE r = 1")
 def model_vote_high(spark, sf):
-    return models.model_votes(_pair_scores(spark, sf), high_ties=True)
+    return models.pair_guesses(examples(spark, sf), _pair_row(spark, sf), high_ties=True)
 
 
 @query("WITH c AS (SELECT DISTINCT label AS c FROM embeddings), p AS (SELECT a.c AS i, b.c AS j FROM c a JOIN c b ON a.c < b.c) SELECT i, j, i AS cls, 1 AS sign FROM p UNION ALL SELECT i, j, j, -1 FROM p")

@@ -161,8 +161,23 @@ def test_reordered_graph():
     assert max(abs(place[a] - place[b]) for a, b in edges) == 1
 
 
-def test_model_votes_ties(spark):
-    s = spark.createDataFrame([(1, 0, i, j, 0.0) for i, j in ((0, 1), (0, 2), (1, 2))] + [(2, 2, 0, 1, 1.0), (2, 2, 0, 2, -1.0), (2, 2, 1, 2, 1.0)], "ex long, truth int, i int, j int, score double")
-    assert {r["ex"]: r["guess"] for r in models.model_votes(s).collect()} == {1: 0, 2: 0}
-    assert {r["ex"]: r["guess"] for r in models.model_votes(s, high_ties=True).collect()} == {1: 2, 2: 2}
-    assert models.model_votes(s.limit(0)).count() == 0
+def test_pair_guesses(spark):
+    rng = np.random.default_rng(5)
+    classes, dim = [2, 3, 7, 11], 6
+    w = {(i, j): rng.integers(-1, 2, dim).astype(float) for i in classes for j in classes if i < j}
+    bias = {p: float(rng.integers(-1, 2)) for p in w}
+    idx = {e: sorted(rng.choice(9, rng.integers(0, 5), replace=False).tolist()) for e in range(60)} | {60: None}  # ids from dim on have no weight
+    weights = spark.createDataFrame([(i, j, d, x) for (i, j), v in w.items() for d, x in enumerate(v.tolist())], "i int, j int, d int, w double")
+    row = models.pair_row(weights, spark.createDataFrame([(*p, b) for p, b in bias.items()], "i int, j int, b double"))
+    ex = spark.createDataFrame([(e, 3, i) for e, i in idx.items()], "ex long, cls int, idx array<int>")
+    votes = {}
+    for e, at in idx.items():
+        v = votes[e] = dict.fromkeys(classes, 0)
+        for (i, j), x in w.items():
+            s = bias[i, j] + sum(x[d] for d in at or [] if d < dim)
+            v[i] += s > 0
+            v[j] += s < 0
+    for high in (False, True):
+        got = {r["ex"]: r["guess"] for r in models.pair_guesses(ex, row, high_ties=high).collect()}
+        assert got == {e: max(classes, key=lambda c: (v[c], c if high else -c)) for e, v in votes.items()}
+    assert models.pair_guesses(ex.limit(0), row).count() == models.pair_guesses(ex, models.pair_row(weights.limit(0), weights.select("i", "j", "w").limit(0).withColumnRenamed("w", "b"))).count() == 0
