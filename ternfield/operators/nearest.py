@@ -1,14 +1,17 @@
-"""Exact nearest neighbours of stated queries among all rows, by Hamming distance of packed bits."""
+"""Exact nearest neighbours of stated queries among all rows, by Hamming distance of packed bits: by blocks, or by an index of bands."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ternfield.sources.scratch import written
+
 #: Rows that a task compares with all queries of a block at once.
 ROWS_AT_ONCE = 256
 
@@ -19,7 +22,7 @@ def packed(idx: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 64)), word)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int, block: int = 65_536) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int, block: int = 16_384) -> DataFrame:
     """(q, t, dist, r): the k nearest rows (id, words) of each query (id, words), ranked by distance and then id; not the query itself.
 
     Queries go out in blocks of at most ``block``, so what a task holds is bounded; each block passes over all rows
@@ -63,3 +66,56 @@ def _block(rows: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(q[ok], pa.int64()), pa.array(ts[ok], pa.int64()), pa.array(best[ok].astype(np.int32))], ["q", "t", "dist"])
 
     return rows.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "words").mapInArrow(each, "q bigint, t bigint, dist int")
+
+
+def banded(rows: DataFrame, dim: int, bands: int) -> DataFrame:
+    """(id, words, keys): the bits of each row in ``bands`` bands of equal width, which divides 64."""
+    width = dim // bands
+    if width * bands != dim or 64 % width or width == 64:
+        raise ValueError(f"{dim} bits do not fall into {bands} bands of a width that divides 64")
+    key = lambda b: F.shiftrightunsigned(F.get("words", b * width // 64), b * width % 64).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    return rows.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "words", F.array(*[key(b) for b in range(bands)]).alias("keys"))
+
+
+def candidates(rows: DataFrame, queries: DataFrame, *, dim: int, bands: int, reach: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(q, t, dist) of the pairs that agree in some band but for ``reach`` bits at most, each pair once, and the ids of the queries
+    left out, as those bands together hold more than ``share`` times the number of rows (so no large bucket is joined with its queries)."""
+    width = dim // bands
+    masks = [sum(1 << i for i in c) for n in range(reach + 1) for c in combinations(range(width), n)]
+    near = lambda keys: F.flatten(F.transform(keys, lambda x, b: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(b.alias("band"), x.bitwiseXOR(m).alias("key")))))
+    all_rows, asked = banded(rows, dim, bands), banded(queries, dim, bands)
+    at = all_rows.select("id", "words", "keys", F.posexplode("keys").alias("band", "key"))
+    probes = asked.select(F.col("id").alias("q"), F.inline(near("keys")))
+    size = at.groupBy("band", "key").agg(F.count("*").alias("n"))
+    most = all_rows.agg((F.count("*") * F.lit(share)).alias("most"))
+    cost = written(probes.join(size, ["band", "key"]).groupBy("q").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(most)).select("q", (F.col("n") > F.col("most")).alias("left")), "cost")
+    able = asked.join(cost.where("not left").select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.col("words").alias("q_words"), F.col("keys").alias("q_keys"))
+    probes = able.select("*", F.inline(near("q_keys")))
+    apart = F.zip_with("keys", "q_keys", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    first = F.size(F.filter(F.slice(apart, 1, F.col("band")), lambda n: n <= reach)) == 0  # else an earlier band gives the pair
+    dist = F.aggregate(F.zip_with("words", "q_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    met = probes.join(at, ["band", "key"]).where((F.col("id") != F.col("q")) & first).select("q", F.col("id").alias("t"), dist.alias("dist"))
+    return met, cost.where("left").select("q")
+
+
+def nearest_by_bands(rows: DataFrame, queries: DataFrame, *, k: int, dim: int, bands: int = 4, reach: int = 1, share: float = 0.02, block: int = 16_384) -> DataFrame:
+    """As ``nearest``, through an index: what is within bands * (reach + 1) - 1 bits agrees in some band but for ``reach`` bits.
+
+    A query whose k-th candidate is that near is settled, as no row outside its candidates can be nearer. The others, those
+    with fewer candidates and those whose buckets together hold over ``share`` times the number of rows go the exact way, by blocks. Rows and queries that
+    repeat an id are not told apart; null ids are left out; without rows or queries there are no pairs.
+    """
+    met, _ = candidates(rows, queries, dim=dim, bands=bands, reach=reach, share=share)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "t"))
+    best = written(met.withColumn("r", rank).where(F.col("r") <= k), "nearest")
+    settled = best.where((F.col("r") == k) & (F.col("dist") < bands * (reach + 1))).select("q")
+    rest = queries.join(settled.select(F.col("q").alias("id")), "id", "left_anti")
+    return best.join(settled, "q", "left_semi").select("q", "t", "dist", "r").unionByName(nearest(rows, rest, k=k, block=block))
+
+
+def local_scale(rows: DataFrame, queries: DataFrame, *, k: int, scale_at: int = 7, block: int = 16_384) -> DataFrame:
+    """(q, t, k): dist * s(q) * s(t) for the k nearest other queries t of each query q, s being a query's ``scale_at``-th least
+    distance to any row. A kernel row holds k cells, so it grows with the queries, not with their square."""
+    scale = written(nearest(rows, queries, k=scale_at, block=block).where(F.col("r") == scale_at).select("q", F.col("dist").cast("long").alias("s")), "scale")
+    pairs = nearest(queries, queries, k=k, block=block).join(scale, "q").join(scale.select(F.col("q").alias("t"), F.col("s").alias("st")), "t")
+    return pairs.select("q", "t", (F.col("dist") * F.col("s") * F.col("st")).alias("k"))

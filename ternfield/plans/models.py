@@ -192,25 +192,28 @@ nd AS (SELECT q.vec_id AS q, t.vec_id AS t, list_sum(list_transform(list_zip(q.b
 knn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS r FROM nd)"""
 
 
-def _knn(spark, sf):
-    """Queries: every row whose id 20 divides; against: all rows."""
+def _packed(spark, sf):
+    """All rows, and as queries every row whose id 20 divides."""
     rows = examples(spark, sf).select(F.col("ex").alias("id"), nearest.packed(F.col("idx"), DIM).alias("words"))
-    return nearest.nearest(rows, rows.where(F.col("id") % 20 == 0), k=15)
+    return rows, rows.where(F.col("id") % 20 == 0)
 
 
 @query(f"WITH {KNN} SELECT q, t, dist FROM knn WHERE r <= 15")
 def knn15(spark, sf):
-    return _knn(spark, sf).select("q", "t", "dist")
+    return nearest.nearest(*_packed(spark, sf), k=15).select("q", "t", "dist")
 
 
-@query(f"WITH {KNN} SELECT a.q, a.t, (a.dist * s.dist * u.dist)::BIGINT AS k FROM knn a JOIN knn s ON s.q = a.q AND s.r = 7 JOIN knn u ON u.q = a.t AND u.r = 7")
+@query(f"WITH {KNN} SELECT q, t, dist, r FROM knn WHERE r <= 7")
+def knn7_by_bands(spark, sf):
+    """The same search through the index of bands; the exact way takes what it cannot settle."""
+    return nearest.nearest_by_bands(*_packed(spark, sf), k=7, dim=DIM, bands=4).withColumn("r", F.col("r").cast("long"))
+
+
+@query(f"""WITH {KNN}, s AS (SELECT q, dist FROM knn WHERE r = 7), a AS (SELECT q, t, dist, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS r FROM nd WHERE t % 20 = 0)
+SELECT a.q, a.t, (a.dist * s.dist * u.dist)::BIGINT AS k FROM a JOIN s ON s.q = a.q JOIN s u ON u.q = a.t WHERE a.r <= 15""")
 def local_scale_kernel(spark, sf):
-    """d^2 * s(a) * s(b) of all pairs of queries: for bits the squared distance is the Hamming distance, s its 7th least to any row."""
-    scale = _knn(spark, sf).where("r = 7").select("q", F.col("dist").cast("long").alias("s"))
-    rows = examples(spark, sf).where(F.col("ex") % 20 == 0).select(F.col("ex").alias("q"), nearest.packed(F.col("idx"), DIM).alias("w")).join(scale, "q")
-    pair = rows.alias("a").crossJoin(F.broadcast(rows.alias("b"))).where("a.q <> b.q")  # the stated query set against itself
-    dist = F.aggregate(F.zip_with("a.w", "b.w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    return pair.select("a.q", F.col("b.q").alias("t"), (dist * F.col("a.s") * F.col("b.s")).alias("k"))
+    """d^2 * s(a) * s(b) of each query's 15 nearest queries: for bits the squared distance is the Hamming distance, s its 7th least to any row."""
+    return nearest.local_scale(*_packed(spark, sf), k=15)
 
 
 @query("WITH u AS (SELECT page_id, string_split(regexp_replace(array_to_string(list_slice(string_split(url, '/'), -3, -1), '_'), '\\.html$', ''), '_') AS p FROM pages) SELECT page_id, p[1] AS dr, p[2] AS spk, p[3] AS sentence FROM u")

@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ternfield.functions.features import mirrored, path_id, set_bits, with_bias
@@ -107,6 +108,33 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(rows, rows.limit(0), k=5).count() == nearest.nearest(rows.limit(0), rows, k=5).count() == 0
 
 
+def test_nearest_by_bands(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.random((40, 128)) < 0.5
+    bits = centres[rng.integers(0, 40, 400)] ^ (rng.random((400, 128)) < 0.02)  # near rows, which the index settles
+    bits[:60] = rng.random((60, 128)) < 0.5  # far ones, which it does not
+    bits[100:220] = bits[100]  # a bucket with over a quarter of all rows
+    df = spark.createDataFrame([(i, [int(d) for d in np.flatnonzero(b)]) for i, b in enumerate(bits)] + [(None, [1])], "id long, idx array<int>").repartition(4)
+    rows = df.select("id", nearest.packed(F.col("idx"), 128).alias("words"))
+    queries = rows.where("id % 10 = 0")
+    dist = (bits[:, None] != bits[None]).sum(2)
+    want = {(q, r + 1): (t, dist[q, t]) for q in range(0, 400, 10) for r, t in enumerate(sorted((t for t in range(400) if t != q), key=lambda t: (dist[q, t], t))[:4])}
+    got = [((r["q"], r["r"]), (r["t"], r["dist"])) for r in nearest.nearest_by_bands(rows, queries, k=4, dim=128, bands=8, share=0.5).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    met, left = nearest.candidates(rows, queries, dim=128, bands=8, reach=1, share=0.5)
+    pairs = [(r["q"], r["t"], r["dist"]) for r in met.collect()]
+    left = {r["q"] for r in left.collect()}
+    assert len(pairs) == len({p[:2] for p in pairs}) and all(dist[q, t] == d for q, t, d in pairs)
+    assert set(range(100, 220, 10)) <= left and not left & {q for q, _, _ in pairs}
+    assert {(q, t) for q in range(0, 400, 10) for t in range(400) if q not in left and q != t and dist[q, t] < 16} <= {p[:2] for p in pairs}
+    assert 0 < len(pairs) < 40 * 400 * 0.1  # a small part of what the blocks compare
+    settled = {q for q in range(60, 400, 10) if q not in left and sum(d < 16 for a, _, d in pairs if a == q) >= 4}
+    assert len(settled) > 15
+    assert nearest.nearest_by_bands(rows, rows.limit(0), k=4, dim=128, bands=8).count() == nearest.nearest_by_bands(rows.limit(0), queries, k=4, dim=128, bands=8).count() == 0
+    with pytest.raises(ValueError):
+        nearest.banded(rows, 130, 8)
+
+
 def test_heads_against_plain_code(spark):
     rng = np.random.default_rng(3)
     spans = [(int(s), int(a), int(a + n), float(x)) for s, a, n, x in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400), rng.integers(1, 25, 400), rng.random(400))]
