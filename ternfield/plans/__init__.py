@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all."""
 
-from ternfield.plans import catalog, detection, further, learning, models, spectra  # noqa: F401
+from ternfield.plans import catalog, detection, further, learning, models, spectra, streams  # noqa: F401

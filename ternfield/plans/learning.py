@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ternfield.functions.features import soft_bits
 from ternfield.operators import classify, grid, iterate, kernel, learn, mixtures, models
-from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, examples, query
+from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, TMPL, examples, query
 from ternfield.sources.tables import table
 
 CLASSES = list(range(10))
@@ -93,22 +93,84 @@ FORMS = {
 }
 
 
-@query(None)
-def learner_forms(spark, sf):
-    """(form, accuracy) on all examples after three steps from the templates' log-odds."""
+#: Steps of each form, the first one's number, and the forms' step rate.
+FORM_STEPS, FORM_START, FORM_RATE = 3, 4, 1.0
+
+
+def _form_sql(name: str, options: dict) -> list[str]:
+    """The unrolled steps of one form, as steps of SQL: {name}_m{FORM_STEPS} (r, d, w) holds the weights."""
+    k, n, x = options.get("components", 1), len(CLASSES) * options.get("components", 1), "soft" if "base" in options else "hard"
+    bias = " + 1e-1" if "bias" in options else ""
+    use = {"ramp": "gap > -1 AND gap < 1", "self_paced": f"gap > -1 AND {options.get('k')}::DOUBLE * (1 + gap) < 1"}.get(options.get("loss"), "gap > -1")
+    if options.get("loss") == "smoothed":
+        temper = f"CASE WHEN mine THEN {options['beta']}::DOUBLE ELSE {options['gamma']}::DOUBLE END"
+        share = f"exp((z - top) / ({temper})) / sum(exp((z - top) / ({temper}))) OVER (PARTITION BY ex, mine)"
+    else:
+        share = "(r = best)::INT"
+    parts = [f"{name}_w0 AS MATERIALIZED (SELECT (j * {len(CLASSES)} + cls)::INT AS r, d, w * (1 + j * 1e-1) AS w FROM lo CROSS JOIN (SELECT unnest(range({k})) AS j))", f"{name}_m0 AS (SELECT * FROM {name}_w0)"]
+    for i in range(FORM_STEPS):
+        t, at = FORM_START + i, lambda c, i=i: f"{name}_{c}{i}"
+        eta = f"(1e0 / ({FORM_RATE}::DOUBLE * {t + 1}))"
+        if options.get("differences"):
+            kept, scale = f"w.w - ({n} * w.w - sum(w.w) OVER (PARTITION BY w.d)) / {t + 1 + n}", f"SELECT {n} * (SELECT sum(w * w) FROM {at('u')}) - (SELECT sum(s * s) FROM (SELECT sum(w) AS s FROM {at('u')} GROUP BY d)) AS far"
+        else:
+            kept, scale = f"(1 - {eta} * {FORM_RATE}::DOUBLE) * w.w", f"SELECT sum(w * w) AS far FROM {at('u')}"
+        e = options.get("average")
+        part = f"({e + 1}::DOUBLE / {i + e + 1}::DOUBLE)" if e is not None else "1e0"
+        parts += [
+            f"{at('z')} AS MATERIALIZED (SELECT e.vec_id AS ex, e.label AS truth, g.r, round(coalesce(s.s, 0){bias}, 12) AS z FROM embeddings e CROSS JOIN (SELECT DISTINCT r FROM {at('w')}) g LEFT JOIN (SELECT o.ex, w.r, sum(w.w * o.x) AS s FROM {x} o JOIN {at('w')} w USING (d) GROUP BY 1, 2) s ON s.ex = e.vec_id AND s.r = g.r)",
+            f"{at('q')} AS MATERIALIZED (SELECT *, first_value(r) OVER (PARTITION BY ex, mine ORDER BY z DESC, r) AS best, max(z) OVER (PARTITION BY ex, mine) AS top FROM (SELECT *, r % {len(CLASSES)} = truth AS mine FROM {at('z')}))",
+            f"{at('y')} AS (SELECT ex FROM (SELECT ex, max(top) FILTER (WHERE NOT mine) - max(top) FILTER (WHERE mine) AS gap FROM {at('q')} GROUP BY 1) WHERE {use})",
+            f"{at('p')} AS MATERIALIZED (SELECT ex, r, (CASE WHEN mine THEN 1 ELSE -1 END) * {share} AS pull FROM {at('q')} SEMI JOIN {at('y')} USING (ex))",
+            f"{at('g')} AS MATERIALIZED (SELECT p.r, o.d, sum(p.pull * o.x) AS g FROM {at('p')} p JOIN {x} o USING (ex) GROUP BY 1, 2)",
+            f"{at('u')} AS MATERIALIZED (SELECT w.r, w.d, {kept} + {eta} / (SELECT count(*) FROM embeddings) * coalesce(g.g, 0) AS w FROM {at('w')} w LEFT JOIN {at('g')} g USING (r, d))",
+            f"{name}_w{i + 1} AS MATERIALIZED (SELECT r, d, w * least(1, 1 / sqrt({FORM_RATE}::DOUBLE * far)) AS w FROM {at('u')} CROSS JOIN ({scale}))",
+            f"{name}_m{i + 1} AS MATERIALIZED (SELECT r, d, (1 - {part}) * m.w + {part} * w.w AS w FROM {at('m')} m JOIN {name}_w{i + 1} w USING (r, d))",
+        ]
+    return parts
+
+
+_FORMS_SQL = "WITH " + ",\n".join([TMPL, "hard AS (SELECT ex, d, 1e0 AS x FROM ones)", f"soft AS (SELECT ex, d, least({BASE}, floor(greatest(v, 0) * {SCALE} * {BASE})) / {BASE}::DOUBLE AS x FROM bits WHERE v > 0)", *(p for name, options in FORMS.items() for p in _form_sql(name, options))])
+
+
+def _form_fits(spark, sf):
+    """The examples, and (form, options, weights) after three steps from the templates' log-odds."""
     lo = {(r["cls"], r["d"]): r["w"] for r in classify.log_odds(classify.templates(examples(spark, sf), DIM)).collect()}
     warm = np.array([[lo[c, d] for d in range(DIM)] for c in CLASSES])
     rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cls"), soft_bits(F.col("embedding"), BASE, SCALE).alias("cells"))
     both = examples(spark, sf).join(rows.select(F.col("vec_id").alias("ex"), "cells"), "ex").withColumn("add", F.array_repeat(F.lit(0.1), len(CLASSES)))
-    out = []
+    fits = []
     for name, options in FORMS.items():
         k = options.get("components", 1)
         of, start = CLASSES * k, np.concatenate([warm * (1 + 0.1 * j) for j in range(k)])
         given = {n: v for n, v in options.items() if n != "components"}
-        w = learn.multiclass(both, DIM, of, steps=3, rate=1.0, start=start, start_step=4, **given)
+        fits.append((name, options, learn.multiclass(both, DIM, of, steps=FORM_STEPS, rate=FORM_RATE, start=start, start_step=FORM_START, **given)))
+    return both, fits
+
+
+@query(_FORMS_SQL + " " + " UNION ALL ".join(f"SELECT '{name}' AS form, r AS weight_row, d, round(w, 6) + 0e0 AS w FROM {name}_m{FORM_STEPS}" for name in FORMS))
+def learner_weights(spark, sf):
+    """The weights of every form of the learner."""
+    fits = _form_fits(spark, sf)[1]
+    cells = [(name, j, d, round(float(x), 6) + 0.0) for name, _, w in fits for j, r in enumerate(w) for d, x in enumerate(r)]
+    return spark.createDataFrame(cells, "form string, weight_row int, d int, w double")
+
+
+def _form_accuracy_sql(name: str, options: dict) -> str:
+    x = "soft" if "base" in options else "hard"
+    z = f"SELECT e.vec_id AS ex, e.label AS truth, g.r, round(coalesce(s.s, 0), 12) AS z FROM embeddings e CROSS JOIN (SELECT DISTINCT r FROM {name}_m{FORM_STEPS}) g LEFT JOIN (SELECT o.ex, w.r, sum(w.w * o.x) AS s FROM {x} o JOIN {name}_m{FORM_STEPS} w USING (d) GROUP BY 1, 2) s ON s.ex = e.vec_id AND s.r = g.r"
+    return f"SELECT '{name}' AS form, round(avg((best % {len(CLASSES)} = truth)::INT), 9) AS accuracy FROM (SELECT truth, first_value(r) OVER (PARTITION BY ex ORDER BY z DESC, r) AS best, row_number() OVER (PARTITION BY ex ORDER BY z DESC, r) AS rank FROM ({z})) WHERE rank = 1"
+
+
+@query(_FORMS_SQL + " " + " UNION ALL ".join(_form_accuracy_sql(name, options) for name, options in FORMS.items()))
+def learner_forms(spark, sf):
+    """(form, accuracy) on all examples after three steps from the templates' log-odds."""
+    both, fits = _form_fits(spark, sf)
+    out = []
+    for name, options, w in fits:
         best = F.array_max(F.transform("z", lambda x, i: F.struct(x.alias("z"), (-i).alias("i"))))["i"]
         guess = learn.margins(both, w, base=options.get("base")).select("cls", (-best % len(CLASSES)).alias("guess"))
-        out.append((name, guess.agg(F.avg((F.col("cls") == F.col("guess")).cast("double"))).first()[0]))
+        out.append((name, guess.agg(F.round(F.avg((F.col("cls") == F.col("guess")).cast("double")), 9)).first()[0]))
     return spark.createDataFrame(out, "form string, accuracy double")
 
 

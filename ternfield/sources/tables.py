@@ -46,13 +46,20 @@ def samples(read: DataFrame) -> DataFrame:
 
 
 def arrays(spark: SparkSession, folder: str, *, pattern: str = "*.npy") -> DataFrame:
-    """(path, row, v): the rows of every saved matrix below a folder; a vector is a matrix of one column."""
+    """(path, row, v): the rows of every saved matrix below a folder; a vector is a matrix of one column.
+
+    A file that holds no such numbers gives one row with null row and v; one without bytes gives none.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a.reshape(len(a), -1).astype(float)
+                try:
+                    a = np.load(io.BytesIO(content), allow_pickle=False)
+                    a = a.reshape(len(a), -1).astype(float)
+                except (ValueError, EOFError, OSError, TypeError, AttributeError):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.float64()))], ["path", "row", "v"])
+                    continue
                 for start in range(0, len(a), 4096):
                     part = a[start : start + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(start, start + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], ["path", "row", "v"])

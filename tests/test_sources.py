@@ -28,6 +28,15 @@ def test_sounds(spark, tmp_path):
 def test_arrays_text_and_settings(spark, tmp_path):
     np.save(tmp_path / "m.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
     assert [r["v"] for r in tables.arrays(spark, str(tmp_path)).orderBy("row").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+    np.save(tmp_path / "one.npy", np.float64(3))
+    (tmp_path / "no.npy").write_bytes(b"no array")
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "m.npy").read_bytes()[:-8])
+    (tmp_path / "empty.npy").write_bytes(b"")
+    read = tables.arrays(spark, str(tmp_path))
+    assert sorted(r["path"].rsplit("/")[-1] for r in read.where("row is null and v is null").collect()) == ["cut.npy", "no.npy", "one.npy"]
+    assert read.where("row is not null").count() == 2
+    (tmp_path / "m.map").write_text("aa vowel\n\n  s   fricative\n")
+    assert sorted(map(tuple, tables.label_map(spark, str(tmp_path / "m.map")).collect())) == [("aa", "vowel"), ("s", "fricative")]
     (tmp_path / "m.txt").write_text("1 2.5\n\n# note\n 3   4 # end\n")
     assert sorted(r["v"] for r in tables.text_matrix(spark, str(tmp_path / "m.txt")).collect()) == [[1.0, 2.5], [3.0, 4.0]]
     assert tables.settings("[A]\nx = 3\nY = (1, 2)\nz = word\n") == {"A": {"x": 3, "Y": (1, 2), "z": "word"}}
