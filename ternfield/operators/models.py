@@ -131,6 +131,20 @@ def pair_guesses(examples: DataFrame, row: DataFrame, *, high_ties: bool = False
     return voted.select("ex", F.col("cls").alias("truth"), (top if high_ties else -top).alias("guess"))
 
 
+def pair_errors(examples: DataFrame, row: DataFrame) -> DataFrame:
+    """(label, other, n): how many examples of each class the pair model of it and another gives to that other.
+
+    row is that of pair_row, broadcast; an example meets only the models of its own class. A score of zero is no error.
+    Classes without examples or without a model are left out.
+    """
+    score = lambda p: F.round(F.aggregate(F.coalesce("idx", F.array().cast("array<int>")), p["b"], lambda acc, d: acc + F.coalesce(F.try_element_at(p["w"], d), F.lit(0.0))), 9)
+    met = examples.select("cls", "idx").crossJoin(F.broadcast(row)).withColumn("at", F.array_position("classes", F.col("cls")).cast("int") - 1)
+    mine = F.filter("pairs", lambda p: (p["pi"] == F.col("at")) | (p["pj"] == F.col("at")))
+    first = lambda p: p["pi"] == F.col("at")
+    sides = F.transform(mine, lambda p: F.struct(F.get("classes", F.when(first(p), p["pj"]).otherwise(p["pi"])).alias("other"), (F.when(first(p), score(p)).otherwise(-score(p)) < 0).alias("wrong")))
+    return met.select(F.col("cls").alias("label"), F.inline(sides)).groupBy("label", "other").agg(F.sum(F.col("wrong").cast("long")).alias("n"))
+
+
 def vote_signs(pairs: DataFrame) -> DataFrame:
     """(i, j, cls, sign): for each pair model, +1 for the class that a positive score favours (i), -1 for the other."""
     sides = F.array(F.struct(F.col("i").alias("cls"), F.lit(1).alias("sign")), F.struct(F.col("j").alias("cls"), F.lit(-1).alias("sign")))

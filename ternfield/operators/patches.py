@@ -90,9 +90,13 @@ def local_maxima(placed: DataFrame) -> DataFrame:
     return n.join(seen, ["ex", "t", "f"]).where("n >= top").select("ex", "t", "f", "n")
 
 
-def inner_full(placed: DataFrame, *, size: int, radius: int) -> DataFrame:
-    """The places of those anchors whose patch is on in every cell within ``radius`` of its centre."""
+def inner_full(placed: DataFrame, *, size: int, radius: int, channels: int = 1) -> DataFrame:
+    """The places of those anchors whose patch has something on in every cell within ``radius`` of its centre.
+
+    With ``channels``, places count the channels of a cell last (as in ``channel_patches``); any of them is enough.
+    """
     mid = size // 2
     inner = [(mid + i) * size + mid + j for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
-    full = placed.where(F.col("d").isin(inner)).groupBy("ex", "t", "f").agg(F.count("*").alias("on")).where(F.col("on") == len(inner))
+    cell = F.floor(F.col("d") / channels)
+    full = placed.where(cell.isin(inner)).groupBy("ex", "t", "f").agg(F.size(F.collect_set(cell)).alias("on")).where(F.col("on") == len(inner))
     return placed.join(full.select("ex", "t", "f"), ["ex", "t", "f"], "left_semi")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ternfield.operators import classify, detect, patches
-from ternfield.plans.catalog import CELL, DIM, PATCH, PRED, SC, SIDE, TMPL, cells, examples, model, placed, query, scored
+from ternfield.operators import classify, detect, models, patches
+from ternfield.plans.catalog import BITS, CELL, DIM, PATCH, PRED, SC, SIDE, TMPL, cells, examples, model, placed, query, scored
 from ternfield.sources.tables import table
 
 POOL = PRED + """,
@@ -89,6 +89,31 @@ def difference_density(spark, sf):
     return detect.density(pair_differences(spark, sf), "diff", low=-20.0, high=20.0, points=21, width=3.0).select("x", F.round("density", 9).alias("density"))
 
 
+PRUNED = PW + """, q AS (SELECT i, j, quantile_cont(abs(w), 75e-2) AS cut FROM pw GROUP BY 1, 2),
+sp AS (SELECT i, j, d, w, CASE WHEN abs(w) >= cut - 1e-12 THEN w ELSE 0 END AS kept FROM pw JOIN q USING (i, j)),
+pb AS (SELECT a.cls AS i, b.cls AS j, a.b - b.b AS b FROM cst a JOIN cst b ON a.cls < b.cls),
+ds AS (SELECT o.ex, sp.i, sp.j, sum(sp.w) AS w, sum(sp.kept) AS kept FROM ones o JOIN sp ON sp.d = o.d AND o.cls IN (sp.i, sp.j) GROUP BY 1, 2, 3),
+ps AS (SELECT e.label, CASE WHEN e.label = pb.i THEN pb.j ELSE pb.i END AS other, CASE WHEN e.label = pb.i THEN 1 ELSE -1 END AS y, round(b + coalesce(ds.w, 0), 9) AS w, round(b + coalesce(ds.kept, 0), 9) AS kept FROM embeddings e JOIN pb ON e.label IN (pb.i, pb.j) LEFT JOIN ds ON ds.ex = e.vec_id AND ds.i = pb.i AND ds.j = pb.j),
+pd AS (SELECT label, other, (sum((y * kept < 0)::INT) - sum((y * w < 0)::INT))::BIGINT AS diff FROM ps GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PRUNED} SELECT label, other, diff FROM pd")
+def pruned_pair_errors(spark, sf):
+    """How many more errors the pair models make when the lower three quarters of their weights are set to 0."""
+    const = classify.log_const(model(spark, sf))
+    a, b = const.select(F.col("cls").alias("i"), F.col("b").alias("bi")), const.select(F.col("cls").alias("j"), F.col("b").alias("bj"))
+    bias = a.join(b, F.col("i") < F.col("j")).select("i", "j", (F.col("bi") - F.col("bj")).alias("b"))
+    weights = classify.pair_weights(model(spark, sf))
+    errors = lambda w: models.pair_errors(examples(spark, sf), models.pair_row(w, bias))
+    kept = errors(detect.sparsify(weights, 0.75)).withColumnRenamed("n", "kept")
+    return errors(weights).join(kept, ["label", "other"]).select("label", "other", (F.col("kept") - F.col("n")).alias("diff"))
+
+
+@query(f"WITH {PRUNED}, g AS (SELECT -20 + i * 2e0 AS x FROM (SELECT unnest(range(21)) AS i)) SELECT x, round(avg(exp(-pow((x - diff) / 3, 2) / 2) / (3 * sqrt(2 * pi()))), 9) AS density FROM g CROSS JOIN pd GROUP BY 1")
+def pruned_error_density(spark, sf):
+    return detect.density(pruned_pair_errors(spark, sf), "diff", low=-20.0, high=20.0, points=21, width=3.0).select("x", F.round("density", 9).alias("density"))
+
+
 def _symbols(spark, sf):
     ord_ = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     s = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
@@ -156,6 +181,22 @@ def inner_patches(spark, sf):
     return patches.inner_full(placed(spark, sf), size=3, radius=0)
 
 
+@query(f"""WITH {BITS}, o AS (SELECT i, j FROM (SELECT unnest(range(3))::INT AS i) CROSS JOIN (SELECT unnest(range(3))::INT AS j)),
+patch AS (SELECT ex, (d // 16 - i)::INT AS t, (d // 4 % 4 - j)::INT AS f, ((i * 3 + j) * 4 + d % 4)::INT AS d FROM ones CROSS JOIN o WHERE d // 16 - i BETWEEN 0 AND 1 AND d // 4 % 4 - j BETWEEN 0 AND 1),
+inside AS (SELECT ex, t, f FROM patch GROUP BY 1, 2, 3 HAVING count(DISTINCT d // 4) = 9),
+part AS (SELECT k AS part, d, ((k * 7 + d * 5) % 11) / 5e0 - 1 AS w FROM (SELECT unnest(range(4))::INT AS k) CROSS JOIN (SELECT unnest(range(36))::INT AS d)),
+s AS (SELECT p.ex, p.t, p.f, part.part, round(sum(part.w) - part.part / 10e0, 9) AS s FROM patch p SEMI JOIN inside USING (ex, t, f) JOIN part ON part.d = p.d GROUP BY 1, 2, 3, 4)
+SELECT ex, t, f, part FROM (SELECT *, max(s) OVER (PARTITION BY ex, t, f) AS best FROM s) WHERE s = best""")
+def inner_part_codes(spark, sf):
+    """Best parts of the patches of four channels that have an edge in every cell within 1 of their centre."""
+    d = F.col("d")
+    on = examples(spark, sf).select("ex", F.explode("idx").alias("d")).select("ex", F.floor(d / 16).cast("int").alias("t"), (F.floor(d / 4) % 4).cast("int").alias("f"), (d % 4).alias("e"))
+    inside = patches.inner_full(patches.channel_patches(on, height=4, width=4, size=3, channels=4), size=3, radius=1, channels=4)
+    grid = spark.range(144).select(F.floor(F.col("id") / 36).cast("int").alias("part"), (F.col("id") % 36).cast("int").alias("d"))
+    weights = grid.withColumn("w", ((F.col("part") * 7 + F.col("d") * 5) % 11) / 5.0 - 1)
+    return patches.part_codes(inside, weights, spark.range(4).select(F.col("id").cast("int").alias("part"), (-F.col("id") / 10.0).alias("b")))
+
+
 @query(f"WITH {PATCH}, n AS (SELECT ex, t, f, count(*) AS n FROM patch GROUP BY 1, 2, 3) SELECT a.ex, a.t, a.f, a.n FROM n a WHERE a.n >= 6 AND NOT EXISTS (SELECT 1 FROM n b WHERE b.ex = a.ex AND abs(b.t - a.t) <= 1 AND abs(b.f - a.f) <= 1 AND b.n > a.n)")
 def busy_local_maxima(spark, sf):
     return patches.local_maxima(placed(spark, sf)).where("n >= 6")

@@ -209,3 +209,17 @@ def test_pair_guesses(spark):
         got = {r["ex"]: r["guess"] for r in models.pair_guesses(ex, row, high_ties=high).collect()}
         assert got == {e: max(classes, key=lambda c: (v[c], c if high else -c)) for e, v in votes.items()}
     assert models.pair_guesses(ex.limit(0), row).count() == models.pair_guesses(ex, models.pair_row(weights.limit(0), weights.select("i", "j", "w").limit(0).withColumnRenamed("w", "b"))).count() == 0
+
+
+def test_pair_errors_and_inner_cells(spark):
+    from ternfield.operators import models, patches
+
+    weights = spark.createDataFrame([(0, 1, 0, 1.0), (0, 1, 1, -1.0), (0, 2, 0, 2.0)], "i int, j int, d int, w double")
+    row = models.pair_row(weights, spark.createDataFrame([(0, 1, 0.0), (0, 2, -1.0)], "i int, j int, b double"))
+    examples = spark.createDataFrame([(1, 0, [0]), (2, 0, [1]), (3, 1, [0]), (4, 2, []), (5, 2, None), (6, 7, [0])], "ex long, cls int, idx array<int>")
+    got = {(r["label"], r["other"]): r["n"] for r in models.pair_errors(examples, row).collect()}
+    assert got == {(0, 1): 1, (0, 2): 1, (1, 0): 1, (2, 0): 0}
+    places = [(1, 0, 0, c * 2 + c % 2) for c in range(9)] + [(2, 0, 0, c * 2) for c in range(8)] + [(2, 0, 0, 1)]
+    placed = spark.createDataFrame(places, "ex int, t int, f int, d int")
+    assert {r["ex"] for r in patches.inner_full(placed, size=3, radius=1, channels=2).collect()} == {1}
+    assert {r["ex"] for r in patches.inner_full(placed, size=3, radius=0, channels=2).collect()} == {1, 2}
