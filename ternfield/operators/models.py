@@ -114,6 +114,20 @@ def pair_row(weights: DataFrame, bias: DataFrame) -> DataFrame:
     return one.select("classes", F.transform("p", lambda p: F.struct(at(p["i"]).alias("pi"), at(p["j"]).alias("pj"), p["b"].alias("b"), p["w"].alias("w"))).alias("pairs"))
 
 
+def pair_matrix(weights: DataFrame, bias: DataFrame, dim: int) -> DataFrame:
+    """(row, neg, pos, b, w): pair models (i, j, d, w) and (i, j, b) as the rows of a matrix, numbered from 0 by neg, then pos.
+
+    A positive score favours i, so that is pos. w is dense, 0 where a feature has no weight; a pair without any has a
+    row of zeros. The pairs, not the examples, set the size of what is numbered.
+    """
+    held = weights.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("m"))
+    order = bias.agg(F.array_sort(F.collect_list(F.struct(F.col("j").alias("neg"), F.col("i").alias("pos")))).alias("order"))
+    named = order.select(F.posexplode("order").alias("row", "p")).select("row", "p.neg", "p.pos")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
+    rows = bias.join(held, ["i", "j"], "left").select(F.col("j").alias("neg"), F.col("i").alias("pos"), "b", dense.alias("w"))
+    return named.join(rows, ["neg", "pos"]).select("row", "neg", "pos", "b", "w")
+
+
 def pair_guesses(examples: DataFrame, row: DataFrame, *, high_ties: bool = False) -> DataFrame:
     """(ex, truth, guess): votes of the pair models in ``row`` (of pair_row), which is broadcast; an example stays one row.
 

@@ -80,6 +80,16 @@ def trained_vote_low(spark, sf):
 def trained_vote_high(spark, sf):
     return _trained_votes(spark, sf, high_ties=True)
 
+
+@query(_all_pairs_sql(2).rpartition(" SELECT pair, d,")[0] + " SELECT (dense_rank() OVER (ORDER BY pr.j, pr.i) - 1)::INT AS matrix_row, pr.j AS neg, pr.i AS pos, d, round(w, 9) + 0e0 AS w FROM w2 JOIN pr USING (pair)")
+def pair_matrix(spark, sf):
+    """The trained pair models as rows of one matrix, in the order of (neg, pos)."""
+    pairs = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate((i, j) for i in CLASSES for j in CLASSES if i < j)], "pair int, i int, j int")
+    weights = all_pairs_2step(spark, sf).join(pairs, "pair").select("i", "j", "d", "w")
+    matrix = models.pair_matrix(weights, pairs.select("i", "j", F.lit(0.0).alias("b")), DIM)
+    return matrix.select(F.col("row").alias("matrix_row"), "neg", "pos", F.posexplode("w").alias("d", "w"))
+
+
 #: Form of the learner -> its options; two weight rows a class where components are learnt.
 FORMS = {
     "ramp": {"loss": "ramp"},

@@ -223,3 +223,13 @@ def test_pair_errors_and_inner_cells(spark):
     placed = spark.createDataFrame(places, "ex int, t int, f int, d int")
     assert {r["ex"] for r in patches.inner_full(placed, size=3, radius=1, channels=2).collect()} == {1}
     assert {r["ex"] for r in patches.inner_full(placed, size=3, radius=0, channels=2).collect()} == {1, 2}
+
+
+def test_pair_matrix_is_dense_and_ordered(spark):
+    from ternfield.operators import models
+
+    weights = spark.createDataFrame([(0, 1, 1, 2.0), (1, 2, 0, 3.0)], "i int, j int, d int, w double")
+    bias = spark.createDataFrame([(1, 2, 0.5), (0, 2, 0.1), (0, 1, -1.0)], "i int, j int, b double")
+    got = [tuple(r) for r in models.pair_matrix(weights, bias, 2).orderBy("row").collect()]
+    assert got == [(0, 1, 0, -1.0, [0.0, 2.0]), (1, 2, 0, 0.1, [0.0, 0.0]), (2, 2, 1, 0.5, [3.0, 0.0])]
+    assert models.pair_matrix(weights.limit(0), bias.limit(0), 2).count() == 0
