@@ -26,14 +26,15 @@ def standardise(signal: DataFrame) -> DataFrame:
 def frames(signal: DataFrame, *, nfft: int = 16, winsize: int = 16, oversampling: int = 1) -> DataFrame:
     """(sig, t, k, x): overlapping frames that start half a frame early; ends are mirrored.
 
-    Each sample is sent to the frames that hold it; only the few mirrored places at the ends add to that.
+    Each sample is sent to the frames that hold it; only the few mirrored places at the ends add to that. Samples are
+    never broadcast, however small their files are.
     """
     hop = nfft >> oversampling
     sizes = signal.groupBy("sig").agg(F.count("*").alias("len")).where(F.col("len") > nfft)
     n_frames = F.floor(0.5 + F.col("len") / winsize * (1 << oversampling)).cast("int")
     places = sizes.where(n_frames > 0).select("sig", "len", F.explode(F.sequence(F.lit(0), n_frames - 1)).alias("t")).select("sig", "len", "t", F.explode(F.sequence(F.lit(0), F.lit(nfft - 1))).alias("k"))
     at = mirrored(F.col("t") * hop + F.col("k") - nfft // 2, F.col("len"))
-    return places.select("sig", "t", "k", at.cast("long").alias("n")).join(signal, ["sig", "n"]).select("sig", "t", "k", "x")
+    return places.select("sig", "t", "k", at.cast("long").alias("n")).join(signal.hint("merge"), ["sig", "n"]).select("sig", "t", "k", "x")
 
 
 def spectrum(framed: DataFrame, *, nfft: int = 16) -> DataFrame:
@@ -59,7 +60,7 @@ def cut(signal: DataFrame, centres: DataFrame, *, length: int) -> DataFrame:
     """(sig, c, k, x): windows of a length around centres (sig, c), mirrored at both ends."""
     sizes = signal.groupBy("sig").agg(F.count("*").alias("len")).where(F.col("len") > length)
     at = centres.join(sizes, "sig").select("sig", "c", "len", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k"))
-    return at.select("sig", "c", "k", mirrored(F.col("c") + F.col("k") - length // 2, F.col("len")).cast("long").alias("n")).join(signal, ["sig", "n"]).select("sig", "c", "k", "x")
+    return at.select("sig", "c", "k", mirrored(F.col("c") + F.col("k") - length // 2, F.col("len")).cast("long").alias("n")).join(signal.hint("merge"), ["sig", "n"]).select("sig", "c", "k", "x")
 
 
 def nearest_frame(points: DataFrame, *, hop: int) -> DataFrame:
@@ -149,7 +150,7 @@ def padded(signal: DataFrame, *, length: int) -> DataFrame:
     left = F.floor(room / 2)
     places = sizes.select("sig", "len", left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") + room - 1)).alias("m"))
     turn = F.pmod(F.col("m") - F.col("left"), 2 * F.col("len"))
-    return places.select("sig", "m", F.least(turn, 2 * F.col("len") - 1 - turn).alias("n")).join(signal, ["sig", "n"]).select("sig", F.col("m").alias("n"), "x")
+    return places.select("sig", "m", F.least(turn, 2 * F.col("len") - 1 - turn).alias("n")).join(signal.hint("merge"), ["sig", "n"]).select("sig", F.col("m").alias("n"), "x")
 
 
 def unpadded(signal: DataFrame, sizes: DataFrame, *, length: int) -> DataFrame:

@@ -7,11 +7,16 @@ from __future__ import annotations
 
 import math
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ternfield.sources.scratch import written
 
 
 def hermite(length: int, order: int, half_support: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,19 +135,50 @@ def derivatives(frames: DataFrame, tapers: np.ndarray, first: np.ndarray, times:
 def convolve(grid: DataFrame, columns: dict[str, tuple[str, np.ndarray]], *, bins: int) -> DataFrame:
     """(sig, t, f, <name>) for name -> (column, kernel): convolution in (t, f), with edges mirrored about the border.
 
-    The kernel's centre is place size // 2, so that an even kernel reaches one place further back. Every cell is
-    sent to the cells that need it: as many copies as the kernel has places, and one more for each mirrored one.
+    The kernel's centre is place size // 2, so that an even kernel reaches one place further back. A frame is a row of
+    arrays, written once, and sent to the frames that need it: as many copies as the kernel has rows. What they add up
+    to is a product with the kernels as matrices, in Arrow batches. Absent and null cells count as 0. Joins say that they
+    merge: files of few distinct values look small enough to broadcast and fill the driver.
     """
-    shape = next(iter(columns.values()))[1].shape
-    sizes = grid.groupBy("sig").agg((F.max("t") + 1).cast("int").alias("frames"))
-    out = grid.select("sig", "t", "f").join(sizes, "sig")
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(shape[0]) for j in range(shape[1])])
-    fold = lambda i, n: F.least(F.pmod(i, 2 * n), 2 * n - 1 - F.pmod(i, 2 * n))  # noqa: E731  ... 1 0 | 0 1 2 | 2 1 ...
-    need = out.select("sig", "t", "f", "frames", F.explode(offsets).alias("o")).select("sig", "t", "f", "o", fold(F.col("t") + (shape[0] // 2) - F.col("o.i"), F.col("frames")).alias("at"), fold(F.col("f") + (shape[1] // 2) - F.col("o.j"), F.lit(bins)).alias("af"))
-    source = grid.select("sig", F.col("t").alias("at"), F.col("f").alias("af"), *sorted({c for c, _ in columns.values()}))
-    place = F.col("o.i") * shape[1] + F.col("o.j")
-    sums = [F.sum(F.col(c) * F.get(F.array(*[F.lit(float(x)) for x in kernel.ravel()]), place)).alias(name) for name, (c, kernel) in columns.items()]
-    return need.join(source, ["sig", "at", "af"]).groupBy("sig", "t", "f").agg(*sums)
+    high, wide = next(iter(columns.values()))[1].shape
+    cells, names = sorted({c for c, _ in columns.values()}), list(columns)
+    values = F.collect_list(F.struct("f", *[F.col(c).cast("double").alias(c) for c in cells]))
+    frames = written(grid.groupBy("sig", "t").agg(values.alias("cells")), "frames")
+    sizes = frames.groupBy("sig").agg((F.max("t") + 1).cast("int").alias("frames"))
+    turn = F.pmod(F.col("t") + high // 2 - F.col("i"), 2 * F.col("frames"))
+    at = F.least(turn, 2 * F.col("frames") - 1 - turn)  # ... 1 0 | 0 1 2 | 2 1 ...
+    need = frames.select("sig", "t", F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("i")).join(sizes.hint("merge"), "sig").select("sig", "t", "i", at.alias("at"))
+    met = need.join(frames.withColumnRenamed("t", "at").hint("merge"), ["sig", "at"]).groupBy("sig", "t").agg(F.collect_list(F.struct("i", "cells")).alias("near"))
+    maps = {}
+    for name, (_, k) in columns.items():
+        maps[name] = np.zeros((high, bins, bins))
+        for f in range(bins):
+            for j in range(wide):
+                x = (f + wide // 2 - j) % (2 * bins)
+                maps[name][:, min(x, 2 * bins - 1 - x), f] += k[:, j]
+    maps = {name: m.reshape(high * bins, bins) for name, m in maps.items()}
+    kind = T.StructType([grid.schema["sig"], grid.schema["t"], grid.schema["f"], *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = b.column("near")
+            rows, of = near.flatten(), np.repeat(np.arange(len(b)), np.diff(near.offsets.to_numpy()))
+            i, inner = rows.field("i").to_numpy(), rows.field("cells")
+            cell, per = inner.flatten(), np.diff(inner.offsets.to_numpy())
+            f = cell.field("f").to_numpy()
+            row, i = np.repeat(of, per), np.repeat(i, per)
+            there = np.zeros((len(b), bins), bool)
+            own = i == high // 2  # a frame's own cells
+            there[row[own], f[own]] = True
+            dense = {}
+            for c in cells:
+                dense[c] = np.zeros((len(b), high, bins))
+                dense[c][row, i, f] = pc.fill_null(cell.field(c), 0.0).to_numpy(zero_copy_only=False)
+            r, f = np.nonzero(there)
+            out = [pa.array((dense[c].reshape(len(b), -1) @ maps[n])[r, f]) for n, (c, _) in columns.items()]
+            yield pa.RecordBatch.from_arrays([b.column("sig").take(pa.array(r)), b.column("t").take(pa.array(r)), pa.array(f).cast(b.schema.field("near").type.value_type.field("cells").type.value_type.field("f").type), *out], ["sig", "t", "f", *names])
+
+    return met.mapInArrow(each, kind)
 
 
 def phase_bits(phases: DataFrame, *, bins: int, kernel: np.ndarray, sigma: float, freq: float = 0.12, line: float = 0.05, time: float = 4.125, spread: int = 3) -> DataFrame:
@@ -157,12 +193,12 @@ def phase_bits(phases: DataFrame, *, bins: int, kernel: np.ndarray, sigma: float
     by_w, by_t = -(j - mid[1]) / sigma * kernel, -(i - mid[0]) / sigma * kernel
     smooth = convolve(phases, {"wt": ("p_t", by_w), "tt": ("p_t", by_t), "tw": ("p_w", by_t)}, bins=bins)
     state = F.when(F.abs("tt") > line, F.signum("tt")).otherwise(0.0).cast("int")
-    marked = smooth.select("sig", "t", "f", (F.col("wt") > freq).alias("on"), (F.col("tw") > time).alias("late"), state.alias("state"))
+    marked = written(smooth.select("sig", "t", "f", (F.col("wt") > freq).alias("on"), (F.col("tw") > time).alias("late"), state.alias("state")), "marked")
     reach = range(-(spread // 2), spread - spread // 2)
     steps = F.array(*[F.struct(F.when(F.col("state") == 1, -r).when(F.col("state") == 0, 0).otherwise(r).alias("i"), F.lit(-r).alias("j")) for r in reach])
     channel = F.when(F.col("state") == 1, 1).when(F.col("state") == 0, 2).otherwise(3)
-    sent = marked.select("sig", "t", "f", channel.alias("channel"), F.explode(steps).alias("o")).select("sig", (F.col("t") + F.col("o.i")).alias("t"), (F.col("f") + F.col("o.j")).alias("f"), "channel").distinct()
-    lines = sent.join(marked.where("on").select("sig", "t", "f"), ["sig", "t", "f"], "left_semi").select("sig", "t", "f", "channel")
+    sent = marked.select("sig", "t", "f", channel.alias("channel"), F.explode(steps).alias("o")).select("sig", (F.col("t") + F.col("o.i")).alias("t"), (F.col("f") + F.col("o.j")).alias("f"), "channel")
+    lines = sent.join(marked.where("on").select("sig", "t", "f").hint("merge"), ["sig", "t", "f"], "left_semi").select("sig", "t", "f", "channel").distinct()
     own = marked.select("sig", "t", "f", F.explode(F.array_compact(F.array(F.when(F.col("on"), 0), F.when(F.col("late"), 4)))).alias("channel"))
     return lines.unionByName(own)
 

@@ -120,3 +120,26 @@ def test_log_smoothing_over_frequency(spark):
     want = np.array([[sum(g[i] * valid[t - i + 3, f] for i in range(7) if 0 <= t - i + 3 < 5) for f in range(3)] for t in range(5)])
     assert set(got) == {("a", t, f) for t in range(5) for f in range(3)}
     assert all(abs(got["a", t, f] - want[t, f]) < 1e-9 for t in range(5) for f in range(3))
+
+
+def test_phase_bits_have_a_small_plan(spark):
+    """The plan holds neither the spectra's literals nor copies of them: it reads what was written once."""
+    _, df = _signal(spark)
+    i, j = np.mgrid[:8, :8]
+    bits = tapers.phase_bits(tapers.derivatives(signal.frames(df), H, DH, T, nfft=N, bins=N), bins=N, kernel=np.exp(-((i - 4) ** 2 + (j - 4) ** 2) / 4.0), sigma=2.0)
+    assert len(bits._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    for df in (bits, signal.frames(df)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_convolve_takes_absent_and_null_cells_as_zero(spark):
+    rng = np.random.default_rng(3)
+    x, k = rng.normal(size=(5, 4)), rng.normal(size=(4, 4))
+    cells = [("a", t, f, None if (t, f) == (1, 1) else float(x[t, f])) for t in range(5) for f in range(4) if (t, f) != (2, 3)]
+    got = tapers.convolve(spark.createDataFrame([*cells, ("short", 0, 0, 2.0)], "sig string, t int, f int, v double"), {"y": ("v", k)}, bins=4)
+    x[1, 1] = x[2, 3] = 0
+    wide = np.pad(x, 4, mode="symmetric")
+    y = {(r["sig"], r["t"], r["f"]): r["y"] for r in got.collect()}
+    assert set(y) == {(s, t, f) for s, t, f, _ in cells} | {("short", 0, 0)}
+    assert all(np.isclose(y["a", t, f], sum(k[u, v] * wide[4 + t + 2 - u, 4 + f + 2 - v] for u in range(4) for v in range(4))) for _, t, f, _ in cells)
+    assert np.isclose(y["short", 0, 0], 2 * sum(k[:, j].sum() for j in range(4) if (2 - j) % 8 in (0, 7)))
