@@ -108,6 +108,19 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(rows, rows.limit(0), k=5).count() == nearest.nearest(rows.limit(0), rows, k=5).count() == 0
 
 
+def test_local_scale_gives_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    words = rng.integers(-(2**62), 2**62, (60, 2))
+    rows = spark.createDataFrame([(i, [int(x) for x in w]) for i, w in enumerate(words)], "id long, words array<long>")
+    dist = np.bitwise_count(words[:, None].view(np.uint64) ^ words[None].view(np.uint64)).sum(2).astype(int)
+    s = np.sort(dist + 1000 * np.eye(60, dtype=int), axis=1)[:, 6]
+    want = sorted((q, t, int(dist[q, t] * s[q] * s[t])) for q in range(0, 60, 2) for t in range(0, 60, 2) if q != t)
+    for side in (7, 1024):
+        got = nearest.local_scale(rows, rows.where("id % 2 = 0"), side=side)
+        assert sorted(tuple(r) for r in got.select("q", "t", "k").collect()) == want
+    assert nearest.local_scale(rows, rows.limit(0)).count() == 0
+
+
 def test_nearest_by_bands(spark):
     rng = np.random.default_rng(3)
     centres = rng.random((40, 128)) < 0.5
