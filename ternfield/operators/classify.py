@@ -18,11 +18,13 @@ def ones(examples: DataFrame) -> DataFrame:
     return examples.select("ex", "cls", F.explode("idx").alias("d"))
 
 
-def templates(examples: DataFrame, dim: int, *, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(cls, d, p): share of a class's examples with the feature on, over the full grid, clamped."""
-    sizes = examples.groupBy("cls").agg(F.count("*").alias("n"))
+def templates(examples: DataFrame, dim: int, *, low: float = 0.01, high: float = 0.99, weight: str | None = None) -> DataFrame:
+    """(cls, d, p): share of a class's examples with the feature on, over the full grid, clamped. ``weight`` names a
+    column of how many examples a row stands for."""
+    many = F.sum(weight) if weight else F.count("*")
+    sizes = examples.groupBy("cls").agg(many.alias("n"))
     grid = sizes.select("cls", "n", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("d"))
-    seen = ones(examples).groupBy("cls", "d").agg(F.count("*").alias("k"))
+    seen = examples.select("*", F.explode("idx").alias("d")).groupBy("cls", "d").agg(many.alias("k"))
     return grid.join(seen, ["cls", "d"], "left").select("cls", "d", clamp(F.coalesce("k", F.lit(0)) / F.col("n"), low, high).alias("p"))
 
 

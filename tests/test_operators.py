@@ -177,6 +177,21 @@ def test_p_values_against_erfc(spark):
     assert all(abs(p - erfc(abs(x) / sqrt(2))) <= 3e-7 * erfc(abs(x) / sqrt(2)) for p, x in zip(got, z))
 
 
+def test_language_tests_read_texts_once(spark, tmp_path):
+    """The registered query's plan, however often its tests are used, does not scan documents again."""
+    from ternfield.plans import catalog, models as plans  # noqa: F401
+
+    docs = [(i, "de" if i % 2 else "en", t) for i, t in enumerate(["the,the", "und", "THE end", None, " of  the", "die und", "the", "the\nend"] * 30)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tests = catalog.QUERIES["p_values"](spark, str(tmp_path))
+    assert "documents.parquet" not in tests._jdf.queryExecution().executedPlan().toString() and tests.count() == 12
+    p = {r["d"]: r["p"] for r in tests.collect()}
+    # shares of en and de: "the" 3/4 and 0, "und" 0 and 1/2 by words between single spaces
+    z = {0: (0.75 - 0.01) / (0.38 * 0.62 / 60) ** 0.5, 6: (0.01 - 0.5) / (0.255 * 0.745 / 60) ** 0.5}
+    got = spark.createDataFrame(sorted(z.items()), "d int, z double").select("d", models.two_sided_p(F.col("z")).alias("p")).collect()
+    assert all(abs(p[r["d"]] - r["p"]) < 1e-9 for r in got)
+
+
 def test_step_up(spark):
     p = spark.createDataFrame([(x,) for x in (0.001, 0.008, 0.039, 0.041, 0.042, 0.06, None)], "p double")
     kept = [r["p"] for r in models.step_up(p, "p", alpha=0.05, total=F.lit(6)).orderBy("p").collect()]
