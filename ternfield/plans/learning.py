@@ -7,9 +7,10 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from ternfield.functions.features import soft_bits
+from ternfield.functions.features import set_bits, soft_bits
 from ternfield.operators import classify, grid, iterate, kernel, learn, mixtures, models
 from ternfield.plans.catalog import ASSIGN, BASE, BITS, DIM, ORACLE, SCALE, TMPL, examples, query
+from ternfield.sources.scratch import written
 from ternfield.sources.tables import table
 
 CLASSES = list(range(10))
@@ -147,8 +148,8 @@ def _form_fits(spark, sf):
     """The examples, and (form, options, weights) after three steps from the templates' log-odds."""
     lo = {(r["cls"], r["d"]): r["w"] for r in classify.log_odds(classify.templates(examples(spark, sf), DIM)).collect()}
     warm = np.array([[lo[c, d] for d in range(DIM)] for c in CLASSES])
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cls"), soft_bits(F.col("embedding"), BASE, SCALE).alias("cells"))
-    both = examples(spark, sf).join(rows.select(F.col("vec_id").alias("ex"), "cells"), "ex").withColumn("add", F.array_repeat(F.lit(0.1), len(CLASSES)))
+    bits, cells = set_bits(F.col("embedding")).alias("idx"), soft_bits(F.col("embedding"), BASE, SCALE).alias("cells")
+    both = written(table(spark, sf, "embeddings").select(F.col("label").alias("cls"), bits, cells), "forms").withColumn("add", F.array_repeat(F.lit(0.1), len(CLASSES)))
     fits = []
     for name, options in FORMS.items():
         k = options.get("components", 1)

@@ -98,3 +98,10 @@ def test_em_prunes_to_one(spark):
     assert k == 1 and soft.agg(F.sum(F.get("a", 0))).first()[0] == 12
     best = iterate.restarts(df, 2, 2, seeds=[1, 2], rounds=3)
     assert best[1] in (1, 2) and best[2] > -12
+
+
+def test_forms_read_examples_without_a_join(spark):
+    from ternfield.plans import learning
+
+    both, fits = learning._form_fits(spark, "/root/testdata/sf0.001")
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString() and len(fits) == len(learning.FORMS)
