@@ -40,10 +40,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, BANDS, ROWS = 5, 20, 6
 K = BANDS * ROWS
 SIMILARITY = 0.8
-#: Leaders of a bucket in the second round (MORE times as many in each after it), and the members beyond which a
-#: bucket's nodes get bounds: a smaller one is done within two rounds.
+#: Leaders of a bucket in the second round (MORE times as many in each after it).
 LEADERS, MORE = 4, 8
-LARGE = 2 * LEADERS
 #: Parts into which a bucket's members are dealt when they meet its leaders.
 SALTS = 8
 #: Shingles of a node that stay together when they are dealt out.
@@ -230,69 +228,70 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_parts(sets: DataFrame) -> DataFrame:
-    """(node, part, n, w, e): the shingles h of each node and their counts c, PART at a time; n and w are its shingles and their
-    weight in all."""
+    """(node, root, part, e): the shingles h of each node and their counts c, PART at a time."""
     n, part = F.size("shingles"), F.lit(PART)
     cut = lambda c, p: F.slice(c, p * part + 1, part)
     each = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / part).cast("int")), lambda p: F.struct(p.alias("part"), F.arrays_zip(cut("shingles", p).alias("h"), cut("counts", p).alias("c")).alias("e")))
-    w = F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c))
-    return sets.where(n > 0).select("node", n.alias("n"), w.alias("w"), F.inline(each))
+    return sets.where(n > 0).select("node", "root", F.inline(each))
 
 
-def bounds(of: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class: its shingles, their
-    weight, how many of them other classes hold too, and the weight of the rest over that of those. held: of in_parts.
+def bounds(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class there: their shingles,
+    these shingles' weight, how many of them other classes hold too, and the weight of the rest over that of those.
 
-    Classes are joined to parts, and parts dealt out evenly, before shingles are taken apart. The rest is what is counted:
-    a shingle that one node holds is known by its group, and only those that several nodes of one class hold are looked up again."""
-    mine = held.join(of, "node")
-    now = mine.repartition("node", "part").select("node", "root", F.inline("e")).select("node", "root", "h", (1 + F.log("c")).alias("x"))
+    Each shingle of a node is taken apart and written once. Classes are joined to parts, and parts dealt out evenly, before
+    that. The rest is what is counted: a shingle that one node holds is known by its group, and only those that several nodes
+    of one class hold are looked up again."""
+    mine = sets.join(of, "node")
+    dealt = in_parts(mine).repartition("node", "part").select("node", "root", F.inline("e"))
+    now = written(dealt.select("node", "root", "h", (1 + F.log("c")).alias("x")), "shingles")
     ends = [f(c).alias(f"{c}{i}") for c in ("root", "node") for i, f in enumerate((F.min, F.max))]
-    foreign = now.groupBy("h").agg(*ends, F.count("*").alias("k"), F.sum("x").alias("x")).where("root0 = root1")
+    foreign = written(now.groupBy("h").agg(*ends, F.count("*").alias("k"), F.sum("x").alias("x")).where("root0 = root1"), "foreign")
     own = foreign.where("node0 = node1").select(F.col("node0").alias("node"), "k", "x")
     wide = now.join(foreign.where("node0 != node1").select("h"), "h").select("node", F.lit(1).cast("bigint").alias("k"), "x")
     rest = own.unionAll(wide).groupBy("node").agg(F.sum("k").alias("k"), F.sum("x").alias("x"))
-    whole = mine.where("part = 0").select("node", "n", "w").join(rest, "node", "left")
+    w = F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c))
+    whole = mine.select("node", F.size("shingles").alias("n"), w.alias("w")).join(rest, "node", "left")
     shared, x = F.col("n") - F.coalesce("k", F.lit(0)), F.coalesce("x", F.lit(0.0))
-    return whole.where(shared > 0).select("node", "n", "w", shared.alias("s"), F.when(shared > 0, x / (F.col("w") - x)).alias("r"))
+    return whole.where(shared > 0).select("node", "n", "w", shared.alias("s"), (x / (F.col("w") - x)).alias("r"))
 
 
 def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the nodes that have links. buckets: (bucket, node, lead); sets: (node, sketch, shingles, counts)."""
+    """(node, root) of the nodes that have links. buckets: (bucket, node, lead); sets: (node, sketch, shingles, counts).
+
+    Bounds are taken once, with the classes of the first round: classes only grow, so what was foreign stays foreign."""
     spare, slip = 1 / similarity - 1, 1e-9
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = buckets.where("node != lead")
     links = written(verify(first.select(*pair("node", "lead")).distinct(), sets, similarity=similarity), "links")
     roots = components(links)
-    todo, leaders, rank, held = first.select("bucket", "node"), LEADERS, 2, None
+    named = first.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    todo = written(named.join(open_.select("bucket"), "bucket"), "open")
+    if todo.isEmpty():
+        return roots
+    # A node stays if some weight and number of shingles in its bucket could be a partner's.
+    bound = bounds(todo.select("node", "root").distinct(), sets).withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip).drop("r")
+    at = written(todo.select("bucket", "node").join(bound, "node"), "bounds")
+    most = at.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("w").alias("w1"))
+    todo = at.join(most, "bucket").where(F.col("w1") * F.col("q") / (1 + F.col("q")) >= F.col("n0") - F.col("s") - slip).select("bucket", "node", "n", "w", "s", "q")
+    leaders, rank = LEADERS, 2
     while True:
-        named = todo.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 != r1")
-        todo = written(named.join(open_.select("bucket", "members"), "bucket"), "open")
+        named = todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of_root = named.groupBy("bucket", "root").agg(F.count("*").alias("members"))
+        main = of_root.groupBy("bucket").agg(F.max(F.struct("members", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+        todo = written(named.join(main.select("bucket", "main"), "bucket"), "open")
         if todo.isEmpty():
             return roots
-        large = F.col("members") > LARGE
-        of = todo.where(large).select("node", "root").distinct()
-        if held is None:  # buckets only get smaller, so later rounds need no other nodes
-            held = written(in_parts(sets.join(of.select("node"), "node")), "held")
-        bound = bounds(of, held)
-        # A node in a large bucket stays if some weight and number of shingles in it could be a partner's.
-        at = todo.where(large).join(bound, "node").withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip)
-        most = at.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("w").alias("w1"))
-        at = at.join(most, "bucket").where(F.col("w1") * F.col("q") / (1 + F.col("q")) >= F.col("n0") - F.col("s") - slip).select("bucket", "node", "root", "n", "w", "s", "q")
-        small = todo.where(~large).select("bucket", "node", "root", *(F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("w", "double"), ("s", "bigint"), ("q", "double"))))
-        todo = written(at.unionAll(small), "open")
-        of_root = todo.groupBy("bucket", "root").agg(F.count("*").alias("members"))
-        main = of_root.groupBy("bucket").agg(F.max(F.struct("members", "root"))["root"].alias("main"))
-        ranked = todo.join(main, "bucket").where((F.col("root") != F.col("main")) | F.lit(rank == 2))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc_nulls_last("q"), "node"))
+        ranked = todo.where((F.col("root") != F.col("main")) | F.lit(rank == 2))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("q"), "node"))
         lead = written(ranked.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "w", "s", "q"))), "leaders")
         dealt = lead.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         fits = lambda q, s, w, n: F.col(w) * F.col(q) / (1 + F.col(q)) >= F.col(n) - F.col(s) - slip
         able = (F.col("q") + F.col("l_q") >= spare - slip) & fits("q", "s", "l_w", "l_n") & fits("l_q", "l_s", "w", "n")
-        met = todo.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).where("root != l_root").where(F.coalesce(able, F.lit(True)))
+        met = todo.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).where("root != l_root").where(able)
         new = written(verify(met.select(*pair("node", "l_node")).distinct(), sets, similarity=similarity), "links")
-        todo = todo.select("bucket", "node").join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
+        todo = todo.select("bucket", "node", "n", "w", "s", "q").join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
         if not new.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
         leaders, rank = leaders * MORE, rank + 1

@@ -226,6 +226,21 @@ def test_minhash_large_group(spark):
     assert 20 < len(set(want.values())) < len(docs)
 
 
+def test_shingles_are_taken_apart_once(spark, monkeypatch):
+    """However many rounds of leaders a large group needs, its shingles are counted in one pass."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 140).tolist()
+    docs = [base] + [edited(rng, base, words, int(c)) for c in rng.integers(1, 22, 150)]
+    docs += [edited(rng, d, words, 3) for d in docs[5:25]] + [d[:-20] for d in docs[30:40]]
+    names, passes, written, bounds = [], [], minhash.written, minhash.bounds
+    monkeypatch.setattr(minhash, "written", lambda df, name: names.append(name) or written(df, name))
+    monkeypatch.setattr(minhash, "bounds", lambda *a: passes.append(a) or bounds(*a))
+    minhash.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA)).collect()
+    assert names.count("leaders") == 2
+    assert len(passes) == names.count("shingles") == 1
+
+
 def test_drop_near_duplicates(spark):
     a, b = "one text of nine words that is here twice", "another text of some other words, here only once"
     rows = [(2, a, 1), (5, a, 2), (5, b, 3), (7, a + "!", 4), (2, a, 5), (None, a, 6), (None, "unlike all of the others that are here", 7), (None, None, 8), (9, None, 9), (9, None, 10)]
