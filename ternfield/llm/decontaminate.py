@@ -19,7 +19,7 @@ import os
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +150,20 @@ def word_set(words: DataFrame) -> Words:
     return MappedWords(folder)
 
 
+#: Characters of ASCII texts that are in no word; apostrophes may be.
+BLANKS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha() and chr(c) != "'"})
+
+
+def cased_words(text: str) -> Iterable[tuple[str, str]]:
+    """The words of LETTERS in a text, as written and in lower case. Plain splitting finds those of ASCII texts."""
+    if not text.isascii():
+        return ((w, w.lower()) for w in LETTERS.findall(text))
+    words = text.translate(BLANKS).split()
+    if "'" in text:
+        words = [x for w in words for x in (LETTERS.findall(w) if "'" in w else (w,))]
+    return zip(words, map(str.lower, words), strict=True)
+
+
 def usual_words(docs: DataFrame, asked: Words, text_col: str) -> DataFrame:
     """(word): those of the asked words that the documents use, and uncapitalised at least as often as capitalised."""
     small_batches(docs.sparkSession)
@@ -158,7 +172,7 @@ def usual_words(docs: DataFrame, asked: Words, text_col: str) -> DataFrame:
         for b in batches:
             counts: Counter[str] = Counter()
             for text in b.column(text_col).to_pylist():
-                counts.update(LETTERS.findall(text or ""))
+                counts.update(w for w, low in cased_words(text or "") if low in asked)
             found = [(low, n if not w[0].isupper() else -n) for w, n in counts.items() if (low := w.lower()) in asked]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
 
@@ -194,13 +208,36 @@ def windows_of_items(benchmark: DataFrame, plain: Words, *, id_col: str, text_co
     return benchmark.select(id_col, text_col).mapInArrow(each, f"item {kind}, h bigint, size bigint, item_at array<bigint>, item_slots array<string>, shape array<string>")
 
 
-def windows_of_docs(docs: DataFrame, plain: Words, widths: list[int], known: frozenset[int] | None, pairs: frozenset[tuple[str, str]], *, id_col: str, text_col: str) -> DataFrame:
+def telling_words(items: Iterable[tuple[int, list[list[str]]]], similarity: float) -> frozenset[str] | None:
+    """Words of which a text holds one if it holds ``similarity`` or more of an item's windows; None if an item has too few words.
+
+    A text that leaks holds one of any so many windows of an item that the others are too few: those of the item's rarest
+    words are taken. items: of each item the size, which the share is of, and the template words of its distinct windows."""
+    items = list(items)
+    spread = Counter(w for _, shapes in items for w in {w for s in shapes for w in s})
+    out: set[str] = set()
+    for n, shapes in items:
+        need = next((k for k in range(max(math.ceil(similarity * n) - 1, 0), n + 1) if k / n >= similarity), len(shapes) + 1)
+        left, more = list(shapes), len(shapes) - need + 1
+        while more > 0:
+            rest = {w for s in left for w in s} - set(SLOTS)
+            if not rest:
+                return None
+            word = min(rest, key=lambda w: (spread[w], w not in out, -len(w), w))
+            out.add(word)
+            held = [s for s in left if word not in s]
+            more -= len(left) - len(held)
+            left = held
+    return frozenset(out)
+
+
+def windows_of_docs(docs: DataFrame, plain: Words, widths: list[int], known: frozenset[int] | None, pairs: frozenset[tuple[str, str]], telling: frozenset[str] | None = None, *, id_col: str, text_col: str) -> DataFrame:
     """(doc, h, doc_at, doc_slots): distinct windows of each row, of each width that items have, with all their places and the slots there.
 
     A window without slots has its first place alone. Places of rows with different texts are far apart.
 
     ``known``: the hashes of the benchmark's windows, if few enough, and ``pairs`` the pairs of words next to
-    each other in them; without these every window is returned.
+    each other in them; without these every window is returned. ``telling``: texts without any of these words are left out.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -209,7 +246,7 @@ def windows_of_docs(docs: DataFrame, plain: Words, widths: list[int], known: fro
         for b in batches:
             ids, hs, ats, vals = [], [], [], []
             for doc, text in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), strict=True):
-                if not text:
+                if not text or telling is not None and not holds_any(text, telling):
                     continue
                 shape, words = template(text, plain)
                 got: dict[int, tuple[list[int], list[str]]] = {}
@@ -232,6 +269,14 @@ def windows_of_docs(docs: DataFrame, plain: Words, widths: list[int], known: fro
     return docs.select(id_col, text_col).mapInArrow(each, f"doc {kind}, h bigint, doc_at array<bigint>, doc_slots array<string>")
 
 
+def holds_any(text: str, words: frozenset[str]) -> bool:
+    """Whether one of the words may be among the text's template words: it may hold more than those."""
+    if not text.isascii():
+        return not words.isdisjoint(w.lower() for w in LETTERS.findall(text))
+    blank = text.lower().translate(BLANKS)
+    return not (words.isdisjoint(blank.split()) and ("'" not in text or words.isdisjoint(LETTERS.findall(blank))))
+
+
 class Held:
     """A window of an item that a document holds: (place, slots) in the item, slots by place in the document."""
 
@@ -315,11 +360,15 @@ def row_leaks(docs: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id
     items = written(windows_of_items(benchmark, plain, id_col=item_col, text_col=item_text_col), "benchmark-windows")
     n, widths = items.count(), sorted(r[0] for r in items.select(F.size("shape")).distinct().collect())
     few = 64 * n <= FILTER_BYTES
-    near = items.select("h", "shape").collect() if few else []
+    near = items.select("item", "size", "h", "shape").collect() if few else []
     known = frozenset(r["h"] for r in near) if few else None
     pairs = frozenset(p for r in near for p in zip(r["shape"], r["shape"][1:], strict=False))
+    shapes: dict = {}
+    for r in near:
+        shapes.setdefault((r["item"], r["size"]), {})[r["h"]] = r["shape"]
+    telling = telling_words(((size, list(x.values())) for (_, size), x in shapes.items()), similarity) if few else None
     items = items.drop("shape")
-    found = windows_of_docs(docs, plain, widths, known, pairs, id_col=id_col, text_col=text_col)
+    found = windows_of_docs(docs, plain, widths, known, pairs, telling, id_col=id_col, text_col=text_col)
     hits = found.join(F.broadcast(items) if few else items, "h")
     held = hits.groupBy("doc", "item", "size").agg(F.collect_list(F.struct("h", "item_at", "item_slots", "doc_at", "doc_slots")).alias("hits"))
     held = held.where(F.size(F.array_distinct("hits.h")) / F.col("size") >= similarity)

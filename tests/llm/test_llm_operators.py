@@ -313,6 +313,32 @@ def test_decontaminate_by_mapped_words(spark, monkeypatch):
     assert isinstance(decontaminate.plain_words(docs, items, text_col="text", item_text_col="text"), decontaminate.MappedWords)
 
 
+def test_texts_without_telling_words_do_not_leak():
+    """Texts are passed over only if they hold too few windows of each item; plain splitting finds the words of the pattern."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnst"]
+    plain = frozenset(words)
+    items = [{h: s for h, s, _ in decontaminate.item_windows(" ".join(rng.choice(words, 12)), plain)} for _ in range(8)]
+    telling = decontaminate.telling_words([(len(x), list(x.values())) for x in items], 0.8)
+    leaking = passed = 0
+    for i in range(3000):
+        of = [s for x in items for s in x.values()][i % 60]
+        base = list(items[i % 8].values())
+        text = [s[0] for s in base] + base[-1][1:] if i % 3 else list(of)
+        for at in rng.integers(0, len(text), int(rng.integers(0, 3))):
+            text[at] = str(rng.choice(words))
+        text = "'".join([" ".join(text[:3]), " ".join(text[3:])]) if i % 5 == 0 else ", ".join([" ".join(text[:3]), " ".join(text[3:])])
+        shape, _ = decontaminate.template(text, plain)
+        held = {decontaminate._hash(shape[j : j + 5]) for j in range(len(shape) - 4)}
+        leaks, may = any(len(held & x.keys()) / len(x) >= 0.8 for x in items), decontaminate.holds_any(text, telling)
+        assert may or not leaks
+        leaking, passed = leaking + leaks, passed + (not may)
+    assert leaking > 500 and passed > 100
+    assert decontaminate.telling_words([(1, [["<num>", "<unit>"]])], 0.8) is None
+    for text in ("it's 'so' l’été d'or_b2c _x", "'a''b' c'", "K’s ı", ""):
+        assert [w for w, _ in decontaminate.cased_words(text)] == decontaminate.LETTERS.findall(text)
+
+
 def test_pii(spark):
     texts = ["mail a.b@c-d.example.com or 10.0.0.256 and 10.0.0.25", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +1 (988) 555-2485 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, ""]
     texts += [f'password={hashlib.md5(str(i).encode()).hexdigest()} x' for i in range(30)]
