@@ -20,7 +20,12 @@ foreign weight be r times its other weight. Two nodes of different classes have
 similarity of at most 1 / (1 + r1 + r2): a term of it is at most f(x, y) = 1 / (1 / x + u / y) for the two
 shares x, y of a shingle and the other's foreign share u, and f is concave and homogeneous, so the terms' sum
 is at most f of the sums. Nor can the other's shared weight exceed the number of this one's shared shingles
-and its own weight in repeats. Nodes and pairs that these bounds exclude are not compared.
+and its own weight in repeats.
+
+Near copies of one text share most shingles and yet lack different ones. Hashes fall into BLOCKS blocks; two nodes share at
+most the sum k of the lesser counts of each block, and hold at least the sum of the greater ones together. With e the greater
+of their weights in repeats, f as above gives a similarity of at most (k + e) / (m + n - k) for m and n shingles. Nodes
+and pairs that these bounds exclude are not compared.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ LEADERS, MORE = 4, 8
 SALTS = 8
 #: Shingles of a node that stay together when they are dealt out.
 PART = 8
+#: Blocks of hashes in which a node's shingles are counted.
+BLOCKS = 128
 #: Most words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -125,11 +132,11 @@ def similarity_of(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
     return float(total)
 
 
-NODES_SQL = "th bigint, key binary, words bigint, bands array<bigint>, sketch binary, shingles array<int>, counts array<int>"
+NODES_SQL = "th bigint, key binary, words bigint, bands array<bigint>, shingles array<int>, counts array<int>"
 
 
 def nodes(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, key, words, bands, sketch, shingles, counts): th is the text's hash, key stands for its words."""
+    """(doc, th, key, words, bands, shingles, counts): th is the text's hash, key stands for its words."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,28 +161,16 @@ def nodes(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             low = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = lambda values: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, pa.int32()))
             band = [x if n else [] for x, n in zip(bands(sig).tolist(), sizes, strict=True)]
-            sketch = [x.tobytes() for x in (sig & np.uint64(0xFF)).astype("u1")]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), lists(low), lists(times)], ["doc", "th", "key", "words", "bands", "sketch", "shingles", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band, pa.list_(pa.int64())), lists(low), lists(times)], ["doc", "th", "key", "words", "bands", "shingles", "counts"])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     return texts.mapInArrow(each, f"doc {docs.schema[id_col].dataType.simpleString()}, {NODES_SQL}")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that are linked. Pairs whose sketches agree too seldom for that are put aside before.
-
-    Of k places, a pair at ``similarity`` agrees in k * similarity on average; five standard deviations below
-    are still compared.
-    """
-    least = int(K * similarity - 5 * (K * similarity * (1 - similarity)) ** 0.5)
+    """The pairs (a, b) that are linked."""
     small_batches(pairs.sparkSession)
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u1").reshape(-1, K) for c in ("sa", "sb"))
-            ok = pa.array((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(ok)
-
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = {}
@@ -194,8 +189,7 @@ def verify(pairs: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     side = lambda n, *cols: sets.select(F.col("node").alias(n), *(F.col(c).alias(x) for c, x in cols))
-    near = pairs.join(side("a", ("sketch", "sa")), "a").join(side("b", ("sketch", "sb")), "b").mapInArrow(close, "a bigint, b bigint")
-    both = near.join(side("a", ("shingles", "ha"), ("counts", "ca")), "a").join(side("b", ("shingles", "hb"), ("counts", "cb")), "b")
+    both = pairs.join(side("a", ("shingles", "ha"), ("counts", "ca")), "a").join(side("b", ("shingles", "hb"), ("counts", "cb")), "b")
     return both.mapInArrow(linked, "a bigint, b bigint")
 
 
@@ -235,9 +229,28 @@ def in_parts(sets: DataFrame) -> DataFrame:
     return sets.where(n > 0).select("node", "root", F.inline(each))
 
 
+def measures(sets: DataFrame) -> DataFrame:
+    """(node, n, w, m, blocks): shingles, their weight, how many of their hashes differ, and how many of these each block has."""
+    small_batches(sets.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(b.column("shingles").offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(b)), n)
+            h, c = (b.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("shingles", "counts"))
+            w = np.bincount(row, weight(c), len(b))
+            own = np.unique(row << 32 | h.view(np.uint32))
+            blocks = np.bincount((own >> 32) * BLOCKS + own % BLOCKS, minlength=len(b) * BLOCKS)
+            m = blocks.reshape(-1, BLOCKS).sum(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BLOCKS, pa.int32()), pa.array(blocks, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n), pa.array(w), pa.array(m), lists], ["node", "n", "w", "m", "blocks"])
+
+    return sets.select("node", "shingles", "counts").mapInArrow(each, "node bigint, n bigint, w double, m bigint, blocks array<int>")
+
+
 def bounds(of: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, w, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class there: their shingles,
-    these shingles' weight, how many of them other classes hold too, and the weight of the rest over that of those.
+    """(node, n, w, m, blocks, s, r) of the nodes in ``of`` (node, root) that share a shingle with another class there: their
+    measures, how many of their shingles other classes hold too, and the weight of the rest over that of those.
 
     Each shingle of a node is taken apart and written once. Classes are joined to parts, and parts dealt out evenly, before
     that. The rest is what is counted: a shingle that one node holds is known by its group, and only those that several nodes
@@ -250,14 +263,13 @@ def bounds(of: DataFrame, sets: DataFrame) -> DataFrame:
     own = foreign.where("node0 = node1").select(F.col("node0").alias("node"), "k", "x")
     wide = now.join(foreign.where("node0 != node1").select("h"), "h").select("node", F.lit(1).cast("bigint").alias("k"), "x")
     rest = own.unionAll(wide).groupBy("node").agg(F.sum("k").alias("k"), F.sum("x").alias("x"))
-    w = F.aggregate("counts", F.lit(0.0), lambda a, c: a + 1 + F.log(c))
-    whole = mine.select("node", F.size("shingles").alias("n"), w.alias("w")).join(rest, "node", "left")
+    whole = measures(mine).join(rest, "node", "left")
     shared, x = F.col("n") - F.coalesce("k", F.lit(0)), F.coalesce("x", F.lit(0.0))
-    return whole.where(shared > 0).select("node", "n", "w", shared.alias("s"), (x / (F.col("w") - x)).alias("r"))
+    return whole.where(shared > 0).select("node", "n", "w", "m", "blocks", shared.alias("s"), (x / (F.col("w") - x)).alias("r"))
 
 
 def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the nodes that have links. buckets: (bucket, node, lead); sets: (node, sketch, shingles, counts).
+    """(node, root) of the nodes that have links. buckets: (bucket, node, lead); sets: (node, shingles, counts).
 
     Bounds are taken once, with the classes of the first round: classes only grow, so what was foreign stays foreign."""
     spare, slip = 1 / similarity - 1, 1e-9
@@ -270,11 +282,12 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
     todo = written(named.join(open_.select("bucket"), "bucket"), "open")
     if todo.isEmpty():
         return roots
+    told = ["n", "w", "m", "blocks", "s", "q"]
     # A node stays if some weight and number of shingles in its bucket could be a partner's.
     bound = bounds(todo.select("node", "root").distinct(), sets).withColumn("q", spare - F.col("r")).where(F.col("q") >= -slip).drop("r")
     at = written(todo.select("bucket", "node").join(bound, "node"), "bounds")
     most = at.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("w").alias("w1"))
-    todo = at.join(most, "bucket").where(F.col("w1") * F.col("q") / (1 + F.col("q")) >= F.col("n0") - F.col("s") - slip).select("bucket", "node", "n", "w", "s", "q")
+    todo = at.join(most, "bucket").where(F.col("w1") * F.col("q") / (1 + F.col("q")) >= F.col("n0") - F.col("s") - slip).select("bucket", "node", *told)
     leaders, rank = LEADERS, 2
     while True:
         named = todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -285,13 +298,16 @@ def link_classes(buckets: DataFrame, sets: DataFrame, *, similarity: float = SIM
             return roots
         ranked = todo.where((F.col("root") != F.col("main")) | F.lit(rank == 2))
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("q"), "node"))
-        lead = written(ranked.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "w", "s", "q"))), "leaders")
+        lead = written(ranked.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", *told))), "leaders")
         dealt = lead.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         fits = lambda q, s, w, n: F.col(w) * F.col(q) / (1 + F.col(q)) >= F.col(n) - F.col(s) - slip
         able = (F.col("q") + F.col("l_q") >= spare - slip) & fits("q", "s", "l_w", "l_n") & fits("l_q", "l_s", "w", "n")
+        both = F.aggregate(F.zip_with("blocks", "l_blocks", lambda x, y: F.least(x, y)), F.lit(0), lambda a, k: a + k)
+        repeats = F.greatest(F.col("w") - F.col("n"), F.col("l_w") - F.col("l_n"))
+        able &= (1 + similarity) * both >= similarity * (F.col("m") + F.col("l_m")) - repeats - slip
         met = todo.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).where("root != l_root").where(able)
         new = written(verify(met.select(*pair("node", "l_node")).distinct(), sets, similarity=similarity), "links")
-        todo = todo.select("bucket", "node", "n", "w", "s", "q").join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
+        todo = todo.select("bucket", "node", *told).join(lead.select("bucket", F.col("l_node").alias("node")), ["bucket", "node"], "left_anti")
         if not new.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
         leaders, rank = leaders * MORE, rank + 1
@@ -306,7 +322,7 @@ def row_classes(docs: DataFrame, *, id_col: str, text_col: str, similarity: floa
     sizes = met.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("bucket", "lead")
     buckets = written(met.join(sizes, "bucket").select("bucket", "node", "lead"), "buckets")
     wanted = keys.select("key", "node").join(buckets.select("node").distinct(), "node")
-    sets = written(named.select("key", "sketch", "shingles", "counts").join(wanted, "key").groupBy("node").agg(*(F.first(c).alias(c) for c in ("sketch", "shingles", "counts"))), "sets")
+    sets = written(named.select("key", "shingles", "counts").join(wanted, "key").groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", "counts"))), "sets")
     roots = link_classes(buckets, sets, similarity=similarity)
     of = all_nodes.select("doc", "th", F.when(F.col("words") > 0, F.col("key")).alias("key")).join(keys.select("key", "node"), "key", "left")
     return of.join(roots, "node", "left").select("doc", "th", F.coalesce("root", "node").alias("root"))

@@ -241,6 +241,43 @@ def test_shingles_are_taken_apart_once(spark, monkeypatch):
     assert len(passes) == names.count("shingles") == 1
 
 
+def test_unlinked_near_copies_are_hardly_compared(spark, monkeypatch):
+    """After the first round, a pair of near copies that its blocks show to be too far apart is not compared."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 140).tolist()
+    docs = [base] + [edited(rng, base, words, int(c)) for c in rng.integers(3, 9, 90)]
+    compared, verify = [], minhash.verify
+
+    def counted(pairs, *a, **k):
+        pairs = minhash.written(pairs, "pairs")
+        compared.append(pairs.count())
+        return verify(pairs, *a, **k)
+
+    monkeypatch.setattr(minhash, "verify", counted)
+    minhash.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA)).collect()
+    assert len(compared) > 1
+    assert sum(compared[1:]) < 40
+
+
+def test_blocks_bound_the_similarity(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for i in range(60):
+        h = np.sort(rng.choice(400, rng.integers(1, 300), replace=False)).astype(np.int32) * np.int32(7919) - np.int32(1_000_000)
+        sets.append((i, h.tolist(), (rng.integers(1, 9, len(h)) if i % 2 else np.ones(len(h), int)).tolist()))
+    got = {r["node"]: r for r in minhash.measures(spark.createDataFrame(sets, "node bigint, shingles array<int>, counts array<int>")).collect()}
+    for i, h, c in sets:
+        assert (got[i]["n"], got[i]["m"], sum(got[i]["blocks"])) == (len(h),) * 3
+        assert abs(got[i]["w"] - minhash.weight(np.array(c)).sum()) < 1e-9
+        for j, g, d in sets[:i]:
+            x, y = got[i], got[j]
+            k = np.minimum(x["blocks"], y["blocks"]).sum()
+            most = (k + max(x["w"] - x["n"], y["w"] - y["n"])) / (x["m"] + y["m"] - k)
+            (a, wa), (b, wb) = ((np.array(s)[np.argsort(s)], minhash.weight(np.array(t))[np.argsort(s)]) for s, t in ((h, c), (g, d)))
+            assert minhash.similarity_of(a, wa, b, wb) <= most + 1e-9
+
+
 def test_drop_near_duplicates(spark):
     a, b = "one text of nine words that is here twice", "another text of some other words, here only once"
     rows = [(2, a, 1), (5, a, 2), (5, b, 3), (7, a + "!", 4), (2, a, 5), (None, a, 6), (None, "unlike all of the others that are here", 7), (None, None, 8), (9, None, 9), (9, None, 10)]
