@@ -4,8 +4,9 @@
    leaves each word of the corpus once.
 2. Merges. Words that are pieces have one id, by a join with the vocabulary, whose size the file bounds. Another
    word is an array of its bytes' ids. A fold merges, again and again, the adjacent pieces of least rank, until
-   no adjacent pieces have one. Ranks are a literal: a flat hash table from the ids of two pieces to the rank
-   of both together, which is its id, with two places for each key, since Spark scans a map for a key.
+   no adjacent pieces have one. Ranks are a flat hash table from the ids of two pieces to the rank of both
+   together, which is its id, with two places for each key, since Spark scans a map for a key. It is a broadcast
+   row, which a row of some thousand words meets, as a literal is copied into each plan and its text on the driver.
 3. Word file. The distinct words' ids go to flat files in the shared folder, by hash: a sorted array of
    hashes, one of offsets, and the words with their ids. Tasks map them into memory and find by bisection
    only the words that they have not met yet, so no task loads the vocabulary of the corpus.
@@ -18,13 +19,11 @@ library instead, with equal results. Decoding concatenates the ids' binary piece
 from __future__ import annotations
 
 import base64
-import json
 import mmap
 import os
-import re
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,10 +36,14 @@ from pyspark.sql import functions as F
 from ternfield.llm.common import posix_dir, small_batches, written
 
 FOLD_BYTES = 1024
-#: Low bits of an entry of the rank map, for the id.
+#: Low bits of an entry of the rank map, for the id. A piece of a word has as many for its id and as many for its place above.
 SHIFT = 20
+#: A rank that no pair has.
+NONE = (1 << 23) - 1
 #: Words and chunks that a task gathers before it hands them on, and chunks that a worker keeps with their ids.
-GATHER_WORDS, CACHE_WORDS = 300_000, 300_000
+GATHER_WORDS, CACHE_WORDS = 300_000, 500_000
+#: Chunks that are matched together.
+JOINED = 50_000
 #: Words in each file of the word table, about.
 SHARD_WORDS = 400_000
 
@@ -83,44 +86,77 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def fold_merges(word: Column, table: Column, n: int, p: int, q: int, byte_ids: Column) -> Column:
-    """The ids of a word that is no piece itself. The fold carries the pieces' ids and those of adjacent pairs (an id
-    is the rank of its merge); a merge looks up two new pairs."""
-    latin = F.decode(F.encode(word, "utf-8"), "iso-8859-1")  # a character a byte
-    none = F.lit((1 << 31) - 1)
-    first = let(latin, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.get(byte_ids, F.ascii(F.substring(s, i, F.lit(1))))))
+def byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the 256 bytes, and the rank of each two bytes together: of a and b at 256 * a + b."""
+    pairs = np.full(1 << 16, NONE, np.int64)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            pairs[piece[0] << 8 | piece[1]] = rank
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int64), pairs
+
+
+def packed(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(words, cells) of words (word, whole): a row for each Arrow batch. A cell has whole, and for words to be folded
+    the pieces, a byte each: the rank of it and the next one together (NONE for the last), its place in the word, its id. Other
+    words have none."""
+    byte_ids, pairs = byte_tables(ranks)
+    small_batches(words.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            word, whole = b.column("word").cast(pa.string()), b.column("whole")
+            at = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(b) + 1]
+            n = np.diff(at)
+            fold = whole.is_null().to_numpy(zero_copy_only=False) & (n <= FOLD_BYTES)
+            raw = np.frombuffer(word.buffers()[2] or b"", np.uint8)[at[0] : at[-1]][np.repeat(fold, n)]
+            cut = np.concatenate([[0], np.cumsum(np.where(fold, n, 0))])
+            r = np.full(len(raw), NONE, np.int64)
+            r[:-1] = pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+            r[cut[1:][fold & (n > 0)] - 1] = NONE
+            place = np.arange(len(raw)) - np.repeat(cut[:-1], np.diff(cut))
+            pieces = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(r << 2 * SHIFT | place << SHIFT | byte_ids[raw]))
+            cells = pa.StructArray.from_arrays([whole, pieces], ["whole", "pieces"])
+            one = pa.array([0, len(b)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, x) for x in (word, cells)], ["words", "cells"])
+
+    return words.mapInArrow(each, "words array<string>, cells array<struct<whole: int, pieces: array<bigint>>>")
+
+
+def fold_merges(pieces: Column, table: Column, n: int, p: int, q: int) -> Column:
+    """The ids of a word that is no piece itself. The fold carries its pieces: the least number is the leftmost of the pairs of
+    least rank, which is the id of their merge. A merge looks up two new pairs."""
+    none, low = F.lit(NONE).cast("long"), (1 << SHIFT) - 1
 
     def of(key: Column, entry: Column, otherwise: Column) -> Column:
-        return F.when(F.shiftright(entry, SHIFT) == key, entry.bitwiseAND((1 << SHIFT) - 1).cast("int")).otherwise(otherwise)
+        return F.when(F.shiftright(entry, SHIFT) == key, entry.bitwiseAND(low)).otherwise(otherwise)
 
     def pair(a: Column, b: Column) -> Column:
         at = lambda key: of(key, F.get(table, (key % p).cast("int")), of(key, F.get(table, (key % q + p).cast("int")), none))
-        return let(a.cast("long") * n + b, at)
-
-    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
+        return F.shiftleft(let(a * n + b, at), 2 * SHIFT)
 
-    def merge(s: Column, _: Column) -> Column:
-        p, r = s["p"], s["r"]
+    def merge(w: Column, _: Column) -> Column:
+        def at(i: Column, least: Column) -> Column:
+            new, before = F.shiftright(least, 2 * SHIFT), F.get(w, i - 1)
+            left = F.when(i > 0, F.array(pair(before.bitwiseAND(low), new).bitwiseOR(before.bitwiseAND((1 << 2 * SHIFT) - 1)))).otherwise(F.array().cast("array<bigint>"))
+            both = pair(new, F.get(w, i + 2).bitwiseAND(low)).bitwiseOR(least.bitwiseAND(low << SHIFT)).bitwiseOR(new)
+            return F.concat(F.slice(w, F.lit(1), F.greatest(i - 1, F.lit(0))), left, F.array(both), F.slice(w, i + 3, F.size(w)))
 
-        def at(i: Column, new: Column) -> Column:
-            left = F.when(i > 0, F.array(pair(F.get(p, i - 1), new))).otherwise(F.array().cast("array<int>"))
-            ids = F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p)))
-            return state(ids, F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, F.array(pair(new, F.get(p, i + 2))), F.slice(r, i + 3, F.size(r))))
+        step = lambda least: let(F.array_position(w, least).cast("int") - 1, lambda i: at(i, least))
+        return let(F.array_min(w), lambda least: F.when(least >= NONE << 2 * SHIFT, w).otherwise(step(least)))
 
-        return let(F.array_min(r), lambda least: F.when(least == none, s).otherwise(let(F.array_position(r, least).cast("int") - 1, lambda i: at(i, least))))
+    rounds = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
+    return F.aggregate(rounds, pieces, merge, lambda w: F.transform(w, lambda x: x.bitwiseAND(low).cast("int")))
 
-    pairs = lambda p: F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))  # noqa: E731  the last is of no pair
-    folded = let(first, lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), state(p, pairs(p)), merge))
-    return let(folded, lambda s: s["p"])
 
-
-#: White space other than single blanks and line breaks: such texts are matched as a whole.
-UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|\x00")
+#: White space other than single blanks and line breaks: texts with any are matched as a whole.
+UNEVEN = ["\0", "  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
 
 def chunks(text: str) -> list[str] | None:
     """Parts of a text that the pattern never joins: line breaks, and runs without blanks with the blank before; None if there may be none."""
-    if UNEVEN.search(text):
+    if any(x in text for x in UNEVEN):
         return None
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
@@ -134,8 +170,10 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
         find, seen, words = regex.compile(pattern).findall, set(), set()
 
         def found() -> pa.RecordBatch:
-            for c in seen:
-                words.update(find(c))
+            words.update(seen & {" ", "\n"})
+            plain = list(seen - {"", " ", "\n"})
+            for i in range(0, len(plain), JOINED):
+                words.update(w for w in set(find("\n".join(plain[i : i + JOINED]))) if w != "\n")
             batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
             seen.clear()
             words.clear()
@@ -156,29 +194,18 @@ def distinct_words(docs: DataFrame, *, text_col: str, pattern: str) -> DataFrame
     return docs.select(text_col).mapInArrow(each, "word string").distinct()
 
 
-@contextmanager
-def planned_once(spark: SparkSession) -> Iterator[None]:
-    """No adaptive planning meanwhile: each new plan is also written out as text, literals and all, on the driver's heap."""
-    name = "spark.sql.adaptive.enabled"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
 def encode_words(words: DataFrame, ranks: dict[bytes, int], *, pattern: str) -> DataFrame:
     """(word, ids) of distinct words."""
+    spark = words.sparkSession
     table, *sizes = rank_table(ranks)
-    literal = F.from_json(F.lit(json.dumps(table.tolist())), "array<bigint>")
-    byte_ids = F.array(*[F.lit(ranks.get(bytes([b]))) for b in range(256)])
     known = pa.table({"piece": pa.array(ranks.keys(), pa.binary()), "whole": pa.array(ranks.values(), pa.int32())})
-    vocabulary = written(words.sparkSession.createDataFrame(known).coalesce(1), "vocabulary")
-    named = words.join(F.broadcast(vocabulary), F.encode("word", "utf-8") == F.col("piece"), "left")
-    fold = F.when(F.octet_length("word") <= FOLD_BYTES, let(literal, lambda t: fold_merges(F.col("word"), t, *sizes, byte_ids)))
-    with planned_once(words.sparkSession):
-        folded = written(named.select("word", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(fold).alias("ids")), "words")
+    vocabulary = written(spark.createDataFrame(known).coalesce(1), "vocabulary")
+    row = written(spark.createDataFrame(pa.table({"table": pa.array([table], pa.list_(pa.int64()))})).coalesce(1), "ranks")
+    named = words.join(F.broadcast(vocabulary), F.encode("word", "utf-8") == F.col("piece"), "left").select("word", "whole")
+    folded = lambda c, t: F.when(F.size(c["pieces"]) > 0, fold_merges(c["pieces"], t, *sizes))
+    ids = let(F.col("table"), lambda t: F.transform("cells", lambda c: F.when(c["whole"].isNotNull(), F.array(c["whole"])).otherwise(folded(c, t))))
+    met = packed(named, ranks).join(F.broadcast(row))
+    folded = written(met.select(F.inline(F.arrays_zip(F.col("words").alias("word"), ids.alias("ids")))), "words")
     long = folded.where(F.col("ids").isNull()).select("word")
     if long.isEmpty():
         return folded
@@ -251,46 +278,77 @@ class WordFiles:
             self.open[k] = (np.memmap(f"{self.folder}/hash-{k}", "<i8", "r"), np.memmap(f"{self.folder}/end-{k}", "<i8", "r"), data)
         return self.open[k]
 
-    def ids(self, words: list[str]) -> dict[str, bytes]:
+    def ids(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word, None for those that are not in the table."""
         raw = [w.encode() for w in words]
         h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, len(raw)).astype(np.int64)
-        of, out = h % self.shards, {}
+        of, out = h % self.shards, [None] * len(words)
         for k in np.unique(of).tolist():
             hashes, ends, data = self.shard(k)
             at = np.flatnonzero(of == k)
             found = np.searchsorted(hashes, h[at])
+            there = found < len(hashes)
+            there[there] = hashes[found[there]] == h[at[there]]
+            at, found = at[there], found[there]
             starts = np.where(found > 0, ends[found - 1], 0)
             for i, j, start, end in zip(at.tolist(), found.tolist(), starts.tolist(), ends[found].tolist(), strict=True):
                 while True:
                     n = int.from_bytes(data[start : start + 4], "little") + start + 4
                     if data[start + 4 : n] == raw[i]:
+                        out[i] = data[n:end]
+                        break
+                    j += 1
+                    if j == len(hashes) or hashes[j] != h[i]:
                         break
-                    j, start, end = j + 1, end, int(ends[j + 1])  # another word of the same hash
-                out[words[i]] = data[n:end]
+                    start, end = end, int(ends[j])  # another word of the same hash
         return out
 
 
+class Places(dict):
+    """chunk -> a number, in the order of their first coming."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
 class Encoder:
-    """texts -> ids as bytes. Keeps the ids of the chunks it met of late: up to CACHE_WORDS new and as many older ones."""
+    """texts -> ids. Keeps the ids of the chunks it met, until these are more than CACHE_WORDS."""
 
     def __init__(self, files: WordFiles, pattern: str):
         self.files, self.find, self.even = files, regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
-        self.new, self.old = {}, {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(chunks(t) if self.even else None) if t else [] for t in texts]
-        whole = {i: self.find(texts[i]) for i, s in enumerate(split) if s is None}
-        need = set().union(*(s for s in split if s)) - self.new.keys()
-        if len(self.new) + len(need) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
-            need = set().union(*(s for s in split if s))
-        again = need & self.old.keys()
-        self.new.update((c, self.old[c]) for c in again)
-        parts = {c: self.find(c) for c in need - again}
-        ids = self.files.ids(list(set().union(*parts.values(), *whole.values())))
-        self.new.update((c, ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w])) for c, w in parts.items())
-        known = self.new
-        return [b"".join([ids[w] for w in whole[i]]) if s is None else b"".join([known[c] for c in s]) for i, s in enumerate(split)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.places, self.flat, self.cut = Places(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def add(self, fresh: list[str]) -> None:
+        """A chunk that is in the table is one match of the pattern: looking ahead matters to blanks alone."""
+        ids = self.files.ids(fresh)
+        parts = {i: self.find(fresh[i]) for i, x in enumerate(ids) if x is None}
+        words = list(set().union(*parts.values()))
+        known = dict(zip(words, self.files.ids(words), strict=True))
+        for i, p in parts.items():
+            ids[i] = b"".join([known[w] for w in p])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.cut = np.concatenate([self.cut, self.cut[-1] + np.cumsum([len(x) // 4 for x in ids])])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end)."""
+        if len(self.places) > CACHE_WORDS:
+            self.clear()
+        split = []
+        for t in texts:
+            parts = (chunks(t) if self.even else None) if t else []
+            split.append(self.find(t) if parts is None else parts)
+        old = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(self.places) > old:
+            self.add(list(self.places)[old:])
+        n = self.cut[at + 1] - self.cut[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.cut[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])]
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -311,10 +369,8 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", ran
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(WordFiles(folder, shards), pattern)
         for b in batches:
-            raw = encoder.encode(b.column(text_col).to_pylist())
-            flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-            cut = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
-            ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))
+            flat, cut = encoder.encode(b.column(text_col).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), ids], [*rest, ids_col])
 
     return docs.select(*rest).mapInArrow(each, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), f"`{ids_col}` array<int>"]))

@@ -59,6 +59,42 @@ def test_byte_bpe(spark):
     assert byte_bpe.encode(empty(spark)).count() == 0
 
 
+def longest_plan(spark, after):
+    """Most characters in the plans that the driver keeps of executions later than the first ``after``."""
+    seen = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((len(seen.apply(i).physicalPlanDescription()) for i in range(after, seen.size())), default=0)
+
+
+def test_byte_bpe_plans_hold_no_ranks(spark):
+    """The rank table is a broadcast row: as a literal it was copied into plans and their texts on the driver."""
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    texts = ["some words, \u00e9t\u00e9 nonsensical", "w\u00f6rterchen x!! ##", "'s don't x's y", "", " ", "a\nb \tc", "\x1cq\u3000 z"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert byte_bpe.encode(df).count() == len(texts)
+    assert 0 < longest_plan(spark, before) < 100_000
+
+
+def test_byte_bpe_chunks(spark, tmp_path, monkeypatch):
+    """Chunks of several words, of blanks alone and at the ends of texts, with a cache that is emptied at each batch."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 3)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = np.random.default_rng(4)
+    signs = list("ab'sd1\u00e9\u00df\u4e2d,.!# \n") + ["\n", " ", "'ll", "\U0001f600"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(400)] + ["a" * 1024 + " " + "ab" * 600, " \n", "\n ", "\n", " x", "x "]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    words = {r["word"] for r in byte_bpe.distinct_words(df, text_col="text", pattern=P.PATTERN).collect()}
+    find = byte_bpe.regex.compile(P.PATTERN).findall
+    assert words == {w for t in texts for w in find(t)}
+    byte_bpe.write_word_files(byte_bpe.encode_words(df.sparkSession.createDataFrame([(w,) for w in words], "word string"), byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), pattern=P.PATTERN), str(tmp_path), 3)
+    encoder = byte_bpe.Encoder(byte_bpe.WordFiles(str(tmp_path), 3), P.PATTERN)
+    for i in range(0, len(texts), 50):
+        ids, cut = encoder.encode([*texts[i : i + 50], None])
+        assert [ids[s:e].tolist() for s, e in zip(cut[:-1], cut[1:], strict=True)] == [*map(enc.encode_ordinary, texts[i : i + 50]), []]
+
+
 def test_token_files(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
